@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 
@@ -25,6 +26,13 @@ def op4_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_reread(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op6_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_simhash import cluster
+
+    found = cluster(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
