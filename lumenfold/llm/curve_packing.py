@@ -103,7 +103,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1,
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                ids = [x + end for x in tok.encode(part["text"].to_pylist())]
+                ids = [x + end for x in map(tok.encode, part["text"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(curve_keys(ids, signs)), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "key", "n", "ids"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

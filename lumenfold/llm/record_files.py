@@ -81,7 +81,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], path: str, vocabulary: str,
             out, first = fs.open_output_stream(f"{root}/{name}.rec", buffer_size=1 << 20), batch["doc_id"][0].as_py()
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
-            for doc, ids in zip(part["doc_id"].to_pylist(), tok.encode(part["text"].to_pylist())):
+            for doc, ids in zip(part["doc_id"].to_pylist(), map(tok.encode, part["text"].to_pylist())):
                 record = frame(LEAD.pack(doc or 0, doc is None) + ids + end)
                 out.write(record)
                 index.append(ENTRY.pack(doc or 0, at, len(ids) // 2 + 1))

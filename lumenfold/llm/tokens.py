@@ -1,31 +1,29 @@
 """Encoding whole texts with the ``tokenizers`` library, one distinct white-space unit at a time.
 
 Both vocabularies cut a text at white space before they merge, so a text's ids
-are the ids of its units in a row. A worker keeps the ids of frequent units in a
-bounded table and hands only unseen units to the library, many in one call.
-Texts for which a cut at single spaces might differ from the library's own cut
-(double spaces, rare white space, strings of special tokens) go to it whole.
+are the ids of its units in a row. A worker keeps the ids of units it has met in
+a bounded table and asks the library for the others. Texts for which a cut at
+single spaces might differ from the library's own cut (double spaces, rare white
+space, strings of special tokens) go to it whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units kept by a worker; when the table is full, further units are encoded each time.
-TABLE_UNITS = 400_000
+#: Units kept by a worker (about 200 MB); when the table is full, further units are encoded each time.
+TABLE_UNITS = 1_000_000
 
-_RARE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]"
+_RARE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x00\x1c-\x1f]"
 _WHOLE = re.compile(rb"<\||  |[\t-\r] (?:[\t-\r]|\Z)|" + _RARE_SPACE)
-_ODD_UNIT = re.compile(rb"[\x00-\x1f]|\A \Z|\A[^ ]")
 
 
-class UnitEncoder:
-    """ids of texts as little-endian unsigned 16-bit bytes (vocabularies here are below 65,536)."""
+class UnitEncoder(dict):
+    """The table of units; ``encode`` gives ids as little-endian unsigned 16-bit bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -35,58 +33,33 @@ class UnitEncoder:
             raise ValueError("ids need more than 16 bits")
         self.library.no_truncation()
         self.library.no_padding()
-        self.spaced = not self._ids("a b") == self._ids("ab") and self._ids(" ") != []
-        self.mark = "\n" if self.spaced else " \x01 "
-        (self.mark_id,) = self._ids("\n" if self.spaced else "\x01")
-        self.table: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def _units(self, raw: bytes) -> list[bytes] | None:
-        if not self.spaced:
-            return None if b"<|" in raw else raw.split()
-        if _WHOLE.search(raw):
-            return None
-        first, *rest = raw.split(b" ")
-        return [first, *[b" " + x for x in rest]] if first else [b" " + x for x in rest]
-
-    def _encode_units(self, units: list[bytes]) -> dict[bytes, bytes]:
-        """Plain units are joined by a mark whose id no plain unit yields; odd ones go singly."""
-        odd = _ODD_UNIT if self.spaced else re.compile(rb"\x01")
-        plain = [u for u in units if not odd.search(u)]
-        out = {}
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = np.array(self._ids(self.mark.join(u.decode() for u in part)), np.uint16)
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(part) - 1:  # a mark took part in something else: no shortcut for these
-                out.update((u, np.array(self._ids(u.decode()), "<u2").tobytes()) for u in part)
-                continue
-            raw, at = ids.astype("<u2").tobytes(), 0
-            for u, end in zip(part, [*ends.tolist(), len(ids)]):
-                out[u] = raw[2 * at : 2 * end]
-                at = end + 1
-        rest = [u for u in units if u not in out]
-        for u, e in zip(rest, self.library.encode_batch([u.decode() for u in rest], add_special_tokens=False)):
-            out[u] = np.array(e.ids, "<u2").tobytes()
-        return out
-
-    def encode(self, texts: list[str], step: int = 256) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), step):
-            cut = [(t, self._units(t.encode())) for t in texts[k : k + step]]
-            fresh = set().union(*[u for _, u in cut if u]) - self.table.keys()
-            extra = self._encode_units(list(fresh)) if fresh else {}
-            if len(self.table) < TABLE_UNITS:
-                self.table.update(extra)
-            get = self.table.get
-            for text, units in cut:
-                if units is None:
-                    out.append(np.array(self._ids(text), "<u2").tobytes())
-                else:
-                    out.append(b"".join([x if (x := get(u)) is not None else extra[u] for u in units]))
-        return out
+        self.spaced = self.library.encode("a b", add_special_tokens=False).ids != self.library.encode("a  b", add_special_tokens=False).ids
+        self.folds = self.library.encode("A", add_special_tokens=False).ids == self.library.encode("a", add_special_tokens=False).ids
+
+    def _ask(self, text: str) -> bytes:
+        return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, unit: bytes) -> bytes:
+        stem = unit.rstrip(b".,;:!?")
+        if len(stem) < len(unit) and stem[-1:].isalnum():  # both vocabularies cut between letters or digits and such marks
+            ids = self[stem] + self[unit[len(stem) :]]
+        else:
+            ids = self._ask(unit.decode())
+        if len(self) < TABLE_UNITS:
+            self[unit] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        raw = text.encode()
+        if self.spaced:
+            if _WHOLE.search(raw):
+                return self._ask(text)
+            units = raw.replace(b" ", b"\0 ").split(b"\0")
+        elif b"<|" in raw:
+            return self._ask(text)
+        else:
+            units = (raw.lower() if self.folds else raw).split()
+        return b"".join(map(self.__getitem__, units))
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
