@@ -33,6 +33,12 @@ def op6_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fm_dedup import repeated_spans
+
+    return repeated_spans(documents(spark, sf_dir)).drop("spans")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
