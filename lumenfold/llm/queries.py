@@ -39,6 +39,12 @@ def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(documents(spark, sf_dir)).drop("spans")
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .class_lm import score
+
+    return score(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
