@@ -18,8 +18,20 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Units kept by a worker (about 200 MB); when the table is full, further units are encoded each time.
 TABLE_UNITS = 1_000_000
 
-_RARE_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x00\x1c-\x1f]"
-_WHOLE = re.compile(rb"<\||  |[\t-\r] (?:[\t-\r]|\Z)|" + _RARE_SPACE)
+#: Control characters that one of the two sides may take for white space, and NUL, which marks cuts below.
+_CONTROL = re.compile(rb"[\x00\x1c-\x1f]")
+_BROKEN_SPACE = re.compile(rb"[\t-\r] (?:[\t-\r]|\Z)")
+#: White space beyond ASCII, and what most of it starts with in UTF-8.
+_RARE_STARTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_RARE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+def _cut_may_differ(raw: bytes) -> bool:
+    if b"<|" in raw or b"  " in raw or _CONTROL.search(raw):
+        return True
+    if not raw.isascii() and any(x in raw for x in _RARE_STARTS) and _RARE_SPACE.search(raw):
+        return True
+    return _BROKEN_SPACE.search(raw) is not None if any(x in raw for x in (b"\n ", b"\r ", b"\t ", b"\x0b ", b"\x0c ")) else False
 
 
 class UnitEncoder(dict):
@@ -52,7 +64,7 @@ class UnitEncoder(dict):
     def encode(self, text: str) -> bytes:
         raw = text.encode()
         if self.spaced:
-            if _WHOLE.search(raw):
+            if _cut_may_differ(raw):
                 return self._ask(text)
             units = raw.replace(b" ", b"\0 ").split(b"\0")
         elif b"<|" in raw:
