@@ -14,6 +14,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(documents(spark, sf_dir)).drop("detections")
+
+
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .curve_packing import pack
 
