@@ -32,6 +32,12 @@ def op4_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_reread(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spaced_seeds import contaminated
+
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pivot_simhash import cluster
 
@@ -51,6 +57,12 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
 
 
+def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import identify
+
+    return identify(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
