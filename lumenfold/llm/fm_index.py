@@ -15,14 +15,19 @@ DEPTH = 16
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Positions ordered by the DEPTH symbols from there on (prefix doubling)."""
-    rank, step = text.astype(np.int64), 1
-    while step < DEPTH:
-        after = np.zeros_like(rank)
-        after[:-step] = rank[step:]
-        _, rank = np.unique(rank * (rank.max() + 1) + after, return_inverse=True)
-        step *= 2
-    return np.argsort(rank, kind="stable")
+    """Positions ordered by the DEPTH symbols from there on, or more: each round joins as many ranks as fit 62 bits."""
+    rank, depth = text.astype(np.int64), 1
+    while True:
+        bits = max(1, int(rank.max()).bit_length())
+        joined = min(62 // bits, -(-DEPTH // depth))
+        key = rank.copy()
+        for k in range(1, joined):
+            key <<= bits
+            key[: -k * depth or None] |= rank[k * depth :]
+        depth *= joined
+        if depth >= DEPTH:
+            return np.argsort(key, kind="stable")
+        _, rank = np.unique(key, return_inverse=True)
 
 
 class Bits:
@@ -70,9 +75,10 @@ class FMIndex:
 
     def matching(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward search of each row: how many of its last symbols match, and the interval of suffixes for a whole match."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.size, np.int64)
-        matched = np.zeros(len(patterns), np.int64)
-        for column in patterns.T[::-1]:
+        last, *rest = np.ascontiguousarray(patterns.T[::-1])
+        low, high = self.below[last], np.r_[self.below[1:], self.size][last]
+        matched = (high > low).astype(np.int64)
+        for column in rest:
             low = self.below[column] + self.tree.rank(column, low)
             high = self.below[column] + self.tree.rank(column, high)
             matched += high > low
