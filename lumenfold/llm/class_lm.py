@@ -28,7 +28,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +105,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], clustered: list[bytes]) -> I
 def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Classes of symbols from their bigram counts; the last symbol (the end) keeps a class of its own, the last."""
     size = len(pairs) - 1
-    counts = pairs.astype(np.float64)
+    counts = pairs
     weight = counts.sum(axis=0)
     of = np.empty(size + 1, np.int64)
     of[np.argsort(-weight[:-1], kind="stable")] = np.arange(size) % classes
@@ -209,14 +208,14 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
         if (taken := taken + r.n) > HEAD:
             break
         floor = r.c
-    frequent = counts.where(F.col("c") >= floor).where("word <> ''").toPandas() if floor else pd.DataFrame({"word": [], "c": []})
-    frequent = frequent.sort_values(["c", "word"], ascending=[False, True], kind="stable")
-    head, head_counts = [w.encode() for w in frequent.word], frequent.c.to_numpy(np.float64)
+    frequent = counts.where(F.col("c") >= (floor or 2**62)).where("word <> ''").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    head, head_counts = [w.as_py().encode() for w in frequent["word"]], frequent["c"].to_numpy().astype(np.float64)
     clustered = head[:CLUSTERED]
 
-    found = train.mapInArrow(lambda b: _count_pairs(b, clustered), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    found = train.mapInArrow(lambda b: _count_pairs(b, clustered), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     pairs = np.zeros(SYMBOLS**2)
-    pairs[found.pair.to_numpy(np.int64)] = found.c.to_numpy(np.float64)
+    pairs[found["pair"].to_numpy()] = found["c"].to_numpy()
+    del found
     pairs = pairs.reshape(SYMBOLS, SYMBOLS)
     of = exchange(pairs)
 
@@ -229,10 +228,10 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
             np.add.at(tokens, at, b["c"].to_numpy())
         yield pa.RecordBatch.from_pydict({"symbol": pa.array(np.arange(SYMBOLS)), "kinds": pa.array(kinds), "tokens": pa.array(tokens)})
 
-    sizes = counts.mapInArrow(by_symbol, "symbol long, kinds long, tokens long").groupBy("symbol").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).toPandas()
+    sizes = counts.mapInArrow(by_symbol, "symbol long, kinds long, tokens long").groupBy("symbol").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).toArrow()
     kinds, tokens = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    np.add.at(kinds, of[sizes.symbol.to_numpy(np.int64)], sizes.kinds.to_numpy(np.float64))
-    np.add.at(tokens, of[sizes.symbol.to_numpy(np.int64)], sizes.tokens.to_numpy(np.float64))
+    np.add.at(kinds, of[sizes["symbol"].to_numpy()], sizes["kinds"].to_numpy())
+    np.add.at(tokens, of[sizes["symbol"].to_numpy()], sizes["tokens"].to_numpy())
     rare = np.log10(tokens + ADDED * (kinds + 1))  # what a class's emissions are divided by
     under = math.log10(total + types + 1)
     symbols = Symbols(clustered)

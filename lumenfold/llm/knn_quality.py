@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int
     sample = text_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
     # repeated rows of an id would pass the bound: one text each
     sample = sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")).mapInArrow(_featurize, "doc_id long, y int, x binary")
-    found: pd.DataFrame = sample.orderBy("doc_id").toPandas()
+    found: pd.DataFrame = sample.orderBy("doc_id").toArrow().to_pandas()
     model = fit(np.stack([np.frombuffer(x, np.float16) for x in found.x]).astype(np.float32), found.y.to_numpy()) if len(found) else None
     return spark.sparkContext.broadcast(model)
 

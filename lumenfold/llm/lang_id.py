@@ -146,7 +146,7 @@ def learning_sample(docs: DataFrame, mod: int = 4, held: int = 2) -> pd.DataFram
     near = rows.select("lang", "h").join(sizes, "lang").where(F.pmod("h", F.greatest(F.lit(1), F.floor(F.col("n") / (3 * limit)))) == 0).select("lang", "h").distinct()
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= limit).select("lang", "h")
     chosen = rows.join(F.broadcast(ranked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    return chosen.mapInArrow(_vectorize, "lang string, h long, x binary").orderBy("lang", "h").toPandas()
+    return chosen.mapInArrow(_vectorize, "lang string, h long, x binary").orderBy("lang", "h").toArrow().to_pandas()
 
 
 def identify(docs: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:
