@@ -29,6 +29,7 @@ table gives no row.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -43,6 +44,7 @@ from .fm_index import FMIndex, interval_minima
 
 WINDOW, GRAM = 13, 5
 BLOCK_BYTES = 2_500_000
+_WORD = re.compile(r"[^ \t-\r]+")
 NO_ID = np.iinfo(np.int64).max
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -303,3 +305,34 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     segments = with_blocks(marks, ask, "shard long, block long, sizes binary, least binary, words binary")
     minima, _ = stage(segments.groupBy("shard").applyInPandas(_answer_segments, reply), "minima")
     return with_blocks(marks.unionByName(minima), cover, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<long>")
+
+
+def cut_words(text: str, spans: list[int]) -> str:
+    """The text without the words of the spans (flat pairs); what stands between kept words stays as it is."""
+    places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for first, end in zip(spans[::2], spans[1::2]):
+        out.append(text[at : places[first][0]])
+        at = places[end][0] if end < len(places) else len(text)
+    out.append(text[at:])
+    return "".join(out)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, keep = [], []
+        for text, n, spans in zip(batch["text"].to_pylist(), batch["n_words"].to_pylist(), batch["spans"].to_pylist()):
+            if spans and len((text or "").encode().split()) == n:
+                text = cut_words(text, spans)
+            texts.append(text)
+            keep.append(not spans or bool(text.strip(" \t\n\x0b\x0c\r")))
+        names = [c for c in batch.schema.names if c not in ("n_words", "spans")]
+        columns = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names]
+        yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, without repeated passages; documents that were nothing else go."""
+    found, _ = stage(repeated_spans(docs).where("n_removed > 0").select(F.col("doc_id").alias("doc_id_"), F.col("n_words").alias("n_words_"), F.col("spans").alias("spans_")).dropDuplicates(["doc_id_"]), "spans")
+    given = docs.join(found, docs["doc_id"].cast("long") == found["doc_id_"], "left").select(*(docs[c] for c in docs.columns), F.col("n_words_").alias("n_words"), F.col("spans_").alias("spans"))
+    return given.mapInArrow(_cut, docs.schema)

@@ -144,3 +144,121 @@ def cluster(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     named = rooted.join(least, "root").select("bits", "component_id")
     return marked.join(named, "bits").select("doc_id", "bits", "component_id")
 
+
+
+# Copies at a similarity: long fingerprints of five-word shingles.
+#
+# At a Jaccard similarity of 0.8 two 64-bit fingerprints differ by about 10 bits, where
+# neither shared blocks nor pivots narrow anything down. So fingerprints are longer, rows
+# meet by min-wise bands, and the links that span a band's rows are verified exactly.
+
+WIDE = 8  # 64-bit words of a long fingerprint
+BANDS, ROWS = 16, 3
+MEET = 4096  # rows that meet at once; a larger band is split by hash, and its parts' components meet again by one row each
+_SALTS = np.random.default_rng(5).integers(0, 2**63, WIDE + BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray, salt: np.uint64) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * salt
+    return h ^ (h >> np.uint64(29))
+
+
+def _wide(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            runs = [shingle_hashes(t, width) or [0] for t in part["text"].to_pylist()]
+            sizes = np.array([len(r) for r in runs], np.int64)
+            flat = np.fromiter((h for r in runs for h in r), np.uint64, int(sizes.sum()))
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            bits = np.stack([majority_bits(_mixed(flat, s), sizes) for s in _SALTS[:WIDE]], axis=1)
+            least = np.stack([np.minimum.reduceat(_mixed(flat, s), starts) for s in _SALTS[WIDE:]], axis=1).reshape(len(runs), BANDS, ROWS)
+            bands = np.zeros((len(runs), BANDS), np.uint64)
+            for r in range(ROWS):
+                bands = _mixed(bands ^ least[:, :, r], _SALTS[r])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([b.tobytes() for b in bits], pa.binary()), lists], names=["doc_id", "bits", "bands"])
+
+
+def nearest_links(bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a minimum spanning forest, none longer than radius (Prim); its pivots are the rows themselves, each as it is reached."""
+    n = len(bits)
+    best, via, open_ = np.full(n, 2**15), np.zeros(n, np.int64), np.ones(n, bool)
+    left, right, i = [], [], 0
+    for _ in range(n - 1):
+        open_[i] = False
+        far = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
+        nearer = open_ & (far < best)
+        best[nearer], via[nearer] = far[nearer], i
+        i = int(np.argmin(np.where(open_, best, 2**16)))
+        if best[i] <= radius:
+            left.append(via[i])
+            right.append(i)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links of each group; of a part of a large band also one row a component, as a link to itself."""
+    for batch in batches:
+        band, value, left, right = [], [], [], []
+        for b, v, split, members in zip(batch["band"].to_pylist(), batch["value"].to_pylist(), batch["split"].to_pylist(), batch["members"].to_pylist()):
+            members.sort(key=lambda m: m["id"])
+            ids = [m["id"] for m in members]
+            i, j = nearest_links(np.frombuffer(b"".join(m["bits"] for m in members), np.uint64).reshape(len(members), -1), radius)
+            pairs = [(ids[x], ids[y]) for x, y in zip(i.tolist(), j.tolist())]
+            if split:
+                joined = {ids[y] for y in j.tolist()}
+                pairs += [(x, x) for x in ids if x not in joined]
+            for x, y in pairs:
+                for c, value_ in zip((band, value, left, right), (b, v, x, y)):
+                    c.append(value_)
+        if band:
+            yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), *(pa.array(c, pa.int64()) for c in (value, left, right))], names=["band", "value", "a", "b"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).tobytes() for t in b["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = []
+        for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id of every document but those that stay for their group, which is the one with the least doc_id.
+
+    Equal fingerprints are one row; others are linked if their sets of shingles have this Jaccard similarity.
+    A pair at the similarity shares a band with a probability over 0.9999.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    share = np.arccos(cosine) / np.pi
+    radius = int(64 * WIDE * share + 3 * np.sqrt(64 * WIDE * share * (1 - share)))  # loose by three deviations
+    texts = text_of(docs).where(F.col("doc_id").isNotNull())
+    marked, _ = stage(texts.mapInArrow(partial(_wide, width=width), "doc_id long, bits binary, bands array<long>"), "wide")
+    classes, _ = stage(marked.groupBy("bits").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "wide-classes")
+    rows = classes.select("id", "bits", F.posexplode("bands").alias("band", "value"))
+    met = rows.groupBy("band", "value").count().where("count > 1")
+    rows = rows.join(met, ["band", "value"])
+    parts = F.ceil(F.col("count") / MEET)
+    member = F.collect_list(F.struct("id", "bits")).alias("members")
+    grouped = rows.groupBy("band", "value", F.pmod(F.xxhash64("bits"), parts).alias("part"), (parts > 1).alias("split")).agg(member)
+    schema = "band int, value long, a long, b long"
+    first, _ = stage(grouped.select("band", "value", "split", "members").mapInArrow(partial(_meet, radius=radius), schema), "met")
+    again = first.where("a = b").select("band", "value", F.col("a").alias("id")).join(classes.select("id", "bits"), "id")
+    again = again.groupBy("band", "value").agg(member).select("band", "value", F.lit(False).alias("split"), "members")
+    found, _ = stage(first.unionByName(again.mapInArrow(partial(_meet, radius=radius), schema)).where("a <> b").select("a", "b").distinct(), "loose")
+    needed = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets, _ = stage(texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(partial(_shingle_sets, width=width), "doc_id long, shingles binary"), "shingles")
+    pairs = found.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    sure = pairs.select("a", "b", "x", "y").mapInArrow(partial(_similar, similarity=similarity), "a long, b long")
+    roots = components(sure, "a", "b")
+    named = classes.select("bits", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("bits", F.coalesce("root", "id").alias("component_id"))
+    return marked.select("doc_id", "bits").join(named, "bits").where("doc_id <> component_id").select("doc_id", "component_id")
