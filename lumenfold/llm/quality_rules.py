@@ -32,6 +32,7 @@ FEATURES = ("size", "word_length", "symbols", "dup_lines", "repeats")
 #: Least standard deviation of each feature.
 FLOOR = (0.6, 0.3, 0.06, 0.3, 0.25)
 CORE, STEPS, LEAST_ROWS, QUANTILE = 0.75, 3, 50, 0.9999
+SALTS = 64
 ALL = "\x00all"
 P = range(len(FEATURES))
 
@@ -64,6 +65,12 @@ def features(stats: DataFrame) -> DataFrame:
     return stats.withColumns({f"x{i}": F.least(v, F.lit(50.0)) for i, v in enumerate(values)})
 
 
+def _joined(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with their group's line of a table of one line a group, which is repeated so that a large group's rows spread over partitions."""
+    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(spread, ["lang", "source", "salt"], how).drop("salt")
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
     """Each row in its own group and in the group of all."""
     own = F.struct("lang", "source")
@@ -117,21 +124,21 @@ def estimates(rows: DataFrame) -> DataFrame:
     """The minimum-covariance-determinant estimate of every language and source, and of all rows."""
     grouped, keys = _grouped(rows), ["lang", "source"]
     middle, _ = stage(_medians(grouped, lambda i: F.col(f"x{i}")), "medians")
-    spread = _medians(grouped.join(middle, keys), lambda i: F.abs(F.col(f"x{i}") - F.col(f"m{i}")))
+    spread = _medians(_joined(grouped, middle), lambda i: F.abs(F.col(f"x{i}") - F.col(f"m{i}")))
     spread = spread.select(*keys, *(F.col(f"m{i}").alias(f"s{i}") for i in P))
     scale, _ = stage(middle.join(spread, keys), "scales")
-    measured = grouped.join(scale, keys).withColumn("d2", sum((((F.col(f"x{i}") - F.col(f"m{i}")) / (1.4826 * F.col(f"s{i}") + FLOOR[i])) ** 2 for i in P), F.lit(0.0)))
+    measured = _joined(grouped, scale).withColumn("d2", sum((((F.col(f"x{i}") - F.col(f"m{i}")) / (1.4826 * F.col(f"s{i}") + FLOOR[i])) ** 2 for i in P), F.lit(0.0)))
     # over the nearest CORE share of a normal sample variances shrink by this factor
     shrunk = 1 / (1 + log(1 / (1 - CORE)) / len(P)) if CORE < 1 else 1.0
     for step in range(STEPS + 1):
         measured = measured.select(*keys, *(f"x{i}" for i in P), "d2", _distance_bin(F.col("d2")).alias("bin"))
         if step < STEPS:
             cut = _binned_quantile(measured.select(*keys, "bin"), keys, CORE).withColumnRenamed("bin", "most")
-            core = measured.join(cut, keys).where("bin <= most")
+            core = _joined(measured, cut).where("bin <= most")
         else:
             core = measured.where(F.col("d2") <= chi_square(len(P), 0.975))
         found, _ = stage(_estimate(core, 1 / shrunk if step < STEPS else 1.0), "estimates")
-        measured = grouped.join(found, keys).withColumn("d2", _mahalanobis())
+        measured = _joined(grouped, found).withColumn("d2", _mahalanobis())
     return found
 
 
@@ -144,5 +151,5 @@ def judge(docs: DataFrame) -> DataFrame:
     pooled = sizes.where(F.col("n") < LEAST_ROWS).select("lang", "source").join(found.where(F.col("lang") == ALL).drop("lang", "source"))
     models, _ = stage(own.unionByName(pooled), "models")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = stats.join(models, ["lang", "source"], "left").withColumn("distance2", _mahalanobis())
+    out = _joined(stats, models, "left").withColumn("distance2", _mahalanobis())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.coalesce("distance2", F.lit(0.0)) <= chi_square(len(P), QUANTILE))).alias("kept"), "distance2")
