@@ -521,3 +521,96 @@ def path_rewrite(spark, d):
 @query(f"WITH {MEDIA} SELECT album_id AS album, count(*) AS file_count, min(substr(best_date, 1, 4)) AS year FROM media WHERE album_id IS NOT NULL AND is_duplicate = 0 GROUP BY 1")
 def manifest_counts(spark, d):
     return media(spark, d).where("album_id IS NOT NULL AND is_duplicate = 0").groupBy(F.col("album_id").alias("album")).agg(F.count("*").alias("file_count"), F.min(F.substring("best_date", 1, 4)).alias("year"))
+
+
+@query(f"WITH {MEDIA}, m AS (SELECT album_id AS album, count(*) AS file_count FROM media WHERE album_id < 20 GROUP BY 1) SELECT '[' || string_agg('{{\"album\":' || album || ',\"file_count\":' || file_count || '}}', ',' ORDER BY album) || ']' AS manifest FROM m")
+def manifest_json(spark, d):
+    from ..sources.sinks import as_json
+
+    m = media(spark, d).where("album_id < 20").groupBy(F.col("album_id").alias("album")).agg(F.count("*").alias("file_count"))
+    return as_json(m, "album")
+
+
+@query(f"WITH {MEDIA}, a AS (SELECT year(min(ts)) AS year, 'album ' || album_id AS name, count(*) AS n FROM media WHERE album_id IS NOT NULL GROUP BY album_id) SELECT year, '' AS name, '## ' || year AS line FROM a GROUP BY year UNION ALL SELECT year, name, '- ' || name || ' (' || n || ')' FROM a")
+def year_report(spark, d):
+    from ..sources.sinks import year_report
+
+    a = media(spark, d).where("album_id IS NOT NULL").groupBy("album_id").agg(F.year(F.min("ts")).cast("bigint").alias("year"), F.count("*").alias("file_count"))
+    return year_report(a.select("year", F.concat(F.lit("album "), F.col("album_id").cast("string")).alias("name"), "file_count"))
+
+
+@query(f"WITH {ORDERED} SELECT album AS album_id, r // 200 AS chunk, count(*) AS n FROM o GROUP BY 1, 2")
+def album_requests(spark, d):
+    from ..sources.sinks import album_requests
+
+    rows = scores(spark, d).where("usable").select(F.col("album").alias("album_id"), F.concat_ws("/", *SCORE_ORDER).alias("asset_id"))
+    ids = F.from_json("body", "ids array<string>")["ids"]
+    return album_requests(rows, 200).select("album_id", "chunk", F.size(ids).cast("bigint").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start_, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def tumbling_windows(spark, d):
+    from ..streaming.workers import windowed
+
+    return windowed(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 day").select(F.col("start").cast("timestamp_ntz").alias("start_"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+@query("WITH l AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 6 * 3600000000 THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT user_id, min(ts) AS start_, count(*) AS n FROM s GROUP BY user_id, k")
+def gap_sessions(spark, d):
+    from ..streaming.workers import sessions
+
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(e, "ts", ["user_id"], "6 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start_"), "n")
+
+
+@query("SELECT a.id, a.p, CASE WHEN a.p < 64 THEN CAST(floor(15 + (68 - 15) * a.p / 64.0) AS BIGINT) WHEN a.p < 128 THEN CAST(floor(68 + (133 - 68) * (a.p - 64) / 64.0) AS BIGINT) WHEN a.p < 192 THEN CAST(floor(133 + (200 - 133) * (a.p - 128) / 64.0) AS BIGINT) ELSE CAST(floor(200 + 55 * (a.p - 192) / 63.0 + 1e-9) AS BIGINT) END AS graded FROM (SELECT p_partkey AS id, p_partkey % 256 AS p FROM part) a")
+def lut_grade(spark, d):
+    from ..operators.image import graded
+
+    p = (F.col("p_partkey") % 256).cast("int")
+    g = F.get(graded(F.array(p), F.lit(0), F.lit("unknown mood")), 0)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 256).alias("p"), g.cast("bigint").alias("graded"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN w * 5 > h * 4 THEN (w - h * 4 // 5) // 2 ELSE 0 END AS left_, CASE WHEN w * 5 > h * 4 THEN 0 ELSE CAST(floor((h - w * 5 // 4) * 0.38::DOUBLE) AS BIGINT) END AS top, CASE WHEN w * 5 > h * 4 THEN h * 4 // 5 ELSE w END AS width, CASE WHEN w * 5 > h * 4 THEN h ELSE w * 5 // 4 END AS height FROM (SELECT p_partkey, 600 + p_partkey % 700 AS w, 600 + p_partkey % 900 AS h FROM part)")
+def crop_geometry(spark, d):
+    from ..operators.image import crop_box
+
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (600 + F.col("p_partkey") % 700).alias("w"), (600 + F.col("p_partkey") % 900).alias("h"))
+    b = crop_box(F.col("w"), F.col("h"), 1080, 1350)
+    return p.select("id", *(b[c].cast("bigint").alias("left_" if c == "left" else c) for c in ("left", "top", "width", "height")))
+
+
+@query()
+def image_metrics(spark, d):
+    """Sharpness, exposure and perceptual hash of synthetic 16 x 16 pictures; tests hold the kernels against plain loops."""
+    from ..operators.image import technical_udf
+    from ..shipping import ship
+
+    ship(spark)
+    p = table(spark, d, "part").where("p_partkey < 500").select("p_partkey", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: (i * (F.col("p_partkey") + 1)).cast("int") % 256).alias("gray"))
+    return p.select("p_partkey", technical_udf()("gray", F.lit(16)).alias("m")).select("p_partkey", "m.*")
+
+
+def _stub(prompt: str, image: bytes | None) -> str:
+    return '```json\n{"scene": "' + prompt.split("\n")[0][:20].replace('"', "") + '", "type": "beach", "tags": ["a", "b"], "is_holiday": true}\n```'
+
+
+@query()
+def llm_classify_stub(spark, d):
+    """Classification with a client that answers from the prompt alone."""
+    from ..operators import models
+
+    c = table(spark, d, "conversations").where("turn = 0").select("conv_id", "role")
+    out = models.classified(models.ask(c, models.prompt_context(("role", "role"), ("id", "conv_id")), _stub))
+    return out.select("conv_id", "status", "ai.scene", "ai.type", F.array_join("ai.tags", ",").alias("tags"))
+
+
+@query()
+def location_inference(spark, d):
+    """The chain of strategies over the catalogue: one guess a photo; its members have their own queries with SQL."""
+    from ..operators.inference import GUESS, infer
+
+    m = media(spark, d)
+    empty = m.select("id", F.lit("").alias("strategy"), F.lit("").alias("confidence"), "lat", "lon", "country", "city").limit(0)
+    return infer(m, empty, ("temporal", "album")).select(*GUESS)
