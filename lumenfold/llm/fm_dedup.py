@@ -319,20 +319,22 @@ def cut_words(text: str, spans: list[int]) -> str:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are the counted words and the spans to cut."""
     for batch in batches:
         texts, keep = [], []
-        for text, n, spans in zip(batch["text"].to_pylist(), batch["n_words"].to_pylist(), batch["spans"].to_pylist()):
-            if spans and len((text or "").encode().split()) == n:
-                text = cut_words(text, spans)
-            texts.append(text)
-            keep.append(not spans or bool(text.strip(" \t\n\x0b\x0c\r")))
-        names = [c for c in batch.schema.names if c not in ("n_words", "spans")]
-        columns = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names]
+        *names, counted, cuts = batch.schema.names
+        at = names.index("text")
+        for text, n, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+            spans = spans if spans and len((text or "").encode().split()) == n else None
+            texts.append(cut_words(text, spans) if spans else text)
+            keep.append(not spans or bool(texts[-1].strip(" \t\n\x0b\x0c\r")))
+        columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
         yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, without repeated passages; documents that were nothing else go."""
-    found, _ = stage(repeated_spans(docs).where("n_removed > 0").select(F.col("doc_id").alias("doc_id_"), F.col("n_words").alias("n_words_"), F.col("spans").alias("spans_")).dropDuplicates(["doc_id_"]), "spans")
-    given = docs.join(found, docs["doc_id"].cast("long") == found["doc_id_"], "left").select(*(docs[c] for c in docs.columns), F.col("n_words_").alias("n_words"), F.col("spans_").alias("spans"))
+    found = repeated_spans(docs).where("n_removed > 0").dropDuplicates(["doc_id"])
+    found, _ = stage(found.select(F.col("doc_id").alias("doc_id__cut"), F.col("n_words").alias("n_words__cut"), F.col("spans").alias("spans__cut")), "spans")
+    given = docs.join(found, docs["doc_id"].cast("long") == found["doc_id__cut"], "left").drop("doc_id__cut")
     return given.mapInArrow(_cut, docs.schema)

@@ -154,6 +154,7 @@ def cluster(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 WIDE = 8  # 64-bit words of a long fingerprint
 BANDS, ROWS = 16, 3
+FILTER_BITS = 25  # places of the fixed filter that spares most documents a shuffle; a full filter lets all through
 MEET = 4096  # rows that meet at once; a larger band is split by hash, and its parts' components meet again by one row each
 _SALTS = np.random.default_rng(5).integers(0, 2**63, WIDE + BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -216,8 +217,20 @@ def _meet(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), *(pa.array(c, pa.int64()) for c in (value, left, right))], names=["band", "value", "a", "b"])
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS places, whatever the number of ids, with the places of the column doc_id's hashes set."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(2**FILTER_BITS))
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("bits")).toArrow()
+    out = np.zeros(2 ** (FILTER_BITS - 6), np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int, shared) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents that the filter lets through: all that are needed and few others."""
     for b in batches:
+        place = b["place"].to_numpy()
+        b = b.filter(pa.array((shared.value[place >> 6] >> (place & 63) & 1).astype(bool)))
         sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).tobytes() for t in b["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
@@ -256,7 +269,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     again = again.groupBy("band", "value").agg(member).select("band", "value", F.lit(False).alias("split"), "members")
     found, _ = stage(first.unionByName(again.mapInArrow(partial(_meet, radius=radius), schema)).where("a <> b").select("a", "b").distinct(), "loose")
     needed = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets, _ = stage(texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(partial(_shingle_sets, width=width), "doc_id long, shingles binary"), "shingles")
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
+    placed = texts.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(2**FILTER_BITS)))
+    sets = placed.mapInArrow(partial(_shingle_sets, width=width, shared=shared), "doc_id long, shingles binary")
+    sets, _ = stage(sets.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "shingles")
     pairs = found.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     sure = pairs.select("a", "b", "x", "y").mapInArrow(partial(_similar, similarity=similarity), "a long, b long")
     roots = components(sure, "a", "b")
