@@ -92,11 +92,13 @@ def lenient(text: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(head, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm:ss"))).cast("timestamp_ntz")
 
 
-def cascade(*methods: tuple[str, Column]) -> tuple[Column, Column]:
-    """The first acceptable date of (method, date) pairs in order, and the method's name."""
-    good = [(name, F.when(~is_bad(date), date)) for name, date in methods]
-    method = F.coalesce(*(F.when(date.isNotNull(), F.lit(name)) for name, date in good))
-    return F.coalesce(*(date for _, date in good)), method
+def cascade(*methods: tuple[str, Column]) -> Column:
+    """The first acceptable date of (method, date) pairs in order, as a struct of taken and method, or null.
+
+    The pairs are an array, so each date stands in the plan once and the test of it once for all.
+    """
+    pairs = F.array(*(F.struct(date.alias("taken"), F.lit(name).alias("method")) for name, date in methods))
+    return F.get(F.filter(pairs, lambda x: ~is_bad(x["taken"])), 0)
 
 
 def season(ts: Column) -> Column:

@@ -129,8 +129,8 @@ def directory_date(spark, d):
 
 @query(f"WITH {MEDIA}, t AS (SELECT id, CASE WHEN id % 7 = 0 THEN best_date END AS a, CASE WHEN id % 7 = 1 THEN '1980-01-01T00:00:00' WHEN id % 7 = 2 THEN '2010-10-10T10:10:10' END AS b, CASE id % 5 WHEN 3 THEN '2018-06-15T00:00:00' WHEN 4 THEN NULL ELSE '2019-06-15T00:00:00' END AS c FROM media) SELECT id, coalesce(a, CASE WHEN id % 7 = 2 THEN b END, c) AS taken, CASE WHEN a IS NOT NULL THEN 'sidecar' WHEN id % 7 = 2 THEN 'exif' WHEN c IS NOT NULL THEN 'directory' END AS method FROM t")
 def date_cascade(spark, d):
-    taken, method = dates.cascade(("sidecar", F.when(F.col("id") % 7 == 0, F.col("best_date"))), ("exif", F.when(F.col("id") % 7 == 1, "1980-01-01T00:00:00").when(F.col("id") % 7 == 2, "2010-10-10T10:10:10")), ("directory", dates.from_directory(tx.dirname(F.col("path")))))
-    return media(spark, d).select("id", taken.alias("taken"), method.alias("method"))
+    picked = dates.cascade(("sidecar", F.when(F.col("id") % 7 == 0, F.col("best_date"))), ("exif", F.when(F.col("id") % 7 == 1, "1980-01-01T00:00:00").when(F.col("id") % 7 == 2, "2010-10-10T10:10:10")), ("directory", dates.from_directory(tx.dirname(F.col("path")))))
+    return media(spark, d).select("id", picked.alias("picked")).select("id", "picked.taken", "picked.method")
 
 
 @query(f"WITH {MEDIA} SELECT coalesce(CASE WHEN id % 7 = 0 THEN 'sidecar' WHEN id % 7 = 2 THEN 'exif' WHEN id % 5 <> 4 THEN 'directory' END, 'none') AS method, count(*) AS n FROM media GROUP BY 1")

@@ -85,8 +85,8 @@ def catalogue_stages() -> list[Stage]:
 
     def fix_dates(t: Tables) -> Tables:
         p = t["photos"]
-        taken, _ = dates.cascade(("best", F.col("best_date")), ("filename", dates.from_filename(F.col("filename"))), ("directory", dates.from_directory(F.col("parent_dir"))))
-        p = p.withColumn("best_date", F.coalesce(taken, "best_date"))
+        picked = dates.cascade(("best", F.col("best_date")), ("filename", dates.from_filename(F.col("filename"))), ("directory", dates.from_directory(F.col("parent_dir"))))
+        p = p.withColumn("best_date", F.coalesce(picked["taken"], "best_date"))
         p = timeline.consensus_month(p, ["parent_dir"], "best_date").withColumn("best_date", F.coalesce("filled", "best_date")).drop("filled")
         numbered = p.withColumn("number", text.sequence_number(F.col("filename")))
         filled = timeline.fill_from_sequence(numbered, ["parent_dir"], "number", "filename", "best_date").where("filled IS NOT NULL").select("id", F.col("filled").alias("best_date"))
