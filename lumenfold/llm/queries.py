@@ -79,5 +79,18 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: The others have no SQL form here: XXH64, tokenizers, framed files, regular-expression ranks and trained models; tests hold them against brute force.
+PASSAGES = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT doc_id, ws, len(ws) AS n FROM w),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, n - 11)) AS i FROM t WHERE n >= 13)),
+f AS (SELECT win, min(doc_id) AS least FROM g GROUP BY win),
+c AS (SELECT DISTINCT doc_id, i + k AS pos FROM (SELECT g.doc_id, g.i, unnest(range(13)) AS k FROM g JOIN f ON g.win = f.win WHERE least < g.doc_id)),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+k AS (SELECT p.doc_id, count(c.pos) AS gone, string_agg(p.word, ' ' ORDER BY p.pos) FILTER (c.pos IS NULL) AS kept FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id)
+SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k ON t.doc_id = k.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_fm_dedup": PASSAGES}
