@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, stage, text_of
+from .common import remainder, stage, text_of, worker_table
 
 CLUSTERED, SPELLINGS, CLASSES, HEAD = 2000, 192, 64, 300_000
 SYMBOLS = CLUSTERED + SPELLINGS + 1  # the last is the end token
@@ -161,15 +161,9 @@ def transitions(pairs: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.log10((kept + left * alone) / np.maximum(total, 1.0))
 
 
-_TABLES: dict[str, tuple[dict[bytes, int], Symbols]] = {}
-
-
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     m = shared.value
-    if m["key"] not in _TABLES:
-        _TABLES.clear()
-        _TABLES[m["key"]] = ({w: k for k, w in enumerate(m["head"].split(b" "))} if m["head"] else {}, Symbols(m["clustered"]))
-    head, symbols = _TABLES[m["key"]]
+    head, symbols = worker_table(m["key"], lambda: ({w: k for k, w in enumerate(m["head"].split(b" "))} if m["head"] else {}, Symbols(m["clustered"])))
     none = len(m["base"]) - 1  # the row of the head's table for words outside
     for batch in batches:
         for begin in range(0, batch.num_rows, 2048):

@@ -12,6 +12,28 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 
+#: Bytes in a batch between Spark and Python; the default of 64 MB is held several times over for each running task.
+BATCH_BYTES = 8 << 20
+
+_TABLE: dict = {}
+
+
+def worker_table(key, make):
+    """The one large table that a Python worker keeps between tasks; making another lets it go."""
+    if key not in _TABLE:
+        _TABLE.clear()
+        _TABLE[key] = make()
+    return _TABLE[key]
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package to Python workers and bounds their batches, unless the session sets its own bound."""
+    ship(spark)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound).rstrip("b") == str(64 << 20):
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
@@ -57,7 +79,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text with null as the empty text, and further columns; all else is pruned from the scan."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, text_of
+from .common import remainder, text_of, worker_table
 
 SAMPLE, DIMS, NEIGHBOURS, POWER = 6000, 48, 15, 8
 WORDS, SHARES = 4096, 5 * 16
@@ -52,14 +52,12 @@ class _Features(dict):
         return found
 
 
-_KNOWN = _Features()
-
-
 def features(text: str) -> np.ndarray:
+    known = worker_table("quality features", _Features)
     raw, out = text.encode(), np.zeros(WORDS + SHARES, np.float32)
     words = raw.split()
     if words:
-        at = np.frombuffer(b"".join(map(_KNOWN.__getitem__, words)), np.uint16)
+        at = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint16)
         out[:WORDS] = np.log1p(np.bincount(at, minlength=WORDS))
     size, n = max(len(raw), 1), max(len(words), 1)
     lines = [x for x in raw.split(b"\n") if x.strip()]

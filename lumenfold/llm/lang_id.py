@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import remainder, stage
+from .common import prepare, remainder, stage
 from .svm import fit
 
 SAMPLE, BUCKETS = 5000, 4096
@@ -154,7 +153,7 @@ def learning_sample(docs: DataFrame, mod: int = 4, held: int = 2) -> pd.DataFram
 def identify(docs: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     sample = learning_sample(docs, mod, held)
     shared = spark.sparkContext.broadcast(train(np.stack([np.frombuffer(x, np.float16) for x in sample.x]).astype(np.float32), sample.lang.tolist()) if len(sample) else None)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(mod) == held).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -202,10 +202,11 @@ def _meet(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
     """Links of each group; of a part of a large band also one row a component, as a link to itself."""
     for batch in batches:
         band, value, left, right = [], [], [], []
-        for b, v, split, members in zip(batch["band"].to_pylist(), batch["value"].to_pylist(), batch["split"].to_pylist(), batch["members"].to_pylist()):
-            members.sort(key=lambda m: m["id"])
-            ids = [m["id"] for m in members]
-            i, j = nearest_links(np.frombuffer(b"".join(m["bits"] for m in members), np.uint64).reshape(len(members), -1), radius)
+        for b, v, split, members in zip(batch["band"].to_pylist(), batch["value"].to_pylist(), batch["split"].to_pylist(), batch["members"]):
+            ids, words = members.values.field("id").to_numpy(), members.values.field("bits").to_pylist()
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order].tolist()
+            i, j = nearest_links(np.frombuffer(b"".join(words[k] for k in order), np.uint64).reshape(len(ids), -1), radius)
             pairs = [(ids[x], ids[y]) for x, y in zip(i.tolist(), j.tolist())]
             if split:
                 joined = {ids[y] for y in j.tolist()}
@@ -238,8 +239,8 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int, shared) -> Iter
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(b["x"], b["y"]):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

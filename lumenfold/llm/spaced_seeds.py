@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, worker_table
 from .license_scan import normalized
 
 #: Masks by the places they look at: 8 of 12 words, so that any two substitutions 6 words apart leave one whole.
@@ -142,7 +142,7 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
 
 
 def _found(batches: Iterator[pa.RecordBatch], shared, ids: list) -> Iterator[pa.RecordBatch]:
-    table, known = shared.value, _Hashes()
+    table, known = shared.value, worker_table("word hashes", _Hashes)
     names = ("doc_id", "item_id", "doc_begin", "doc_end", "item_begin", "matched", "item_words")
     for batch in batches:
         cols = [[] for _ in names]
@@ -166,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _clean(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    table, known = shared.value, _Hashes()
+    table, known = shared.value, worker_table("word hashes", _Hashes)
     for batch in batches:
         keep = [not overlaps(table, normalized(t.as_py() or ""), known) for t in batch["text"]]
         yield batch.filter(pa.array(keep, pa.bool_()))

@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+from .common import worker_table
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units kept by a worker (about 200 MB); when the table is full, further units are encoded each time.
@@ -74,11 +76,6 @@ class UnitEncoder(dict):
         return b"".join(map(self.__getitem__, units))
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
     """One encoder for each worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    return worker_table(path, lambda: UnitEncoder(path))
