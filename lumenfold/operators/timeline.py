@@ -1,8 +1,8 @@
-"""Operators over time-ordered rows: islands, sessions, nearest in time, sequence fill.
+"""Operators over time-ordered rows: sessions, nearest in time, sequence fill, consensus.
 
-A timeline without a natural key would be one window in one task. ``islands`` cuts
-it where two neighbouring days lie so far apart that no rule can join across, and
-windows run per island; the cut needs only the distinct days.
+A timeline without a natural key would be one window in one task. Here windows run
+per day, or per span of the tolerance, and only a table with a row a day carries
+what one day needs of those before it.
 """
 
 from __future__ import annotations
@@ -14,64 +14,72 @@ from ..functions.dates import floor_days, is_default, is_low_confidence, to_ts
 from ..functions.geo import haversine_km
 
 
-def islands(rows: DataFrame, ts: str, gap_days: int, keys: list[str] = ()) -> DataFrame:
-    """Rows with `island`: the first day of a run of days without a gap of gap_days or more.
-
-    The distinct days of a key are few however many rows it has, so their window is small.
-    """
-    day = F.to_date(ts)
-    days = rows.select(*keys, day.alias("day_")).distinct()
-    w = Window.partitionBy(*keys).orderBy("day_")
-    starts = days.withColumn("far_", F.coalesce(F.datediff("day_", F.lag("day_").over(w)) >= gap_days, F.lit(True)))
-    ids = starts.withColumn("island", F.max(F.when(F.col("far_"), F.col("day_"))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("far_")
-    return rows.withColumn("day_", day).join(ids, [*keys, "day_"]).drop("day_")
+def _stays(p: Column, home_code: str, day_limits: tuple[int, int], km: float) -> Column:
+    """Whether a row belongs with the one before it, a struct p of ts, country, lat and lon."""
+    near, far = day_limits
+    g = F.abs(floor_days(F.col("ts_"), p["ts_"]))
+    named = lambda c: c.isNotNull() & (c != "")
+    countries = named(F.col("country")) & named(p["country"])
+    same_country = F.col("country") == p["country"]
+    placed = lambda lat: lat.isNotNull() & (lat != 0)
+    close = F.coalesce(haversine_km(p["lat"], p["lon"], F.col("lat"), F.col("lon")) < km, F.lit(False))
+    abroad = countries & same_country & F.coalesce(F.col("cc") != home_code, F.lit(False))
+    same = F.when(g <= near, F.when(countries, same_country).when(placed(F.col("lat")) & placed(p["lat"]), close).otherwise(g <= 1)).when(g <= far, abroad).otherwise(False)
+    return F.coalesce(same, F.lit(False))
 
 
 def sessionize(rows: DataFrame, keys: list[str] = (), ts: str = "ts", order: str = "id", home_code: str = "GB", least: int = 3, day_limits: tuple[int, int] = (2, 5), km: float = 150.0) -> DataFrame:
-    """Event clusters of a timeline: rows with `cluster`, a number within (keys, island).
+    """Event clusters of a timeline: rows with `cluster`, a number within keys, and `members`.
 
     A row stays with the one before it if, with g whole days between them: g <= 2
     and the countries agree, or without two countries the places are within km, or
     without two places g <= 1; or 2 < g <= 5 and both are in one country abroad.
     Clusters of fewer than ``least`` rows go.
+
+    Rows are compared within their day; a day's first row is compared with the last
+    row of the day before it, and a day's clusters are numbered after those of the
+    days before, both from a table of days.
     """
-    near, far = day_limits
-    cut = islands(rows.where(F.col(ts).isNotNull()), ts, far + 2, list(keys))
-    w = Window.partitionBy(*keys, "island").orderBy(ts, order)
-    before = lambda c: F.lag(c).over(w)
-    g = F.abs(floor_days(F.col(ts), before(ts)))
-    named = lambda c: c.isNotNull() & (c != "")
-    countries = named(F.col("country")) & named(before("country"))
-    same_country = F.col("country") == before("country")
-    placed = lambda lat: lat.isNotNull() & (lat != 0)
-    places = placed(F.col("lat")) & placed(before("lat"))
-    close = F.coalesce(haversine_km(before("lat"), before("lon"), F.col("lat"), F.col("lon")) < km, F.lit(False))
-    abroad = countries & same_country & F.coalesce(F.col("cc") != home_code, F.lit(False))
-    same = F.when(g <= near, F.when(countries, same_country).when(places, close).otherwise(g <= 1)).when(g <= far, abroad).otherwise(False)
-    out = cut.withColumn("same_", F.coalesce(same, F.lit(False))).withColumn("cluster", F.sum(F.when(F.col("same_"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.count("*").over(Window.partitionBy(*keys, "island", "cluster"))
-    return out.withColumn("members", size).where(F.col("members") >= least).drop("same_")
+    keys = list(keys)
+    rows = rows.where(F.col(ts).isNotNull()).withColumns({"ts_": F.col(ts), "day_": F.to_date(ts)})
+    state = F.struct("ts_", "country", "lat", "lon")
+    in_day = Window.partitionBy(*keys, "day_").orderBy(ts, order)
+    over_days = Window.partitionBy(*keys).orderBy("day_")
+    last = rows.groupBy(*keys, "day_").agg(F.max_by(state, F.struct(ts, order)).alias("last_"))
+    last = last.select(*keys, "day_", F.lag("last_").over(over_days).alias("carried_"))
+    met = rows.withColumn("before_", F.lag(state).over(in_day)).join(last, [*keys, "day_"]).withColumn("p_", F.coalesce("before_", "carried_"))
+    met = met.withColumn("starts_", F.when(_stays(F.col("p_"), home_code, day_limits, km), 0).otherwise(1))
+    upto = over_days.rowsBetween(Window.unboundedPreceding, -1)
+    numbers = met.groupBy(*keys, "day_").agg(F.sum("starts_").alias("n_")).select(*keys, "day_", F.coalesce(F.sum("n_").over(upto), F.lit(0)).alias("earlier_"))
+    counted = met.withColumn("within_", F.sum("starts_").over(in_day.rowsBetween(Window.unboundedPreceding, 0)))
+    out = counted.join(numbers, [*keys, "day_"]).withColumn("cluster", F.col("earlier_") + F.col("within_"))
+    sizes = out.groupBy(*keys, "cluster").agg(F.count("*").alias("members")).where(F.col("members") >= least)
+    return out.join(sizes, [*keys, "cluster"]).drop("ts_", "day_", "before_", "carried_", "p_", "starts_", "earlier_", "within_")
 
 
 def nearest_in_time(queries: DataFrame, refs: DataFrame, ts: str, order: str, carry: list[str], max_hours: int = 24) -> DataFrame:
     """Each query with the nearest reference within max_hours before it or at or after it; a tie goes to the earlier.
 
-    Both sides are unioned and scanned once per island; references at a query's own
-    time come after it. Columns: the query's, `ref_<c>` for c in carry, `seconds`.
+    Time is cut into spans of max_hours; a reference stands in its own span and the
+    two beside it, where every query that may take it is. Both sides are unioned and
+    scanned once a span; references at a query's own time come after it. Columns:
+    the query's, `ref_<c>` for c in carry, `seconds`.
     """
-    secs = F.unix_micros(F.col(ts).cast("timestamp"))
-    q = queries.select(F.lit(0).alias("side"), F.col(ts).alias("ts_"), F.col(order).alias("o_"), secs.alias("t_"), F.struct(*queries.columns).alias("row"), F.lit(None).cast(refs.select(F.struct(*carry)).schema[0].dataType).alias("ref"))
-    r = refs.select(F.lit(1).alias("side"), F.col(ts).alias("ts_"), F.col(order).alias("o_"), secs.alias("t_"), F.lit(None).cast(q.schema["row"].dataType).alias("row"), F.struct(*carry).alias("ref"))
-    both = islands(q.unionByName(r), "ts_", max_hours // 24 + 2)
-    w = Window.partitionBy("island").orderBy("ts_", "side", "o_")
+    micros, width = F.unix_micros(F.col(ts).cast("timestamp")), max_hours * 3_600_000_000
+    span = F.floor(micros / width)
+    kind = refs.select(F.struct(*carry)).schema[0].dataType
+    q = queries.select(F.lit(0).alias("side"), F.col(order).alias("o_"), micros.alias("t_"), span.alias("span"), F.struct(*queries.columns).alias("row"), F.lit(None).cast(kind).alias("ref"))
+    r = refs.select(F.lit(1).alias("side"), F.col(order).alias("o_"), micros.alias("t_"), F.explode(F.sequence(span - 1, span + 1)).alias("span"), F.lit(None).cast(q.schema["row"].dataType).alias("row"), F.struct(*carry).alias("ref"))
+    w = Window.partitionBy("span").orderBy("t_", "side", "o_")
     found = F.when(F.col("side") == 1, F.struct("t_", "ref"))
     last = F.last(found, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     first = F.first(found, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    both = both.withColumn("b_", last).withColumn("a_", first).where("side = 0")
+    both = q.unionByName(r).withColumns({"b_": last, "a_": first}).where("side = 0")
     back, ahead = F.col("t_") - F.col("b_.t_"), F.col("a_.t_") - F.col("t_")
     pick = F.when(F.col("b_").isNull(), F.col("a_")).when(F.col("a_").isNull() | (back <= ahead), F.col("b_")).otherwise(F.col("a_"))
     out = both.withColumn("pick_", pick).withColumn("seconds", F.abs(F.col("pick_.t_") - F.col("t_")) / 1e6)
     hit = F.col("seconds") <= max_hours * 3600
+    # a query without a time has no nearest
     return out.select("row.*", *(F.when(hit, F.col(f"pick_.ref.{c}")).alias(f"ref_{c}") for c in carry), F.when(hit, F.col("seconds")).alias("seconds"))
 
 

@@ -358,8 +358,8 @@ SESSIONS = f"""s AS (SELECT *, lag(ts) OVER w AS pts, lag(country) OVER w AS pc,
 def _sessions(spark, d) -> DataFrame:
     rows = media(spark, d).where("album_id IS NULL AND is_duplicate = 0")
     out = tl.sessionize(rows, ["library"], home_code="BU")
-    first = out.groupBy("library", "island", "cluster").agg(F.min("id").alias("event"))
-    return out.join(first, ["library", "island", "cluster"])
+    first = out.groupBy("library", "cluster").agg(F.min("id").alias("event"))
+    return out.join(first, ["library", "cluster"])
 
 
 @query(f"WITH {MEDIA}, {SESSIONS} SELECT id, library, event, members FROM k WHERE members >= 3")

@@ -108,7 +108,7 @@ def catalogue_stages() -> list[Stage]:
     def group(t: Tables) -> Tables:
         p = t["photos"].withColumn("cc", F.col("country_code"))
         events = timeline.sessionize(p.where("album_id IS NULL AND is_duplicate = 0"))
-        keys = ["island", "cluster"]
+        keys = ["cluster"]
         named = grouping.profile(events, keys, "ts", ["ts", "id"]).withColumn("name", grouping.album_name())
         named = grouping.dated_names(named, "name", "first_ts", ["first_ts", *keys]).withColumn("album", F.xxhash64("unique_name"))
         member = events.join(named.select(*keys, "album", "unique_name"), keys).select("id", F.col("album").alias("album_id"), F.col("unique_name").alias("album_name"))

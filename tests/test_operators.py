@@ -45,10 +45,10 @@ def test_sessions_match_a_loop(spark):
     got = {}
     out = timeline.sessionize(frame(spark, rows, "id long, ts timestamp_ntz, country string, cc string, lat double, lon double"))
     for r in out.collect():
-        got.setdefault((r.island, r.cluster), []).append(r.id)
+        got.setdefault(r.cluster, []).append(r.id)
     assert sorted(sorted(v) for v in got.values()) == [c for c in clusters if len(c) >= 3]
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(island" in plan
+    assert "hashpartitioning(day_" in plan
 
 
 def test_nearest_in_time_matches_a_loop(spark):
