@@ -170,18 +170,16 @@ def export_routing(spark, d):
     return media(spark, d).where("is_duplicate = 0").select("id", F.when(F.col("album_id").isNotNull(), album).otherwise(F.concat(F.lit("Unsorted "), dates.year_or_undated(F.col("best_date")))).alias("target"))
 
 
-@query(r"SELECT conv_id, turn, regexp_extract(t, '\{[\s\S]*\}') AS greedy, regexp_extract(t, '\{[\s\S]*?\}') AS lazy FROM (SELECT conv_id, turn, 'x {' || substr(text, 1, 20) || '} y {z} ' || role AS t FROM conversations WHERE text NOT LIKE '%{%' AND text NOT LIKE '%}%')")
+@query(r"SELECT conv_id, turn, regexp_extract(t, '\{[\s\S]*\}') AS greedy, regexp_extract(t, '\{[\s\S]*?\}') AS lazy FROM (SELECT conv_id, turn, 'x {' || text || '} y {z} ' || role AS t FROM conversations)")
 def json_extractors(spark, d):
-    c = table(spark, d, "conversations").where(~F.contains("text", F.lit("{")) & ~F.contains("text", F.lit("}")))
-    t = F.concat(F.lit("x {"), F.substring("text", 1, 20), F.lit("} y {z} "), "role")
-    return c.select("conv_id", "turn", tx.json_greedy(t).alias("greedy"), tx.json_lazy(t).alias("lazy"))
+    t = F.concat(F.lit("x {"), "text", F.lit("} y {z} "), "role")
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.json_greedy(t).alias("greedy"), tx.json_lazy(t).alias("lazy"))
 
 
-@query("SELECT conv_id, turn, '{\"a\": {\"b\": ' || turn || '}}' AS found FROM conversations WHERE text NOT LIKE '%{%' AND text NOT LIKE '%}%'")
+@query("SELECT conv_id, turn, '{\"a\": {\"b\": ' || turn || '}}' AS found FROM conversations")
 def json_balanced(spark, d):
-    c = table(spark, d, "conversations").where(~F.contains("text", F.lit("{")) & ~F.contains("text", F.lit("}")))
-    t = F.concat(F.lit('```json\nsee {"a": {"b": '), F.col("turn").cast("string"), F.lit("}} and {c} "), F.substring("text", 1, 10))
-    return c.select("conv_id", "turn", tx.json_balanced(t).alias("found"))
+    t = F.concat(F.lit('```json\nsee {"a": {"b": '), F.col("turn").cast("string"), F.lit("}} and {c} "), "text")
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.json_balanced(t).alias("found"))
 
 
 @query("SELECT s_suppkey, CAST(floor(a) AS BIGINT) AS deg, CAST(floor((a - floor(a)) * 60) AS BIGINT) AS min, CAST(round(((a - floor(a)) * 60 - floor((a - floor(a)) * 60)) * 60 * 10000) AS BIGINT) AS sec_e4 FROM (SELECT s_suppkey, abs(-3 + ((s_suppkey * 29) % 400) / 1e2) AS a FROM supplier)")
@@ -203,25 +201,24 @@ def potential_score(spark, d):
     return table(spark, d, "part").select("p_partkey", sc.technical(F.col("p_size").cast("double"), (k % 100).cast("double"), (k % 2).cast("double")).alias("technical"), F.round(sc.album_potential(k % 50, F.col("p_retailprice"), odd, k % 3 == 2, odd), 4).alias("potential"))
 
 
-@query("SELECT doc_id, md5(n || substr(text, 1, 100) || CASE WHEN n > 200 THEN substr(text, length(text) - 99) ELSE '' END) AS hash FROM (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) = strlen(text))")
+@query("SELECT doc_id, md5(encode(CAST(n AS VARCHAR)) || array_slice(b, 1, 100) || CASE WHEN n > 200 THEN array_slice(b, n - 99, n) ELSE encode('') END) AS hash FROM (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents)")
 def content_md5(spark, d):
-    docs = table(spark, d, "documents").where(F.length("text") == F.octet_length("text"))
-    return docs.select("doc_id", sc.partial_md5(F.length("text"), F.col("text").cast("binary"), chunk=100).alias("hash"))
+    return table(spark, d, "documents").select("doc_id", sc.partial_md5(F.octet_length("text"), F.col("text").cast("binary"), chunk=100).alias("hash"))
 
 
 # Joins
 
 
-@query("SELECT o_orderkey AS id, o_totalprice AS size, c_name AS album, n_name AS make, r_name AS model FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 3 <> 0 LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey AS id, o_totalprice AS size, c_name AS album, n_name AS make, r_name AS model FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 1 LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'F'")
 def catalog_join4(spark, d):
     o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
-    out = o.where("o_orderstatus = 'F'").join(c, o.o_custkey == c.c_custkey).join(n.where("n_nationkey % 3 <> 0"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    out = o.where("o_orderstatus = 'F'").join(c, o.o_custkey == c.c_custkey).join(n.where("n_regionkey <> 1"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return out.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("size"), F.col("c_name").alias("album"), F.col("n_name").alias("make"), F.col("r_name").alias("model"))
 
 
-@query("SELECT c_custkey, count(o_orderkey) AS files FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' AND o_orderkey % 5 = 0 GROUP BY c_custkey")
+@query("SELECT c_custkey, count(o_orderkey) AS files FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' GROUP BY c_custkey")
 def album_counts_left_residual(spark, d):
-    live = table(spark, d, "orders").where("o_orderstatus = 'F' AND o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    live = table(spark, d, "orders").where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     return table(spark, d, "customer").select("c_custkey").join(live, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("files"))
 
 
@@ -262,13 +259,13 @@ def sync_actions(spark, d):
     return f.join(c, "name", "left").select("name", "n", F.when(F.col("there").isNull(), "create").otherwise("update").alias("action"))
 
 
-TIMELINE = "q AS (SELECT event_id AS id, ts, user_id % 5 AS album FROM events WHERE event_type = 'view'), r AS (SELECT event_id AS id, ts, user_id % 5 AS album FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0)"
+TIMELINE = "q AS (SELECT event_id AS id, ts, user_id % 5 AS album FROM events WHERE event_type = 'view'), r AS (SELECT event_id AS id, ts, user_id % 5 AS album FROM events WHERE event_type = 'purchase' AND value > 185)"
 
 
 @query(f"WITH {TIMELINE}, b AS (SELECT q.id, q.album, r.id AS rid, r.album AS ralbum, abs(epoch_us(r.ts) - epoch_us(q.ts)) AS gap, r.ts < q.ts AS earlier FROM q JOIN r ON abs(epoch_us(r.ts) - epoch_us(q.ts)) <= 24 * 3600000000), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, earlier DESC, CASE WHEN earlier THEN -rid ELSE rid END) AS k FROM b) SELECT q.id, n.rid AS ref_id, round(gap / 1e6, 3) AS seconds, CASE WHEN gap / 3.6e9 <= 0.5 THEN 'high' WHEN gap / 3.6e9 <= 6 AND n.album = ralbum THEN 'high' WHEN gap / 3.6e9 <= 24 AND n.album = ralbum THEN 'medium' WHEN gap / 3.6e9 <= 6 THEN 'medium' END AS confidence FROM q LEFT JOIN n ON q.id = n.id AND k = 1")
 def asof_nearest(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", (F.col("user_id") % 5).alias("album"), "event_type")
-    q, r = e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'purchase' AND id % 50 = 0").drop("event_type")
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", (F.col("user_id") % 5).alias("album"), "event_type", "value")
+    q, r = (e.where(c).drop("event_type", "value") for c in ("event_type = 'view'", "event_type = 'purchase' AND value > 185"))
     near = tl.nearest_in_time(q, r, "ts", "id", ["id", "album"])
     same = F.coalesce(F.col("album") == F.col("ref_album"), F.lit(False))
     return near.select("id", "ref_id", F.round("seconds", 3).alias("seconds"), sc.temporal_confidence(F.col("seconds") / 3600, same).alias("confidence"))
@@ -279,17 +276,17 @@ def reverse_geocode_tiered(spark, d):
     return nr.reverse_geocode(media(spark, d).where("lat IS NOT NULL"), places(spark, d).drop("pop")).select("lat", "lon", "ord", "name", F.round("km", 4).alias("km"))
 
 
-@query("WITH q AS (SELECT DISTINCT CASE WHEN p_partkey % 10 = 0 THEN 'supplier#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') WHEN p_partkey % 10 = 1 THEN '#00000' || p_partkey ELSE p_name END AS name FROM part WHERE p_partkey < 400), e AS (SELECT name, arg_min(s_name, s_suppkey) AS x FROM q JOIN supplier ON lower(name) = lower(s_name) GROUP BY name), l AS (SELECT name, arg_min(s_name, s_suppkey) AS y FROM q JOIN supplier ON contains(lower(name), lower(s_name)) OR contains(lower(s_name), lower(name)) GROUP BY name) SELECT q.name, coalesce(x, y) AS place FROM q LEFT JOIN e ON q.name = e.name LEFT JOIN l ON q.name = l.name")
+@query("WITH q AS (SELECT DISTINCT CASE WHEN p_partkey % 10 = 0 THEN 'supplier#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') WHEN p_partkey % 10 = 1 THEN '#00000' || p_partkey ELSE p_name END AS name FROM part), e AS (SELECT name, arg_min(s_name, s_suppkey) AS x FROM q JOIN supplier ON lower(name) = lower(s_name) GROUP BY name), l AS (SELECT name, arg_min(s_name, s_suppkey) AS y FROM q JOIN supplier ON contains(lower(name), lower(s_name)) OR contains(lower(s_name), lower(name)) GROUP BY name) SELECT q.name, coalesce(x, y) AS place FROM q LEFT JOIN e ON q.name = e.name LEFT JOIN l ON q.name = l.name")
 def fuzzy_place_lookup(spark, d):
-    q = table(spark, d, "part").where("p_partkey < 400").select(F.expr("CASE WHEN p_partkey % 10 = 0 THEN concat('supplier#', lpad(cast(p_partkey as string), 9, '0')) WHEN p_partkey % 10 = 1 THEN concat('#00000', p_partkey) ELSE p_name END").alias("name"))
+    q = table(spark, d, "part").select(F.expr("CASE WHEN p_partkey % 10 = 0 THEN concat('supplier#', lpad(cast(p_partkey as string), 9, '0')) WHEN p_partkey % 10 = 1 THEN concat('#00000', p_partkey) ELSE p_name END").alias("name"))
     return nr.contained_name(q, table(spark, d, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name")))
 
 
-@query(f"WITH {MEDIA}, p AS (SELECT id, lat + 0.02 AS lat, lon FROM media WHERE lat IS NOT NULL AND id % 10 = 0), r AS (SELECT id, lat, lon, best_date FROM media WHERE lat IS NOT NULL AND id % 10 = 3), m AS (SELECT p.id, r.best_date AS ref, sqrt((p.lat - r.lat) * (p.lat - r.lat) + (p.lon - r.lon) * (p.lon - r.lon)) AS far, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.lat - r.lat) * (p.lat - r.lat) + (p.lon - r.lon) * (p.lon - r.lon)), r.lat, r.lon, r.id) AS k FROM p, r WHERE sqrt((p.lat - r.lat) * (p.lat - r.lat) + (p.lon - r.lon) * (p.lon - r.lon)) < 0.05) SELECT id, ref, round(far, 6) AS far FROM m WHERE k = 1")
+@query(f"WITH {MEDIA}, p AS (SELECT id, lat + 0.02 AS lat, lon FROM media WHERE lat IS NOT NULL AND id % 10 = 0), r AS (SELECT id, lat, lon, best_date FROM media WHERE lat IS NOT NULL AND id % 10 <> 0), m AS (SELECT p.id, r.best_date AS ref, sqrt((p.lat - r.lat) * (p.lat - r.lat) + (p.lon - r.lon) * (p.lon - r.lon)) AS far, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.lat - r.lat) * (p.lat - r.lat) + (p.lon - r.lon) * (p.lon - r.lon)), r.lat, r.lon, r.id) AS k FROM p, r WHERE sqrt((p.lat - r.lat) * (p.lat - r.lat) + (p.lon - r.lon) * (p.lon - r.lon)) < 0.05) SELECT id, ref, round(far, 6) AS far FROM m WHERE k = 1")
 def gps_nearest_good(spark, d):
     m = media(spark, d).where("lat IS NOT NULL")
     p = m.where("id % 10 = 0").select("id", (F.col("lat") + 0.02).alias("lat"), "lon")
-    return nr.nearest_within(p, m.where("id % 10 = 3"), carry="best_date").select("id", "ref", F.round("far", 6).alias("far"))
+    return nr.nearest_within(p, m.where("id % 10 <> 0"), carry="best_date").select("id", "ref", F.round("far", 6).alias("far"))
 
 
 @query(f"WITH {HASHES}, m AS (SELECT q.id, r.id AS rid, bit_count(xor(q.word, r.word)) AS d FROM hashes q, hashes r WHERE q.id % 2 = 0 AND r.id % 2 = 1), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, rid) AS k FROM m WHERE d <= 16) SELECT h.id, n.rid AS ref_id, CAST(n.d AS INTEGER) AS distance, CASE WHEN n.d <= 12 THEN 'high' WHEN n.d <= 14 THEN 'medium' WHEN n.d <= 16 THEN 'low' END AS confidence FROM hashes h LEFT JOIN n ON h.id = n.id AND k = 1 WHERE h.id % 2 = 0")
@@ -299,9 +296,9 @@ def hamming_nearest(spark, d):
     return near.select("id", "ref_id", "distance", sc.similarity_confidence(F.col("distance"), 12, 14, 16).alias("confidence"))
 
 
-@query(f"WITH {SEQUENCE}, s AS (SELECT * FROM sequence WHERE dir <= 12), b AS (SELECT * FROM s WHERE number % 4 = 0 OR date LIKE '%-01-01T00:00:00'), g AS (SELECT * FROM s WHERE number % 4 <> 0 AND date NOT LIKE '%-01-01T00:00:00'), m AS (SELECT b.dir, b.number, g.date, row_number() OVER (PARTITION BY b.dir, b.number ORDER BY abs(g.number - b.number), g.number) AS k FROM b JOIN g ON b.dir = g.dir), n AS (SELECT dir, number, date, row_number() OVER (PARTITION BY dir, number ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY dir, number) AS c FROM m WHERE k <= 20) SELECT dir, number, date AS filled FROM n WHERE i = c // 2")
+@query(f"WITH {SEQUENCE}, s AS (SELECT * FROM sequence), b AS (SELECT * FROM s WHERE number % 4 = 0 OR date LIKE '%-01-01T00:00:00'), g AS (SELECT * FROM s WHERE number % 4 <> 0 AND date NOT LIKE '%-01-01T00:00:00'), m AS (SELECT b.dir, b.number, g.date, row_number() OVER (PARTITION BY b.dir, b.number ORDER BY abs(g.number - b.number), g.number) AS k FROM b JOIN g ON b.dir = g.dir), n AS (SELECT dir, number, date, row_number() OVER (PARTITION BY dir, number ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY dir, number) AS c FROM m WHERE k <= 20) SELECT dir, number, date AS filled FROM n WHERE i = c // 2")
 def neighbor_topk_median(spark, d):
-    s = sequence(spark, d).where("dir <= 12")
+    s = sequence(spark, d)
     rows = s.withColumn("date", F.when(F.col("number") % 4 == 0, F.lit(None)).otherwise(F.col("date")))
     return tl.neighbour_median(rows.select("dir", "number", "id", "date"), ["dir"], "number", "date").select("dir", "number", "filled")
 
@@ -456,24 +453,24 @@ def union_distinct(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, d, "supplier").select("s_nationkey")).distinct().agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000")
 def set_difference(spark, d):
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(table(spark, d, "supplier").where("s_suppkey % 3 = 0").select("s_nationkey"))
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(table(spark, d, "supplier").where("s_acctbal > 8000").select("s_nationkey"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL THEN a.v ELSE b.v END AS v FROM (SELECT s_suppkey AS k, s_name AS v FROM supplier WHERE s_suppkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey < 200) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL THEN a.v ELSE b.v END AS v FROM (SELECT s_suppkey AS k, s_name AS v FROM supplier) a FULL JOIN (SELECT c_custkey AS k, c_name AS v FROM customer) b ON a.k = b.k")
 def source_priority_union(spark, d):
-    a = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
-    b = table(spark, d, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
     return tb.priority_union([a, b], ["k"])
 
 
-OLD_NEW = "old AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), new AS (SELECT s_suppkey * 2 AS k, max(s_acctbal) AS v FROM supplier GROUP BY 1)"
+OLD_NEW = "old AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer), new AS (SELECT s_suppkey * 20 AS k, max(s_acctbal) AS v FROM supplier GROUP BY 1)"
 
 
 def _old_new(spark, d):
-    old = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return old, table(spark, d, "supplier").groupBy((F.col("s_suppkey") * 2).alias("k")).agg(F.max("s_acctbal").alias("v"))
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return old, table(spark, d, "supplier").groupBy((F.col("s_suppkey") * 20).alias("k")).agg(F.max("s_acctbal").alias("v"))
 
 
 @query(f"WITH {OLD_NEW} SELECT k, v FROM old UNION ALL SELECT k, v FROM new WHERE k NOT IN (SELECT k FROM old)")
@@ -523,11 +520,11 @@ def manifest_counts(spark, d):
     return media(spark, d).where("album_id IS NOT NULL AND is_duplicate = 0").groupBy(F.col("album_id").alias("album")).agg(F.count("*").alias("file_count"), F.min(F.substring("best_date", 1, 4)).alias("year"))
 
 
-@query(f"WITH {MEDIA}, m AS (SELECT album_id AS album, count(*) AS file_count FROM media WHERE album_id < 20 GROUP BY 1) SELECT '[' || string_agg('{{\"album\":' || album || ',\"file_count\":' || file_count || '}}', ',' ORDER BY album) || ']' AS manifest FROM m")
+@query(f"WITH {MEDIA}, m AS (SELECT album_id AS album, count(*) AS file_count FROM media WHERE album_id IS NOT NULL GROUP BY 1) SELECT '[' || string_agg('{{\"album\":' || album || ',\"file_count\":' || file_count || '}}', ',' ORDER BY album) || ']' AS manifest FROM m")
 def manifest_json(spark, d):
     from ..sources.sinks import as_json
 
-    m = media(spark, d).where("album_id < 20").groupBy(F.col("album_id").alias("album")).agg(F.count("*").alias("file_count"))
+    m = media(spark, d).where("album_id IS NOT NULL").groupBy(F.col("album_id").alias("album")).agg(F.count("*").alias("file_count"))
     return as_json(m, "album")
 
 
@@ -548,19 +545,19 @@ def album_requests(spark, d):
     return album_requests(rows, 200).select("album_id", "chunk", F.size(ids).cast("bigint").alias("n"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start_, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+@query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start_, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def tumbling_windows(spark, d):
     from ..streaming.workers import windowed
 
-    return windowed(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 day").select(F.col("start").cast("timestamp_ntz").alias("start_"), "event_type", "n", F.round("value", 4).alias("value"))
+    return windowed(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 day").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start_"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
-@query("WITH l AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 6 * 3600000000 THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT user_id, min(ts) AS start_, count(*) AS n FROM s GROUP BY user_id, k")
+@query("WITH l AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 6 * 3600000000 THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_, count(*) AS n FROM s GROUP BY user_id, k")
 def gap_sessions(spark, d):
     from ..streaming.workers import sessions
 
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return sessions(e, "ts", ["user_id"], "6 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start_"), "n")
+    return sessions(e, "ts", ["user_id"], "6 hours").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start_"), "n")
 
 
 @query("SELECT a.id, a.p, CASE WHEN a.p < 64 THEN CAST(floor(15 + (68 - 15) * a.p / 64.0) AS BIGINT) WHEN a.p < 128 THEN CAST(floor(68 + (133 - 68) * (a.p - 64) / 64.0) AS BIGINT) WHEN a.p < 192 THEN CAST(floor(133 + (200 - 133) * (a.p - 128) / 64.0) AS BIGINT) ELSE CAST(floor(200 + 55 * (a.p - 192) / 63.0 + 1e-9) AS BIGINT) END AS graded FROM (SELECT p_partkey AS id, p_partkey % 256 AS p FROM part) a")
@@ -588,7 +585,7 @@ def image_metrics(spark, d):
     from ..shipping import ship
 
     ship(spark)
-    p = table(spark, d, "part").where("p_partkey < 500").select("p_partkey", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: (i * (F.col("p_partkey") + 1)).cast("int") % 256).alias("gray"))
+    p = table(spark, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: (i * (F.col("p_partkey") + 1)).cast("int") % 256).alias("gray"))
     return p.select("p_partkey", technical_udf()("gray", F.lit(16)).alias("m")).select("p_partkey", "m.*")
 
 
