@@ -132,3 +132,40 @@ def renamed(rows: DataFrame, name: str, year: str, order: list[str]) -> DataFram
     again = F.sum(F.when(F.col("k_") > 1, 1).otherwise(0)).over(Window.partitionBy(name, year).orderBy(*order))
     tag = F.when(again == 1, F.col(year).cast("string")).otherwise(F.concat(F.col(year).cast("string"), F.lit("-"), again.cast("string")))
     return rows.withColumn("unique_name", F.when(F.col("k_") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), tag, F.lit(")")))).drop("k_")
+
+
+def album_context(rows: DataFrame, keys: list[str], ts: str, order: list[str], home: str = "United Kingdom") -> DataFrame:
+    """What a name for an album is made from: profile, month, year, the five commonest tags, the three commonest scenes, and whether it was abroad.
+
+    rows: tags (array), scene and activity beside the profile's columns; scenes and activities other than `none` count together.
+    """
+    from ..functions.fixed import HOLIDAY_COUNTRIES
+
+    base = profile(rows, keys, ts, order)
+    tags = top_terms(rows.select(*keys, F.explode("tags").alias("tag")).where("tag <> ''"), keys, "tag", 5)
+    seen = rows.select(*keys, F.explode(F.array("scene", "activity")).alias("seen")).where("seen IS NOT NULL AND seen NOT IN ('', 'none')")
+    out = base.join(tags.withColumnRenamed("top", "tags"), keys, "left").join(top_terms(seen, keys, "seen", 3).withColumnRenamed("top", "scenes"), keys, "left")
+    kind = F.when(F.col("country").isin(HOLIDAY_COUNTRIES), "abroad").when(F.coalesce(F.col("country") == home, F.lit(False)) & (F.col("days") >= 2), "domestic").otherwise("local")
+    return out.withColumns({"year": F.year("first_ts"), "month": F.date_format("first_ts", "MMMM"), "kind": kind})
+
+
+def album_type(home: str = "United Kingdom") -> Column:
+    """`holiday` or `event`, over a group's rows (an aggregate)."""
+    from ..functions.fixed import HOLIDAY_SCENES
+
+    scenic = F.coalesce(F.bool_or(F.col("scene").isin(HOLIDAY_SCENES)), F.lit(False))
+    return F.when(scenic | F.coalesce(F.first(F.col("primary_country"), ignorenulls=True) != home, F.lit(False)), "holiday").otherwise("event")
+
+
+def collage_rows(rows: DataFrame, keys: list[str], score: str, order: str, least: int = 6, cells: int = 6) -> DataFrame:
+    """The best rows of groups that have enough of them, with `cell`, their place from 0."""
+    ranked = _numbered(rows, keys, [F.desc(score), F.col(order)])
+    return ranked.where((F.col("n_") >= least) & (F.col("r_") < cells)).withColumnRenamed("r_", "cell").drop("n_")
+
+
+def eta(counters: DataFrame, order: str, seconds_each: float, last: int = 20) -> DataFrame:
+    """done, total, rows a line and seconds left, from the last lines of a progress log (a log's tail, at most `last` rows)."""
+    tail = counters.orderBy(F.desc(order)).limit(last)
+    ends = tail.agg(F.max_by("done", order).alias("done"), F.max_by("total", order).alias("total"), F.min_by("done", order).alias("begin"), F.count("*").alias("lines"))
+    rate = F.try_divide(F.col("done") - F.col("begin"), F.col("lines") - 1)
+    return ends.select("done", "total", rate.alias("rows_a_line"), ((F.col("total") - F.col("done")) * seconds_each).alias("seconds_left"))

@@ -100,3 +100,30 @@ def technical_udf():
         return pd.DataFrame(out, columns=["sharpness", "exposure", "exposure_ok", "phash"])
 
     return of
+
+
+def reduced(rgb: np.ndarray, longest: int) -> np.ndarray:
+    """The picture with its longer side at most longest: means of whole blocks of pixels."""
+    step = -(-max(rgb.shape[:2]) // longest)
+    if step <= 1:
+        return rgb
+    h, w = (max(1, n // step) for n in rgb.shape[:2])
+    cut = rgb[: h * step, : w * step].reshape(h, min(step, rgb.shape[0]), w, min(step, rgb.shape[1]), -1)
+    return cut.mean(axis=(1, 3)).astype(np.uint8)
+
+
+def upright(rgb: np.ndarray, orientation: int | None) -> np.ndarray:
+    """The picture turned as its orientation tag says (3: half a turn, 6: a quarter clockwise, 8: a quarter counter-clockwise)."""
+    return np.rot90(rgb, {3: 2, 6: 3, 8: 1}.get(orientation or 1, 0))
+
+
+def gradient_bar(rgb: np.ndarray, top: bool, height: int = 240, strength: float = 0.78) -> np.ndarray:
+    """A band at the top or bottom that darkens toward the edge, for text to be read on."""
+    height = min(height, rgb.shape[0])
+    ramp = 1 - strength * np.linspace(1, 0, height)
+    out = rgb.astype(np.float64)
+    if top:
+        out[:height] *= ramp[:, None, None]
+    else:
+        out[-height:] *= ramp[::-1, None, None]
+    return out.astype(np.uint8)

@@ -248,3 +248,29 @@ def test_control_break(spark):
 def test_crop(spark, w, h, box):
     got = spark.range(1).select(image.crop_box(F.lit(w), F.lit(h), 1080, 1350).alias("b")).first().b
     assert tuple(got) == box
+
+
+def test_album_context_and_types(spark):
+    rows = [("a", 1, T0, "Japan", "Kyoto", ["x", "y"], "beach", "none"), ("a", 2, T0 + timedelta(days=3), "Japan", "Kyoto", ["y"], "food", "beach"), ("b", 3, T0, "United Kingdom", "Leeds", [], None, None)]
+    df = frame(spark, rows, "k string, id long, ts timestamp_ntz, country string, city string, tags array<string>, scene string, activity string")
+    got = {r.k: r for r in grouping.album_context(df, ["k"], "ts", ["ts", "id"]).collect()}
+    assert (got["a"].tags, got["a"].scenes, got["a"].kind, got["a"].month, got["a"].days) == (["y", "x"], ["beach", "food"], "abroad", "January", 3)
+    assert (got["b"].tags, got["b"].kind) == (None, "local")
+    kinds = df.withColumn("primary_country", F.col("country")).groupBy("k").agg(grouping.album_type().alias("t")).collect()
+    assert {r.k: r.t for r in kinds} == {"a": "holiday", "b": "event"}
+
+
+def test_collage_and_eta(spark):
+    rows = frame(spark, [("a", k, float(k)) for k in range(8)] + [("b", k, 1.0) for k in range(5)], "album string, id long, score double")
+    assert [(r.id, r.cell) for r in grouping.collage_rows(rows, ["album"], "score", "id").orderBy("cell").collect()] == [(7 - k, k) for k in range(6)]
+    log = frame(spark, [(k, 10 * k, 1000) for k in range(30)], "line long, done long, total long")
+    assert tuple(grouping.eta(log, "line", 2.0).first()) == (290, 1000, 10.0, 1420.0)
+    assert grouping.eta(log.limit(0), "line", 2.0).first().done is None
+
+
+def test_picture_geometry():
+    a = np.arange(24).reshape(2, 4, 3).astype(np.uint8)
+    assert image.upright(a, 6).shape == (4, 2, 3) and (image.upright(image.upright(a, 3), 3) == a).all() and (image.upright(a, None) == a).all()
+    assert image.reduced(np.full((400, 200, 3), 7, np.uint8), 100).shape == (100, 50, 3)
+    bar = image.gradient_bar(np.full((10, 4, 3), 200, np.uint8), top=False, height=5)
+    assert bar[0, 0, 0] == 200 and bar[-1, 0, 0] < 60

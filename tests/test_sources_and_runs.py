@@ -181,3 +181,43 @@ def test_windows_stream_like_batches(spark, tmp_path):
     q = workers.windowed(stream, "ts", ["kind"], "1 hour", "30 minutes").writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("w").collect())) == want
+
+
+def test_whole_workflow(spark, tree, tmp_path):
+    from lumenfold.plans.stages import Settings, workflow
+
+    (tree / "places").mkdir()
+    house = str(tmp_path / "house")
+    spark.createDataFrame([(0, "Paris", 48.85, 2.35, "FR")], "ord long, name string, lat double, lon double, cc string").write.parquet(f"{house}/places/source")
+    s = Settings(spark, {"primary": str(tree)}, (".thumbs",), export_root=str(tmp_path / "out"))
+    stages = {x.name: x for x in workflow(s)}
+    run = runner.Runner(spark, house, list(stages.values()))
+    assert run.run("scan")[0]["rows"]["photos"] == 5
+    assert run.run("2")[0]["rows"]["photos"] == 5
+    merged = spark.read.parquet(f"{house}/photos/merge-sidecars")
+    assert {r.filename: (r.best_date, r.json_merged) for r in merged.where("has_json_sidecar = 1").collect()}["IMG_0001.jpg"] == ("2019-06-15T10:15:00+00:00", 1)
+    with pytest.raises(RuntimeError, match="vision"):
+        run.run("classify")
+
+
+def test_curation_stages(spark, tmp_path):
+    from lumenfold.plans.stages import Settings, curation
+
+    house, f = str(tmp_path), spark.createDataFrame
+    files = [("Japan trip", f"/j/{k:02d}.jpg") for k in range(20)] + [("small", "/s/1.jpg")]
+    f(files, "album_name string, file_path string").write.parquet(f"{house}/album_files/source")
+    f([(p, 10.0 + k, 50.0, True, 1000, 900 if k else 700) for k, (_, p) in enumerate(files)], "file_path string, sharpness double, exposure double, exposure_ok boolean, width int, height int").write.parquet(f"{house}/metrics/source")
+    f([], "file_path string, album_name string, technical_score double, ai_score double, ai_mood string, final_score double, exposure_ok boolean, resolution_ok boolean").write.parquet(f"{house}/scores/source")
+    f([("gone", "/x", 1)], "album_name string, file_path string, rank long").write.parquet(f"{house}/curated/source")
+    f([], "album_name string, caption string, hashtags array<string>, alt_text string").write.parquet(f"{house}/captions/source")
+
+    def client(prompt, picture):
+        return '{"instagram_score": 7, "mood": "soft", "caption": "c", "hashtags": ["#a"], "alt_text": "t"}'
+
+    run = runner.Runner(spark, house, curation(Settings(spark, vision=client, writer=client, export_root="/out")))
+    report = {r["stage"]: r["rows"] for r in run.run()}
+    assert report["purge"] == {"scores": 0, "curated": 0, "captions": 0}
+    assert report["score"] == {"scores": 20} and report["curate"] == {"curated": 9} and report["caption"] == {"captions": 1}
+    assert report["edit"] == {"edits": 18, "collages": 6} and report["package"] == {"package": 10}
+    assert spark.read.parquet(f"{house}/summary/summary").first().phase == "ready"
+    assert spark.read.parquet(f"{house}/potential/discover").first().potential > 2.5
