@@ -128,9 +128,9 @@ def consensus_month(rows: DataFrame, keys: list[str], date: str, share: float =
 def neighbour_median(rows: DataFrame, keys: list[str], number: str, date: str, k: int = 20, order: str = "id") -> DataFrame:
     """For rows with bad dates, the upper median of the dates of the k nearest good ones by number in their directory.
 
-    A self-join within a directory would hold all pairs of a large one. The k nearest
-    by number are among the k rows before and the k after, so two framed windows see
-    every candidate and cost 2k a row.
+    A self-join within a directory would hold all pairs of a large one. Good rows are
+    ranked instead: the k nearest by number are among the k ranked before a bad row
+    and the k after it, which lie in at most three cells of k ranks, joined by cell.
     """
     good = ~is_default(F.col(date))
     w = Window.partitionBy(*keys).orderBy(number, order)
