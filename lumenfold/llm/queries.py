@@ -79,7 +79,7 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-#: The others have no SQL form here: XXH64, tokenizers, framed files, regular-expression ranks and trained models; tests hold them against brute force.
+#: Operators without SQL rest on XXH64, tokenizers, framed files, hundreds of ranked patterns or trained models; tests hold those against brute force.
 PASSAGES = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT doc_id, ws, len(ws) AS n FROM w),
@@ -93,4 +93,6 @@ SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_fm_dedup": PASSAGES}
+    from . import quality_sql, seeds_sql
+
+    return {"op5_spaced_seeds": seeds_sql.statement(), "op7_fm_dedup": PASSAGES, "op10_quality_rules": quality_sql.statement()}
