@@ -2,7 +2,8 @@
 
 Both vocabularies cut a text at white space before they merge, so a text's ids
 are the ids of its units in a row. A worker keeps the ids of units it has met in
-a bounded table and asks the library for the others. Texts for which a cut at
+a bounded table and asks the library for the others: its model alone for a unit of
+letters, which no cut divides, else all of it. Texts for which a cut at
 single spaces might differ from the library's own cut (double spaces, rare white
 space, strings of special tokens) go to it whole.
 """
@@ -28,6 +29,15 @@ _RARE_STARTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x
 _RARE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The code points that byte-level vocabularies write bytes as: printable bytes stand for themselves, the others follow from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in kept)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def _cut_may_differ(raw: bytes) -> bool:
     if b"<|" in raw or b"  " in raw or _CONTROL.search(raw):
         return True
@@ -47,18 +57,29 @@ class UnitEncoder(dict):
             raise ValueError("ids need more than 16 bits")
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.spaced = self.library.encode("a b", add_special_tokens=False).ids != self.library.encode("a  b", add_special_tokens=False).ids
         self.folds = self.library.encode("A", add_special_tokens=False).ids == self.library.encode("a", add_special_tokens=False).ids
+        probes = ["the", "Élan", "ßł", "zqxj"] + [" the", " Élan"] * self.spaced
+        self.direct = all(self._ask_model(t) == self._ask(t) for t in probes)  # a byte-level model, as both files hold
 
     def _ask(self, text: str) -> bytes:
         return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _ask_model(self, text: str) -> bytes:
+        raw = (text.lower() if self.folds else text).encode().decode("latin-1")
+        return array("H", [t.id for t in self.model.tokenize(raw.translate(_BYTE_LETTERS))]).tobytes()
+
     def __missing__(self, unit: bytes) -> bytes:
         stem = unit.rstrip(b".,;:!?")
         if len(stem) < len(unit) and stem[-1:].isalnum():  # both vocabularies cut between letters or digits and such marks
             ids = self[stem] + self[unit[len(stem) :]]
         else:
-            ids = self._ask(unit.decode())
+            text = unit.decode()
+            word = text[1:] if self.spaced and text[:1] == " " else text
+            # letters of the Latin blocks: composed, and letters to any version of Unicode
+            letters = self.direct and word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+            ids = self._ask_model(text) if letters else self._ask(text)
         if len(self) < TABLE_UNITS:
             self[unit] = ids
         return ids
