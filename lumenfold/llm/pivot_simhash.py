@@ -258,9 +258,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     texts = text_of(docs).where(F.col("doc_id").isNotNull())
     marked, _ = stage(texts.mapInArrow(partial(_wide, width=width), "doc_id long, bits binary, bands array<long>"), "wide")
     classes, _ = stage(marked.groupBy("bits").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "wide-classes")
-    rows = classes.select("id", "bits", F.posexplode("bands").alias("band", "value"))
+    rows = classes.select("id", F.posexplode("bands").alias("band", "value"))
     met = rows.groupBy("band", "value").count().where("count > 1")
-    rows = rows.join(met, ["band", "value"])
+    # fingerprints join only the rows that meet another
+    rows = rows.join(met, ["band", "value"]).join(classes.select("id", "bits"), "id")
     parts = F.ceil(F.col("count") / MEET)
     member = F.collect_list(F.struct("id", "bits")).alias("members")
     grouped = rows.groupBy("band", "value", F.pmod(F.xxhash64("bits"), parts).alias("part"), (parts > 1).alias("split")).agg(member)
