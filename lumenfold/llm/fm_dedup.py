@@ -49,6 +49,13 @@ NO_ID = np.iinfo(np.int64).max
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _groups(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each distinct key with its positions in order, by one sort however many keys there are."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return list(zip(keys[order][first].tolist(), np.split(order, first[1:])))
+
+
 class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -68,8 +75,9 @@ class Block:
 
     def pack(self) -> bytes:
         """The block in zstd: words renumbered by frequency, then alphabet, and their codes by bytes of equal weight, which compresses best."""
+        alphabetic = np.array(sorted(range(len(self.words)), key=self.words.__getitem__), np.int64)
         count = np.bincount(self.codes, minlength=len(self.words))
-        order = sorted(range(len(self.words)), key=lambda k: (-count[k], self.words[k]))
+        order = alphabetic[np.argsort(-count[alphabetic], kind="stable")]
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order), dtype=np.uint32)
         width = max(1, (len(self.words).bit_length() + 7) // 8)
@@ -131,12 +139,13 @@ class Block:
         new = np.flatnonzero(np.r_[True, (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1) | (self.doc[starts[1:]] != self.doc[starts[:-1]])])
         return starts[new], np.diff(np.r_[new, len(starts)]), anchors[new]
 
-    def requests(self, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, shards: int) -> tuple[list[dict[bytes, int]], np.ndarray, np.ndarray]:
-        """For each shard its distinct segments by content; of each run the shard and the segment's number there."""
-        raw, shard = self.hashes.tobytes(), (anchor % np.uint64(shards)).astype(np.int64)
-        tables: list[dict[bytes, int]] = [_Codes() for _ in range(shards)]
-        number = [tables[q][raw[8 * a : 8 * (a + n + WINDOW - 1)]] for q, a, n in zip(shard.tolist(), first.tolist(), count.tolist())]
-        return tables, shard, np.array(number, np.int64)
+    def requests(self, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, shards: int) -> Iterator[tuple[int, dict[bytes, int], np.ndarray, np.ndarray]]:
+        """For each shard its distinct segments by content, the runs that go to it, and the number of each run's segment."""
+        raw, begin, end = self.hashes.tobytes(), (8 * first).tolist(), (8 * (first + count + WINDOW - 1)).tolist()
+        for q, runs in _groups((anchor % np.uint64(shards)).astype(np.int64)):
+            table = _Codes()
+            number = np.array([table[raw[begin[k] : end[k]]] for k in runs.tolist()], np.int64)
+            yield q, table, runs, number
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +180,7 @@ def _ask_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             block = Block.unpack(body)
             anchors, several = block.distinct_anchors(*block.anchors())
             bucket = (anchors % np.uint64(buckets)).astype(np.int64)
-            rows = [(k, anchors[bucket == k].tobytes(), np.packbits(several[bucket == k]).tobytes()) for k in np.unique(bucket).tolist()]
+            rows = [(k, anchors[own].tobytes(), np.packbits(several[own]).tobytes()) for k, own in _groups(bucket)]
             if rows:
                 b, a, s = zip(*rows)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int64()), "block": pa.array([number] * len(rows), pa.int64()), "anchors": pa.array(a, pa.binary()), "several": pa.array(s, pa.binary())})
@@ -190,10 +199,9 @@ def _answer_anchors(frame: pd.DataFrame) -> pd.DataFrame:
 def _shared_segments(block: Block, answers: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, anchors = block.anchors()
     distinct, _ = block.distinct_anchors(starts, anchors)
-    bucket, shared = (distinct % np.uint64(buckets)).astype(np.int64), np.zeros(len(distinct), bool)
-    for k, data in zip(answers["number"], answers["data"]):
-        own = bucket == k
-        shared[own] = np.unpackbits(np.frombuffer(data, np.uint8), count=int(own.sum())).astype(bool)
+    shared, given = np.zeros(len(distinct), bool), dict(zip(answers["number"], answers["data"]))
+    for k, own in _groups((distinct % np.uint64(buckets)).astype(np.int64)):
+        shared[own] = np.unpackbits(np.frombuffer(given[k], np.uint8), count=len(own)).astype(bool)
     return block.segments(starts, anchors, distinct[shared])
 
 
@@ -202,14 +210,12 @@ def _ask_segments(staged: pd.DataFrame, answers: pd.DataFrame, buckets: int, sha
     for number, body in zip(staged["block"], staged["body"]):
         block = Block.unpack(body)
         first, count, anchor = _shared_segments(block, answers[answers["kind"] == 0], buckets)
-        tables, shard, segment = block.requests(first, count, anchor, shards)
         ids = block.ids[block.doc[first]] if len(first) else np.zeros(0, np.int64)
-        for q, table in enumerate(tables):
-            if table:
-                own, least = shard == q, np.full(len(table), NO_ID)
-                np.minimum.at(least, segment[own], ids[own])
-                sizes = np.array([len(s) // 8 for s in table], np.int64)
-                rows.append((q, number, sizes.tobytes(), least.tobytes(), b"".join(table)))
+        for q, table, runs, segment in block.requests(first, count, anchor, shards):
+            least = np.full(len(table), NO_ID)
+            np.minimum.at(least, segment, ids[runs])
+            sizes = np.array([len(s) // 8 for s in table], np.int64)
+            rows.append((q, number, sizes.tobytes(), least.tobytes(), b"".join(table)))
     return pd.DataFrame(rows, columns=["shard", "block", "sizes", "least", "words"])
 
 
@@ -255,22 +261,14 @@ def _cover(staged: pd.DataFrame, answers: pd.DataFrame, buckets: int, shards: in
     for body in staged["body"]:
         block = Block.unpack(body)
         first, count, anchor = _shared_segments(block, answers[answers["kind"] == 0], buckets)
-        tables, shard, segment = block.requests(first, count, anchor, shards)
         change = np.zeros(len(block.codes) + 1, np.int64)
-        if len(first):
-            minima, base, offsets = [], 0, []
-            given = {q: np.frombuffer(d, np.int64) for k, q, d in zip(answers["kind"], answers["number"], answers["data"]) if k == 1}
-            for q, table in enumerate(tables):
-                sizes = np.array([len(s) // 8 - WINDOW + 1 for s in table], np.int64)
-                offsets.append(base + np.cumsum(sizes) - sizes)
-                if len(sizes):
-                    minima.append(given[q])
-                    base += len(given[q])
-            minima = np.concatenate(minima)
-            origin = np.array([offsets[q][n] for q, n in zip(shard.tolist(), segment.tolist())], np.int64)
-            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start = np.repeat(first, count) + within
-            start = start[minima[np.repeat(origin, count) + within] < block.ids[block.doc[start]]]
+        given = {q: np.frombuffer(d, np.int64) for k, q, d in zip(answers["kind"], answers["number"], answers["data"]) if k == 1}
+        for q, table, runs, segment in block.requests(first, count, anchor, shards):
+            sizes = np.array([len(s) // 8 - WINDOW + 1 for s in table], np.int64)
+            origin, n = (np.cumsum(sizes) - sizes)[segment], count[runs]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(first[runs], n) + within
+            start = start[given[q][np.repeat(origin, n) + within] < block.ids[block.doc[start]]]
             np.add.at(change, start, 1)
             np.add.at(change, start + WINDOW, -1)
         gone = np.cumsum(change)[:-1] > 0
