@@ -44,6 +44,7 @@ from .fm_index import FMIndex, interval_minima
 
 WINDOW, GRAM = 13, 5
 BLOCK_BYTES = 2_500_000
+SEARCHES = 20_000  # windows searched at once, as many as a processor's cache holds
 _WORD = re.compile(r"[^ \t-\r]+")
 NO_ID = np.iinfo(np.int64).max
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -233,11 +234,11 @@ def window_minima(segments: list[bytes], least: np.ndarray) -> list[np.ndarray]:
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     windows = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     out, at_least = np.empty(len(windows), np.int64), least[owner[index.order]]
-    for k in range(0, len(windows), 200_000):
-        part = windows[k : k + 200_000]
+    for k in range(0, len(windows), SEARCHES):
+        part = windows[k : k + SEARCHES]
         matched, low, high = index.matching(text[part[:, None] + np.arange(WINDOW)])
         assert (matched == WINDOW).all()  # each window is in the index itself
-        out[k : k + 200_000] = interval_minima(at_least, low, high)
+        out[k : k + SEARCHES] = interval_minima(at_least, low, high)
     return np.split(out, np.cumsum(counts)[:-1])
 
 

@@ -30,6 +30,10 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         _, rank = np.unique(key, return_inverse=True)
 
 
+#: The bits below each of 64 places.
+_LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """Bits packed in 64s with the count of ones before each word."""
 
@@ -40,8 +44,7 @@ class Bits:
 
     def ones(self, at: np.ndarray) -> np.ndarray:
         word = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & low)
+        return self.before[word] + np.bitwise_count(self.words[word] & _LOW[at & 63])
 
 
 class WaveletTree:
@@ -52,13 +55,13 @@ class WaveletTree:
             self.levels.append((bit, Bits(ones)))
             self.zeros.append(int((~ones).sum()))
             symbols = np.r_[symbols[~ones], symbols[ones]]
-        every = np.arange(sigma + 1)
+        every = np.arange(sigma + 1, dtype=np.int32)
         self.first = self._descend(every, np.zeros_like(every))
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for (bit, bits), zeros in zip(self.levels, self.zeros):
             ones = bits.ones(at)
-            at = np.where(symbol >> bit & 1, zeros + ones, at - ones)
+            at = np.where(symbol & (1 << bit), ones + np.int32(zeros), at - ones)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -70,13 +73,13 @@ class FMIndex:
     def __init__(self, text: np.ndarray, sigma: int):
         self.order = suffix_order(text)
         self.tree = WaveletTree(text[self.order - 1], sigma)
-        self.below = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma + 1))[:-1]]
+        self.below = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma + 1))[:-1]].astype(np.int32)
         self.size = len(text)
 
     def matching(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward search of each row: how many of its last symbols match, and the interval of suffixes for a whole match."""
-        last, *rest = np.ascontiguousarray(patterns.T[::-1])
-        low, high = self.below[last], np.r_[self.below[1:], self.size][last]
+        last, *rest = np.ascontiguousarray(patterns.T[::-1].astype(np.int32))
+        low, high = self.below[last], np.r_[self.below[1:], np.int32(self.size)][last]
         matched = (high > low).astype(np.int64)
         for column in rest:
             low = self.below[column] + self.tree.rank(column, low)
