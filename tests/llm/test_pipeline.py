@@ -22,3 +22,16 @@ def test_run_equals_its_stages(spark, sf):
 def test_registry():
     assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_stages_take_odd_rows_and_columns(spark, sf, docs, empty):
+    for given in (docs, empty):
+        at = given
+        for name, step in corpus_pipeline.STAGES[:-1]:
+            at = corpus_pipeline.stage(step(spark, at, sf), name)[0]
+            assert at.columns == given.columns
+        pieces = corpus_pipeline.STAGES[-1][1](spark, at, sf).collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in at.collect()}
+    first = docs.where("doc_id = 1").unionByName(docs.where("doc_id = 2 OR doc_id = 3 OR doc_id IS NULL"))
+    kept = corpus_pipeline.near_dedup(spark, first, sf).collect()
+    assert {r.doc_id for r in kept} == {1, None}
