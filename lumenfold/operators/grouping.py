@@ -46,10 +46,10 @@ def profile(rows: DataFrame, keys: list[str], ts: str, order: list[str]) -> Data
     base = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.array_sort(F.collect_set(F.nullif(F.col("country"), F.lit("")))).alias("countries"), F.count_distinct(F.nullif(F.col("city"), F.lit(""))).alias("n_cities"),
     ).withColumn("days", floor_days(F.col("last_ts"), F.col("first_ts")))
-    out = base
-    for c in ("country", "city"):
-        out = out.join(mode_first(rows.withColumn(c, F.nullif(F.col(c), F.lit(""))), keys, c, order), keys, "left")
-    return out
+    pairs = F.inline(F.array(*(F.struct(F.lit(c).alias("what_"), F.nullif(F.col(c), F.lit("")).alias("value_")) for c in ("country", "city"))))
+    modes = mode_first(rows.select(*keys, *order, pairs), [*keys, "what_"], "value_", order)
+    modes = modes.groupBy(*keys).agg(*(F.max(F.when(F.col("what_") == c, F.col("value_"))).alias(c) for c in ("country", "city")))
+    return base.join(modes, keys, "left")
 
 
 def album_name(home: str = "United Kingdom", code: str | None = None) -> Column:

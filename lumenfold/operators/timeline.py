@@ -53,8 +53,8 @@ def sessionize(rows: DataFrame, keys: list[str] = (), ts: str = "ts", order: str
     numbers = met.groupBy(*keys, "day_").agg(F.sum("starts_").alias("n_")).select(*keys, "day_", F.coalesce(F.sum("n_").over(upto), F.lit(0)).alias("earlier_"))
     counted = met.withColumn("within_", F.sum("starts_").over(in_day.rowsBetween(Window.unboundedPreceding, 0)))
     out = counted.join(numbers, [*keys, "day_"]).withColumn("cluster", F.col("earlier_") + F.col("within_"))
-    sizes = out.groupBy(*keys, "cluster").agg(F.count("*").alias("members")).where(F.col("members") >= least)
-    return out.join(sizes, [*keys, "cluster"]).drop("ts_", "day_", "before_", "carried_", "p_", "starts_", "earlier_", "within_")
+    out = out.withColumn("members", F.count("*").over(Window.partitionBy(*keys, "cluster"))).where(F.col("members") >= least)
+    return out.drop("ts_", "day_", "before_", "carried_", "p_", "starts_", "earlier_", "within_")
 
 
 def nearest_in_time(queries: DataFrame, refs: DataFrame, ts: str, order: str, carry: list[str], max_hours: int = 24) -> DataFrame:

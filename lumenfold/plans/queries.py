@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo, scores as sc, text as tx
@@ -355,8 +355,7 @@ SESSIONS = f"""s AS (SELECT *, lag(ts) OVER w AS pts, lag(country) OVER w AS pc,
 def _sessions(spark, d) -> DataFrame:
     rows = media(spark, d).where("album_id IS NULL AND is_duplicate = 0")
     out = tl.sessionize(rows, ["library"], home_code="BU")
-    first = out.groupBy("library", "cluster").agg(F.min("id").alias("event"))
-    return out.join(first, ["library", "cluster"])
+    return out.withColumn("event", F.min("id").over(Window.partitionBy("library", "cluster")))
 
 
 @query(f"WITH {MEDIA}, {SESSIONS} SELECT id, library, event, members FROM k WHERE members >= 3")
