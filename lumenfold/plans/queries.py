@@ -602,11 +602,17 @@ def llm_classify_stub(spark, d):
     return out.select("conv_id", "status", "ai.scene", "ai.type", F.array_join("ai.tags", ",").alias("tags"))
 
 
-@query()
+@query(f"""WITH {MEDIA}, live AS (SELECT * FROM media WHERE is_duplicate = 0), q AS (SELECT * FROM live WHERE lat IS NULL), r AS (SELECT * FROM live WHERE lat IS NOT NULL),
+ b AS (SELECT q.id, q.album_id AS qa, r.id AS rid, r.album_id AS ra, r.lat, r.lon, r.country, r.city, epoch_us(r.ts) - epoch_us(q.ts) AS gap FROM q JOIN r ON r.ts BETWEEN q.ts - INTERVAL 24 HOUR AND q.ts + INTERVAL 24 HOUR),
+ n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(gap), gap >= 0, CASE WHEN gap < 0 THEN -rid ELSE rid END) AS k, abs(gap) / 3.6e9 AS h, coalesce(qa = ra, false) AS same FROM b),
+ t AS (SELECT id, 'temporal' AS strategy, CASE WHEN h <= 0.5 THEN 'high' WHEN h <= 6 AND same THEN 'high' WHEN same THEN 'medium' WHEN h <= 6 THEN 'medium' END AS confidence, lat, lon, country, city FROM n WHERE k = 1),
+ v AS (SELECT album_id, count(lat) / count(*) AS share, median(lat) AS lat, median(lon) AS lon, arg_min(country, id) FILTER (lat IS NOT NULL AND country <> '') AS country, arg_min(city, id) FILTER (lat IS NOT NULL AND city <> '') AS city FROM live WHERE album_id IS NOT NULL GROUP BY album_id),
+ a AS (SELECT q.id, 'album' AS strategy, CASE WHEN share >= 0.7 THEN 'high' ELSE 'medium' END AS confidence, v.lat, v.lon, v.country, v.city FROM q JOIN v ON q.album_id = v.album_id WHERE share >= 0.5 AND q.id NOT IN (SELECT id FROM t WHERE confidence IS NOT NULL))
+ SELECT id, strategy, confidence, round(lat, 6) AS lat, round(lon, 6) AS lon, country, city FROM (SELECT * FROM t WHERE confidence IS NOT NULL UNION ALL SELECT * FROM a)""")
 def location_inference(spark, d):
-    """The chain of strategies over the catalogue: one guess a photo; its members have their own queries with SQL."""
+    """The chain of strategies over the catalogue: one guess a photo."""
     from ..operators.inference import GUESS, infer
 
     m = media(spark, d)
     empty = m.select("id", F.lit("").alias("strategy"), F.lit("").alias("confidence"), "lat", "lon", "country", "city").limit(0)
-    return infer(m, empty, ("temporal", "album")).select(*GUESS)
+    return infer(m, empty, ("temporal", "album")).select(*GUESS).withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
