@@ -21,12 +21,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Units kept by a worker (about 200 MB); when the table is full, further units are encoded each time.
 TABLE_UNITS = 1_000_000
 
-#: Control characters that one of the two sides may take for white space, and NUL, which marks cuts below.
-_CONTROL = re.compile(rb"[\x00\x1c-\x1f]")
-_BROKEN_SPACE = re.compile(rb"[\t-\r] (?:[\t-\r]|\Z)")
-#: White space beyond ASCII, and what most of it starts with in UTF-8.
-_RARE_STARTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-_RARE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_LATIN_END = "\u0250"
+#: What a unit must not hold where cuts at single blanks are to be the library's own: a second blank or other white space
+#: after the first, control characters or white space beyond ASCII, and the beginning of special tokens' strings.
+_ODD = re.compile(r"\A (?:[\t-\r]|\Z)|[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|")
+
+
+class _Whole(Exception):
+    """A unit whose text goes to the library whole; such units are never kept in the table."""
 
 
 def _byte_letters() -> dict[int, int]:
@@ -38,14 +40,6 @@ def _byte_letters() -> dict[int, int]:
 _BYTE_LETTERS = _byte_letters()
 
 
-def _cut_may_differ(raw: bytes) -> bool:
-    if b"<|" in raw or b"  " in raw or _CONTROL.search(raw):
-        return True
-    if not raw.isascii() and any(x in raw for x in _RARE_STARTS) and _RARE_SPACE.search(raw):
-        return True
-    return _BROKEN_SPACE.search(raw) is not None if any(x in raw for x in (b"\n ", b"\r ", b"\t ", b"\x0b ", b"\x0c ")) else False
-
-
 class UnitEncoder(dict):
     """The table of units; ``encode`` gives ids as little-endian unsigned 16-bit bytes."""
 
@@ -71,14 +65,19 @@ class UnitEncoder(dict):
         return array("H", [t.id for t in self.model.tokenize(raw.translate(_BYTE_LETTERS))]).tobytes()
 
     def __missing__(self, unit: bytes) -> bytes:
-        stem = unit.rstrip(b".,;:!?")
-        if len(stem) < len(unit) and stem[-1:].isalnum():  # both vocabularies cut between letters or digits and such marks
-            ids = self[stem] + self[unit[len(stem) :]]
+        text = unit.decode()
+        if _ODD.search(text) if self.spaced else "<|" in text:
+            raise _Whole
+        stem = text.rstrip(".,;:!?")
+        before, line, after = text.partition("\n")
+        if before and line and after and len(text.split()) == 2 and before[-1:].strip() and after[0].strip():
+            ids = self[before.encode()] + self[b"\n"] + self[after.encode()]  # one line end between two words is a cut of its own
+        elif len(stem) < len(text) and stem[-1:].isalnum() and stem[-1] < _LATIN_END:  # both vocabularies cut between letters or digits and such marks
+            ids = self[stem.encode()] + self[text[len(stem) :].encode()]
         else:
-            text = unit.decode()
             word = text[1:] if self.spaced and text[:1] == " " else text
             # letters of the Latin blocks: composed, and letters to any version of Unicode
-            letters = self.direct and word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+            letters = self.direct and word.isalpha() and max(word) < _LATIN_END and "\u0130" not in word
             ids = self._ask_model(text) if letters else self._ask(text)
         if len(self) < TABLE_UNITS:
             self[unit] = ids
@@ -86,15 +85,16 @@ class UnitEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         raw = text.encode()
-        if self.spaced:
-            if _cut_may_differ(raw):
-                return self._ask(text)
-            units = raw.replace(b" ", b"\0 ").split(b"\0")
-        elif b"<|" in raw:
+        if not self.spaced:
+            units = (raw.lower() if self.folds else raw).split()
+        elif b"\0" in raw:
             return self._ask(text)
         else:
-            units = (raw.lower() if self.folds else raw).split()
-        return b"".join(map(self.__getitem__, units))
+            units = raw.replace(b" ", b"\0 ").split(b"\0")
+        try:
+            return b"".join(map(self.__getitem__, units))
+        except _Whole:
+            return self._ask(text)
 
 
 def encoder(path: str) -> UnitEncoder:
