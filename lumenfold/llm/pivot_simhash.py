@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -145,18 +146,17 @@ def cluster(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return marked.join(named, "bits").select("doc_id", "bits", "component_id")
 
 
-
-# Copies at a similarity: long fingerprints of five-word shingles.
+# Copies at a similarity: sets of five-word shingles.
 #
 # At a Jaccard similarity of 0.8 two 64-bit fingerprints differ by about 10 bits, where
-# neither shared blocks nor pivots narrow anything down. So fingerprints are longer, rows
-# meet by min-wise bands, and the links that span a band's rows are verified exactly.
+# neither shared blocks nor pivots narrow anything down. So rows meet by min-wise bands,
+# and all pairs of a band are held against the similarity itself, by their sets; a pair
+# goes unseen only if it is linked already or a bound that cannot err rules it out.
 
-WIDE = 8  # 64-bit words of a long fingerprint
 BANDS, ROWS = 16, 3
 FILTER_BITS = 25  # places of the fixed filter that spares most documents a shuffle; a full filter lets all through
-MEET = 4096  # rows that meet at once; a larger band is split by hash, and its parts' components meet again by one row each
-_SALTS = np.random.default_rng(5).integers(0, 2**63, WIDE + BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+MEET, MEET_SHINGLES = 4096, 1 << 20  # rows and shingles that meet at once; a larger band is split, and its parts meet in pairs
+_SALTS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -164,58 +164,92 @@ def _mixed(h: np.ndarray, salt: np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _wide(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The distinct shingles in order; a blank text has one of its own."""
+    return np.unique(np.array(shingle_hashes(text, width) or [0], np.uint64))
+
+
+def _banded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Of each document a key of its set of shingles, the set's size and its bands."""
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            runs = [shingle_hashes(t, width) or [0] for t in part["text"].to_pylist()]
-            sizes = np.array([len(r) for r in runs], np.int64)
-            flat = np.fromiter((h for r in runs for h in r), np.uint64, int(sizes.sum()))
-            starts = np.r_[0, np.cumsum(sizes)[:-1]]
-            bits = np.stack([majority_bits(_mixed(flat, s), sizes) for s in _SALTS[:WIDE]], axis=1)
-            least = np.stack([np.minimum.reduceat(_mixed(flat, s), starts) for s in _SALTS[WIDE:]], axis=1).reshape(len(runs), BANDS, ROWS)
-            bands = np.zeros((len(runs), BANDS), np.uint64)
+            sets = [shingle_set(t, width) for t in part["text"].to_pylist()]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            flat, starts = np.concatenate(sets), np.r_[0, np.cumsum(sizes)[:-1]]
+            least = np.stack([np.minimum.reduceat(_mixed(flat, s), starts) for s in _SALTS], axis=1).reshape(len(sets), BANDS, ROWS)
+            bands = np.zeros((len(sets), BANDS), np.uint64)
             for r in range(ROWS):
                 bands = _mixed(bands ^ least[:, :, r], _SALTS[r])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([b.tobytes() for b in bits], pa.binary()), lists], names=["doc_id", "bits", "bands"])
-
-
-def nearest_links(bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a minimum spanning forest, none longer than radius (Prim); its pivots are the rows themselves, each as it is reached."""
-    n = len(bits)
-    best, via, open_ = np.full(n, 2**15), np.zeros(n, np.int64), np.ones(n, bool)
-    left, right, i = [], [], 0
-    for _ in range(n - 1):
-        open_[i] = False
-        far = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
-        nearer = open_ & (far < best)
-        best[nearer], via[nearer] = far[nearer], i
-        i = int(np.argmin(np.where(open_, best, 2**16)))
-        if best[i] <= radius:
-            left.append(via[i])
-            right.append(i)
-    return np.array(left, np.int64), np.array(right, np.int64)
-
-
-def _meet(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of each group; of a part of a large band also one row a component, as a link to itself."""
+            keys = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part["doc_id"], keys, pa.array(sizes), lists], names=["doc_id", "key", "n", "bands"])
+
+
+def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (position, position) that span the graph of sets with this Jaccard similarity: a breadth-first search over all pairs.
+
+    Two bounds spare exact counts and lose nothing: sizes differ by no more than the similarity,
+    and the bits in which the parities of hashed shingles differ are at most the shingles in which the sets do.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    words = 8
+    while 64 * words < min(2 * len(flat) // len(sets), 1 << 15):
+        words *= 2
+    bits = np.zeros(len(sets) * words, np.uint64)
+    np.bitwise_xor.at(bits, owner * words + ((flat >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (flat & np.uint64(63)))
+    bits = bits.reshape(len(sets), words)
+    values, at = np.unique(flat, return_inverse=True)
+    at, marked = np.split(at, np.cumsum(sizes)[:-1]), np.zeros(len(values), bool)
+    differ = (1 - similarity) / (1 + similarity)  # share of both sizes in which similar sets differ at most
+    waiting, left, right = np.argsort(sizes, kind="stable"), [], []
+    while len(waiting) > 1:
+        queue, waiting = [int(waiting[0])], waiting[1:]
+        while queue and len(waiting):
+            i = queue.pop()
+            low, high = np.searchsorted(sizes[waiting], [similarity * sizes[i] - 1e-6, sizes[i] / similarity + 1e-6])
+            near = np.arange(low, high)
+            apart = np.bitwise_count(bits[waiting[near]] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = near[apart <= differ * (sizes[waiting[near]] + sizes[i]) + 1e-6]
+            if not len(near):
+                continue
+            rows = waiting[near]
+            marked[at[i]] = True
+            both = np.add.reduceat(marked[np.concatenate([at[j] for j in rows])], np.r_[0, np.cumsum(sizes[rows])[:-1]], dtype=np.int64)
+            marked[at[i]] = False
+            alike = both >= similarity * (sizes[rows] + sizes[i] - both) - 1e-9
+            found = rows[alike]
+            left.append(np.full(len(found), i))
+            right.append(found)
+            queue.extend(found.tolist())
+            waiting = np.delete(waiting, near[alike])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of each group; rows (meeting, id, shingles) come in order of their meeting, one group is held at a time."""
+
+    def linked(held):
+        ids = np.concatenate([b["id"].to_numpy() for b in held])
+        i, j = set_links([np.frombuffer(x.as_buffer(), np.uint64) for b in held for x in b["shingles"]], similarity)
+        return ids[i], ids[j]
+
+    held, last = [], None
     for batch in batches:
-        band, value, left, right = [], [], [], []
-        for b, v, split, members in zip(batch["band"].to_pylist(), batch["value"].to_pylist(), batch["split"].to_pylist(), batch["members"]):
-            ids, words = members.values.field("id").to_numpy(), members.values.field("bits").to_pylist()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order].tolist()
-            i, j = nearest_links(np.frombuffer(b"".join(words[k] for k in order), np.uint64).reshape(len(ids), -1), radius)
-            pairs = [(ids[x], ids[y]) for x, y in zip(i.tolist(), j.tolist())]
-            if split:
-                joined = {ids[y] for y in j.tolist()}
-                pairs += [(x, x) for x in ids if x not in joined]
-            for x, y in pairs:
-                for c, value_ in zip((band, value, left, right), (b, v, x, y)):
-                    c.append(value_)
-        if band:
-            yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), *(pa.array(c, pa.int64()) for c in (value, left, right))], names=["band", "value", "a", "b"])
+        keys, out = batch["meeting"].to_numpy(), []
+        cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)] if len(keys) else np.zeros(1, np.int64)
+        for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if held and keys[start] != last:
+                out.append(linked(held))
+                held = []
+            last = keys[start]
+            held.append(batch.slice(start, stop - start))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in linked(held)], names=["a", "b"])
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -232,51 +266,48 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int, shared) -> Iter
     for b in batches:
         place = b["place"].to_numpy()
         b = b.filter(pa.array((shared.value[place >> 6] >> (place & 63) & 1).astype(bool)))
-        sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).tobytes() for t in b["text"].to_pylist()]
+        sets = [shingle_set(t, width).tobytes() for t in b["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b["x"], b["y"]):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of every document but those that stay for their group, which is the one with the least doc_id.
 
-    Equal fingerprints are one row; others are linked if their sets of shingles have this Jaccard similarity.
-    A pair at the similarity shares a band with a probability over 0.9999.
+    Equal sets of shingles are one row; others are linked if they have this Jaccard similarity.
+    A pair at the similarity shares a band with a probability over 0.9999, and every pair that shares
+    one is linked, at least by a chain. A band over ``MEET`` first meets in parts, dealt anew in each
+    band; if that leaves its rows in several components, all pairs of parts meet.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    share = np.arccos(cosine) / np.pi
-    radius = int(64 * WIDE * share + 3 * np.sqrt(64 * WIDE * share * (1 - share)))  # loose by three deviations
     texts = text_of(docs).where(F.col("doc_id").isNotNull())
-    marked, _ = stage(texts.mapInArrow(partial(_wide, width=width), "doc_id long, bits binary, bands array<long>"), "wide")
-    classes, _ = stage(marked.groupBy("bits").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "wide-classes")
-    rows = classes.select("id", F.posexplode("bands").alias("band", "value"))
-    met = rows.groupBy("band", "value").count().where("count > 1")
-    # fingerprints join only the rows that meet another
-    rows = rows.join(met, ["band", "value"]).join(classes.select("id", "bits"), "id")
-    parts = F.ceil(F.col("count") / MEET)
-    member = F.collect_list(F.struct("id", "bits")).alias("members")
-    grouped = rows.groupBy("band", "value", F.pmod(F.xxhash64("bits"), parts).alias("part"), (parts > 1).alias("split")).agg(member)
-    schema = "band int, value long, a long, b long"
-    first, _ = stage(grouped.select("band", "value", "split", "members").mapInArrow(partial(_meet, radius=radius), schema), "met")
-    again = first.where("a = b").select("band", "value", F.col("a").alias("id")).join(classes.select("id", "bits"), "id")
-    again = again.groupBy("band", "value").agg(member).select("band", "value", F.lit(False).alias("split"), "members")
-    found, _ = stage(first.unionByName(again.mapInArrow(partial(_meet, radius=radius), schema)).where("a <> b").select("a", "b").distinct(), "loose")
-    needed = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    marked, _ = stage(texts.mapInArrow(partial(_banded, width=width), "doc_id long, key binary, n long, bands array<long>"), "banded")
+    classes, _ = stage(marked.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    rows, band = classes.select("id", "n", F.posexplode("bands").alias("band", "value")), ["band", "value"]
+    parts = F.ceil(F.greatest(F.count("*") / MEET, F.sum("n") / MEET_SHINGLES)).alias("parts")
+    sizes = rows.groupBy(*band).agg(F.count("*").alias("count"), parts).where("count > 1").drop("count")
+    met, _ = stage(rows.drop("n").join(sizes, band), "met")
+    needed = met.select(F.col("id").alias("doc_id")).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
     placed = texts.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(2**FILTER_BITS)))
     sets = placed.mapInArrow(partial(_shingle_sets, width=width, shared=shared), "doc_id long, shingles binary")
-    sets, _ = stage(sets.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "shingles")
-    pairs = found.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    sure = pairs.select("a", "b", "x", "y").mapInArrow(partial(_similar, similarity=similarity), "a long, b long")
+    sets = sets.join(needed, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("shingles").alias("shingles"))
+    sets, _ = stage(sets, "shingles")
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        sorted_ = dealt.join(sets, "id").select("meeting", "id", "shingles").repartition("meeting").sortWithinPartitions("meeting")
+        return stage(sorted_.mapInArrow(partial(_meet, similarity=similarity), "a long, b long"), "near")[0]
+
+    whole, split = met.where("parts = 1"), met.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("id", *band), "parts"))
+    # bands with the same rows meet once
+    members = whole.groupBy(*band).agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    once = members.groupBy("x", "y").agg(F.min(F.struct(*band)).alias("g")).select("g.*")
+    dealt = whole.join(once, band).select("id", F.xxhash64(*band).alias("meeting"))
+    sure = linked(dealt.unionByName(split.select("id", F.xxhash64(*band, "part").alias("meeting"))))
     roots = components(sure, "a", "b")
-    named = classes.select("bits", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("bits", F.coalesce("root", "id").alias("component_id"))
-    return marked.select("doc_id", "bits").join(named, "bits").where("doc_id <> component_id").select("doc_id", "component_id")
+    rooted = split.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = rooted.groupBy(*band).agg((F.min("root") < F.max("root")).alias("apart")).where("apart")
+    others = split.join(apart, band, "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> other")
+    others, _ = stage(others.select("id", F.xxhash64(*band, F.least("part", "other"), F.greatest("part", "other")).alias("meeting")), "parts")
+    if not others.isEmpty():
+        roots = components(sure.unionByName(linked(others)), "a", "b")
+    named = classes.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
+    return marked.select("doc_id", "key").join(named, "key").where("doc_id <> component_id").select("doc_id", "component_id")

@@ -161,3 +161,44 @@ def test_without_repeats_keeps_columns(docs, texts):
     rows = {(r.doc_id, r.text) for r in out.collect()}
     assert (1, dict(texts)[1]) in rows and not any(d == 2 for d, _ in rows)
     assert (6, None) in rows and (7, "") in rows
+
+
+def revised(rng, copies, words, least, most):
+    """Copies of a text of distinct words, each with some of them changed."""
+    base, rows = [f"b{k}" for k in range(words)], []
+    for d in range(copies):
+        copy = list(base)
+        for k in rng.sample(range(words), rng.randint(least, most)):
+            copy[k] = f"e{rng.randint(0, 10**9)}"
+        rows.append((d, " ".join(copy)))
+    return rows
+
+
+def brute_copies(rows):
+    sets = [set(ps.shingle_hashes(t, 5)) for _, t in rows]
+    linked = [[a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets] for a in sets]
+    return {d: rows[g][0] for (d, _), g in zip(rows, roots(len(rows), linked)) if rows[g][0] != d}
+
+
+def copies(spark, rows):
+    return {r.doc_id: r.component_id for r in ps.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_near_copies_of_revised_texts(spark):
+    rows = revised(random.Random(1), 120, 300, 4, 7)
+    assert copies(spark, rows) == brute_copies(rows)
+
+
+def test_set_links_span_the_graph():
+    rng = np.random.default_rng(3)
+    for size, most in ((4, 3), (30, 8), (700, 250)):
+        bases = [rng.integers(0, 2**64, size, np.uint64) for _ in range(3)]
+        sets = [np.unique(np.r_[bases[k % 3][rng.integers(0, most) :], rng.integers(0, 2**64, rng.integers(0, most), np.uint64)]) for k in range(60)]
+        both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        n = np.array([len(s) for s in sets])
+        linked = both >= 0.8 * (n[:, None] + n - both) - 1e-9
+        i, j = ps.set_links(sets, 0.8)
+        assert linked[i, j].all()
+        spanned = np.eye(len(sets), dtype=bool)
+        spanned[i, j] = spanned[j, i] = True
+        assert roots(len(sets), linked) == roots(len(sets), spanned)
