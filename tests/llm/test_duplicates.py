@@ -189,6 +189,14 @@ def test_near_copies_of_revised_texts(spark):
     assert copies(spark, rows) == brute_copies(rows)
 
 
+def test_near_copies_of_repeated_lines_and_short_texts(spark):
+    base, line = " ".join(f"b{k}" for k in range(300)), " ".join(f"l{k}" for k in range(15))
+    rows = [(k, base + f"\n{line}" * n) for k, n in enumerate((1, 5, 10, 40))]
+    for g in range(40):  # 8 and 9 words: the similarity is exactly 0.8
+        rows += [(10 + 2 * g + k, " ".join(f"s{g}x{i}" for i in range(8 + k))) for k in (0, 1)]
+    assert copies(spark, rows) == {1: 0, 2: 0, 3: 0} | {11 + 2 * g: 10 + 2 * g for g in range(40)}
+
+
 def test_set_links_span_the_graph():
     rng = np.random.default_rng(3)
     for size, most in ((4, 3), (30, 8), (700, 250)):
