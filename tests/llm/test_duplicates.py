@@ -197,6 +197,11 @@ def test_near_copies_of_repeated_lines_and_short_texts(spark):
     assert copies(spark, rows) == {1: 0, 2: 0, 3: 0} | {11 + 2 * g: 10 + 2 * g for g in range(40)}
 
 
+def test_boilerplate_alone_makes_no_copy(spark):
+    rows = [(k, line * n + " ".join(f"p{k}x{i}" for i in range(150))) for k, (line, n) in enumerate([("click here now ", 300)] * 2 + [("- ", 400)] * 2)]
+    assert copies(spark, [*rows, (4, rows[0][1])]) == {4: 0}
+
+
 def test_set_links_span_the_graph():
     rng = np.random.default_rng(3)
     for size, most in ((4, 3), (30, 8), (700, 250)):
