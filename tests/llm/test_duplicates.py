@@ -202,6 +202,12 @@ def test_boilerplate_alone_makes_no_copy(spark):
     assert copies(spark, [*rows, (4, rows[0][1])]) == {4: 0}
 
 
+def test_parts_of_large_bands_meet_in_pairs(monkeypatch, spark):
+    rows = revised(random.Random(4), 40, 120, 1, 3)
+    monkeypatch.setattr(ps, "MEET", 8)
+    assert copies(spark, rows) == brute_copies(rows)
+
+
 def test_set_links_span_the_graph():
     rng = np.random.default_rng(3)
     for size, most in ((4, 3), (30, 8), (700, 250)):
