@@ -6,13 +6,16 @@ class bigrams. A text's probability is the product of class transitions
 (absolute discounting over the class unigram) and word emissions (additive, with
 one place a class for unseen words).
 
-Frequent words are clustered one by one, all others by the spelling they end in,
-so every word, seen or not, has a class that a worker knows without a lookup.
-Counts cover all training rows: word counts and bigrams of clustered symbols are
-summed by Spark. The driver and the workers hold only what a parameter bounds:
-``CLUSTERED`` words, symbol bigrams (at most the square of the symbols) and the
-``HEAD`` most frequent words' counts; counts of rarer words are joined to the
-documents that use them.
+The most frequent words are clustered one by one, together with symbols for the
+spellings that other words end in. Then every other word of the head that occurs
+``LEAST`` times or more is exchanged by its own counts of the classes before and
+after it, which Spark sums, against the class bigrams of that first clustering; how
+many these are grows with the training rows up to the head. Rarer words keep their
+spelling's class, so every word, seen or not, has a class that a worker knows
+without a lookup. Counts cover all training rows. The driver and the workers hold
+only what a parameter bounds: ``CLUSTERED`` words, symbol bigrams (at most the
+square of the symbols) and the ``HEAD`` most frequent words' counts and classes;
+counts of rarer words are joined to the documents that use them.
 
 Defined cases: a null or blank text is the end token alone; a null doc_id belongs
 to neither part (held_out null) and is not learned from; repeated rows are scored
@@ -38,6 +41,7 @@ CLUSTERED, SPELLINGS, CLASSES, HEAD = 2000, 192, 64, 300_000
 SYMBOLS = CLUSTERED + SPELLINGS + 1  # the last is the end token
 END = SYMBOLS - 1
 ADDED, DISCOUNT, ROUNDS = 0.5, 0.75, 4
+LEAST = 10  # occurrences from which a word's own contexts choose its class
 
 
 def words_of(text: str) -> list[bytes]:
@@ -102,6 +106,19 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], clustered: list[bytes]) -> I
         yield pa.RecordBatch.from_pydict({"pair": pa.array(at[k : k + 500_000]), "c": pa.array(total[at[k : k + 500_000]])})
 
 
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def gains(matrix: np.ndarray, totals: np.ndarray, out: np.ndarray, into: np.ndarray, own: float, weight: float) -> np.ndarray:
+    """What each class gains in log-likelihood by a word that is in none, from the word's bigrams by class: followers, predecessors, itself."""
+    now = xlogx(matrix)
+    rows, cols = xlogx(matrix + out) - now, xlogx(matrix + into[:, None]) - now
+    both = np.diag(matrix)
+    gain = rows.sum(axis=1) - np.diag(rows) + cols.sum(axis=0) - np.diag(cols) + xlogx(both + out + into + own) - xlogx(both)
+    return gain - 2 * (xlogx(totals + weight) - xlogx(totals))
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Classes of symbols from their bigram counts; the last symbol (the end) keeps a class of its own, the last."""
     size = len(pairs) - 1
@@ -113,7 +130,6 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     member = np.eye(classes + 1)[of]
     after, ahead = counts @ member, counts.T @ member  # of each symbol: followers and predecessors by class
     matrix, totals = member.T @ after, member.T @ weight
-    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
     for _ in range(rounds):
         moved = 0
         for w in np.argsort(-weight[:-1], kind="stable"):
@@ -127,11 +143,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             out, into = after[w].copy(), ahead[w].copy()
             out[a] -= own
             into[a] -= own
-            now = xlogx(matrix)
-            rows, cols = xlogx(matrix + out) - now, xlogx(matrix + into[:, None]) - now
-            both = np.diag(matrix)
-            gain = rows.sum(axis=1) - np.diag(rows) + cols.sum(axis=0) - np.diag(cols) + xlogx(both + out + into + own) - xlogx(both)
-            gain -= 2 * (xlogx(totals + weight[w]) - xlogx(totals))
+            gain = gains(matrix, totals, out, into, own, weight[w])
             b = int(np.argmax(gain[:classes]))
             if gain[b] <= gain[a] + 1e-9:
                 b = a
@@ -161,9 +173,80 @@ def transitions(pairs: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.log10((kept + left * alone) / np.maximum(total, 1.0))
 
 
+WIDTH = 2 * (CLASSES + 1) + 1  # a word's contexts: the class before, the class after, the word itself after
+
+
+def _lookup(m: dict) -> tuple[dict, Symbols]:
+    """The head's words by rank and the symbols of others; a worker keeps them for all passes."""
+    return worker_table(m["key"], lambda: ({w: k for k, w in enumerate(m["head"].split(b" "))} if m["head"] else {}, Symbols(m["clustered"])))
+
+
+def _classes(words: list[bytes], m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks (outside the head the number of its words) and classes of words."""
+    head, symbols = _lookup(m)
+    none = len(m["head_of"])
+    at = np.array([head.get(w, none) for w in words], np.int64)
+    of, inside = np.empty(len(words), np.int64), at < none
+    of[inside] = m["head_of"][at[inside]]
+    of[~inside] = m["of"][np.array([symbols[words[k]] for k in np.flatnonzero(~inside).tolist()], np.int64)]
+    return at, of
+
+
+def _lines(batches: Iterator[pa.RecordBatch], m: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ranks and classes of many texts in a row, with an end token (rank -1) before each and after the last."""
+    end, held, size = (np.array([-1]), np.array([m["end"]])), [], 0
+    for batch in batches:
+        for text in batch["text"]:
+            held += [end, _classes(words_of(text.as_py()), m)]
+            size += len(held[-1][0])
+            if size > 2_000_000:
+                yield tuple(np.concatenate(x) for x in zip(*held, end))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, end))
+
+
+def _count_contexts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    m = shared.value
+    for at, of in _lines(batches, m):
+        k = np.flatnonzero((at >= CLUSTERED) & (at < m["grown"]))
+        word = at[k] * WIDTH
+        found, c = np.unique(np.concatenate([word + of[k - 1], word + CLASSES + 1 + of[k + 1], (word + WIDTH - 1)[at[k] == at[k + 1]]]), return_counts=True)
+        for i in range(0, len(found), 500_000):
+            yield pa.RecordBatch.from_pydict({"word": pa.array(found[i : i + 500_000] // WIDTH), "context": pa.array(found[i : i + 500_000] % WIDTH), "c": pa.array(c[i : i + 500_000])})
+
+
+def _exchange_words(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The best class of each word by its contexts, all else as in the first clustering."""
+    m = shared.value
+    for batch in batches:
+        best = []
+        for word, contexts in zip(batch["word"].to_pylist(), batch["contexts"]):
+            line = np.bincount(contexts.values.field("context").to_numpy(), contexts.values.field("c").to_numpy(), WIDTH)
+            into, out, own, a = line[: CLASSES + 1].copy(), line[CLASSES + 1 : -1].copy(), line[-1], m["head_of"][word]
+            weight, matrix, totals = into.sum(), m["matrix"].copy(), m["matrix"].sum(axis=0)
+            matrix[a] -= out
+            matrix[:, a] -= into
+            matrix[a, a] += own
+            totals[a] -= weight
+            out[a] -= own
+            into[a] -= own
+            gain = gains(np.maximum(matrix, 0), np.maximum(totals, 0), out, into, own, weight)
+            b = int(np.argmax(gain[:CLASSES]))
+            best.append(b if gain[b] > gain[a] + 1e-9 else int(a))
+        yield pa.RecordBatch.from_pydict({"word": batch["word"], "class": pa.array(best, pa.int64())})
+
+
+def _count_classes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((CLASSES + 1) ** 2, np.int64)
+    for _, of in _lines(batches, shared.value):
+        total += np.bincount(of[:-1] * (CLASSES + 1) + of[1:], minlength=len(total))
+    yield pa.RecordBatch.from_pydict({"pair": pa.array(np.arange(len(total))), "c": pa.array(total)})
+
+
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     m = shared.value
-    head, symbols = worker_table(m["key"], lambda: ({w: k for k, w in enumerate(m["head"].split(b" "))} if m["head"] else {}, Symbols(m["clustered"])))
+    symbols = _lookup(m)[1]
     none = len(m["base"]) - 1  # the row of the head's table for words outside
     for batch in batches:
         for begin in range(0, batch.num_rows, 2048):
@@ -171,8 +254,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             cols = {k: [] for k in ("n_tokens", "known", "base", "model", "word", "times", "rare")}
             for text in part["text"]:
                 words = words_of(text.as_py())
-                at = np.array([head.get(w, none) for w in words], np.int64)
-                of = m["of"][np.array(list(map(symbols.__getitem__, words)), np.int64)]
+                at, of = _classes(words, m)
                 line = np.r_[m["end"], of, m["end"]]
                 tail = Counter(words[k] for k in np.flatnonzero(at == none).tolist())
                 cols["n_tokens"].append(len(words) + 1)
@@ -212,27 +294,45 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     del found
     pairs = pairs.reshape(SYMBOLS, SYMBOLS)
     of = exchange(pairs)
+    symbols = Symbols(clustered)
+    head_of = of[np.array([symbols[w] for w in head], np.int64)] if head else np.zeros(0, np.int64)
+    member = np.eye(CLASSES + 1)[of]
+    grown = int((head_counts >= LEAST).sum())
+    model = {"key": uuid.uuid4().hex, "head": b" ".join(head), "clustered": clustered, "of": of, "head_of": head_of, "end": CLASSES, "matrix": member.T @ pairs @ member, "grown": grown}
+    del pairs
+    first = spark.sparkContext.broadcast(model)
+    if grown > CLUSTERED:
+        contexts = train.mapInArrow(lambda b: _count_contexts(b, first), "word long, context long, c long").groupBy("word", "context").agg(F.sum("c").alias("c"))
+        contexts = contexts.groupBy("word").agg(F.collect_list(F.struct("context", "c")).alias("contexts"))
+        moved = contexts.mapInArrow(lambda b: _exchange_words(b, first), "word long, class long").toArrow()
+        head_of = head_of.copy()
+        head_of[moved["word"].to_numpy()] = moved["class"].to_numpy()
+    model = {**model, "head_of": head_of}
+    second = spark.sparkContext.broadcast(model)
+    found = train.mapInArrow(lambda b: _count_classes(b, second), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    pairs = np.zeros((CLASSES + 1) ** 2)
+    pairs[found["pair"].to_numpy()] = found["c"].to_numpy()
+    pairs = pairs.reshape(CLASSES + 1, CLASSES + 1)
 
-    def by_symbol(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(clustered)
-        kinds, tokens = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, tokens = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
         for b in batches:
-            at = np.array([symbols[w.encode()] if w else END for w in b["word"].to_pylist()], np.int64)
-            kinds += np.bincount(at, minlength=SYMBOLS)
+            words = [w.encode() for w in b["word"].to_pylist()]
+            at = _classes([w or b" " for w in words], second.value)[1]
+            at[np.array([not w for w in words], bool)] = CLASSES
+            kinds += np.bincount(at, minlength=CLASSES + 1)
             np.add.at(tokens, at, b["c"].to_numpy())
-        yield pa.RecordBatch.from_pydict({"symbol": pa.array(np.arange(SYMBOLS)), "kinds": pa.array(kinds), "tokens": pa.array(tokens)})
+        yield pa.RecordBatch.from_pydict({"class": pa.array(np.arange(CLASSES + 1)), "kinds": pa.array(kinds), "tokens": pa.array(tokens)})
 
-    sizes = counts.mapInArrow(by_symbol, "symbol long, kinds long, tokens long").groupBy("symbol").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).toArrow()
+    sizes = counts.mapInArrow(by_class, "class long, kinds long, tokens long").groupBy("class").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).toArrow()
     kinds, tokens = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    np.add.at(kinds, of[sizes["symbol"].to_numpy()], sizes["kinds"].to_numpy())
-    np.add.at(tokens, of[sizes["symbol"].to_numpy()], sizes["tokens"].to_numpy())
+    kinds[sizes["class"].to_numpy()] = sizes["kinds"].to_numpy()
+    tokens[sizes["class"].to_numpy()] = sizes["tokens"].to_numpy()
     rare = np.log10(tokens + ADDED * (kinds + 1))  # what a class's emissions are divided by
     under = math.log10(total + types + 1)
-    symbols = Symbols(clustered)
-    head_of = of[np.array([symbols[w] for w in head], np.int64)] if head else np.zeros(0, np.int64)
     ends = float(tokens[CLASSES])
     shared = spark.sparkContext.broadcast({
-        "key": uuid.uuid4().hex, "head": b" ".join(head), "clustered": clustered, "of": of, "end": CLASSES, "trans": transitions(pairs, of), "rare": rare,
+        **model, "trans": transitions(pairs, np.arange(CLASSES + 1)), "rare": rare,
         "base": np.r_[np.log10(head_counts + 1) - under, 0.0], "emit": np.r_[np.log10(head_counts + ADDED) - rare[head_of], 0.0], "base_end": math.log10(ends + 1) - under, "ends_known": int(ends > 0),
     })
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, word array<string>, times array<long>, rare array<double>"

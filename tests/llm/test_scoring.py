@@ -214,3 +214,12 @@ def test_quality_rules_run_no_python(spark, docs):
 
 def test_chi_square():
     assert quality_rules.chi_square(5, 0.975) == pytest.approx(12.83, abs=0.05)
+
+
+def test_words_beyond_the_first_clustering_are_exchanged(spark):
+    """Two kinds of words take turns; all end alike, so only contexts tell the kinds apart."""
+    rng = random.Random(6)
+    kinds = [["".join(rng.choices("abcdefgh", k=8)) + "zz" for _ in range(1500)] for _ in range(2)]
+    rows = [(d, " ".join(rng.choice(kinds[k % 2]) for k in range(200))) for d in range(600)]
+    got = class_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").toPandas()
+    assert got.score.sum() / got.n_tokens.sum() > -3.3  # a word of a known kind: -3.18; of either: -3.48
