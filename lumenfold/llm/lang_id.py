@@ -139,11 +139,11 @@ def learning_sample(docs: DataFrame, mod: int = 4, held: int = 2) -> pd.DataFram
     Rows are thinned by the hash first, so a language's window holds few rows however many it has.
     """
     rows = docs.where((remainder(mod) != held) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("h"))
-    sizes, _ = stage(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    sizes, _ = stage(rows.groupBy("lang").agg(F.count_distinct("h").alias("n")), "languages")
     langs = sizes.count()
     limit = max(50, SAMPLE // max(1, langs))
     sizes = F.broadcast(sizes) if langs <= 10_000 else sizes  # else a join by language
-    # of a language's n rows about 3 limits stay; where texts are so alike that fewer differ, fewer are learned from
+    # of a language's n different texts about 3 limits stay, or all of fewer
     near = rows.select("lang", "h").join(sizes, "lang").where(F.pmod("h", F.greatest(F.lit(1), F.floor(F.col("n") / (3 * limit)))) == 0).select("lang", "h").distinct()
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= limit).select("lang", "h")
     chosen = rows.join(F.broadcast(ranked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))

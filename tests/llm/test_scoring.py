@@ -223,3 +223,10 @@ def test_words_beyond_the_first_clustering_are_exchanged(spark):
     rows = [(d, " ".join(rng.choice(kinds[k % 2]) for k in range(200))) for d in range(600)]
     got = class_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").toPandas()
     assert got.score.sum() / got.n_tokens.sum() > -3.3  # a word of a known kind: -3.18; of either: -3.48
+
+
+def test_languages_of_few_texts_are_learned(monkeypatch, spark):
+    monkeypatch.setattr(lang_id, "SAMPLE", 100)
+    rows = [(d, f"copied text number {d % 2}", "xx") for d in range(3000)] + [(d, f"another text {d}", "yy") for d in range(3000, 6000)]
+    sample = lang_id.learning_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sample.lang.value_counts().to_dict() == {"xx": 2, "yy": 50}
