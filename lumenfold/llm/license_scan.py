@@ -1,4 +1,4 @@
-"""License detection by ordered signature rules.
+"""License detection by ordered signature rules (``license_rules``).
 
 Texts are lower-cased and cut into runs of letters, digits and non-ASCII
 characters; rules are regular expressions over those words joined by blanks. A
@@ -14,172 +14,21 @@ doc_id is kept; repeated rows are scanned each; an empty table gives no row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import text_of
+from .license_rules import NAMES, WORDINGS
 
 _WORD = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(128, 256))
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c in _WORD else 32 for c in range(256))
 
 BASE = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
 
-#: label | name of the license as normalized words (a regular expression) | keywords, one alternative a comma | identifiers
-NAMES = r"""
-mit | mit(?: expat| x11)? licen[sc]e | mit | mit
-mit-0 | mit no attribution | mit attribution | mit 0
-apache-1.0 | apache (?:software )?licen[sc]e (?:version |v)?1 0 | apache | apache 1 0
-apache-1.1 | apache (?:software )?licen[sc]e (?:version |v)?1 1 | apache | apache 1 1
-apache-2.0 | apache (?:software )?licen[sc]e (?:version |v)?2(?: 0)? | apache | apache 2 0
-apache | apache (?:software )?licen[sc]e | apache | apache
-gpl-1.0 | (?:gnu )?general public licen[sc]e (?:version |v)1(?: 0)? | general public | gpl 1 0(?: only| or later)?
-gpl-2.0 | (?:gnu )?general public licen[sc]e (?:version |v)2(?: 0)? | general public | gpl 2 0(?: only| or later)?
-gpl-3.0 | (?:gnu )?general public licen[sc]e (?:version |v)3(?: 0)? | general public | gpl 3 0(?: only| or later)?
-gpl | (?:gnu )?general public licen[sc]e | general public | gpl
-lgpl-2.0 | (?:gnu )?library general public licen[sc]e(?: version 2(?: 0)?)? | library general public | lgpl 2 0(?: only| or later)?
-lgpl-2.1 | (?:gnu )?lesser general public licen[sc]e (?:version |v)2 1 | lesser general public | lgpl 2 1(?: only| or later)?
-lgpl-3.0 | (?:gnu )?lesser general public licen[sc]e (?:version |v)3(?: 0)? | lesser general public | lgpl 3 0(?: only| or later)?
-lgpl | (?:gnu )?lesser general public licen[sc]e | lesser general public | lgpl
-agpl-3.0 | (?:gnu )?affero general public licen[sc]e (?:version |v)3(?: 0)? | affero general public | agpl 3 0(?: only| or later)?
-agpl | (?:gnu )?affero general public licen[sc]e | affero general public | agpl
-gfdl | (?:gnu )?free documentation licen[sc]e | free documentation | gfdl(?: 1 [123])?
-bsd-2-clause | (?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd) licen[sc]e | bsd, freebsd | bsd 2 clause
-bsd-3-clause | (?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd) licen[sc]e | bsd | bsd 3 clause
-bsd-4-clause | (?:original bsd|bsd 4 clause|4 clause bsd) licen[sc]e | bsd | bsd 4 clause
-bsd-0-clause | (?:zero clause bsd|bsd zero clause|free public) licen[sc]e | bsd, free public | 0bsd
-bsd | bsd(?: style)? licen[sc]e | bsd | bsd
-isc | isc licen[sc]e | isc | isc
-mpl-1.1 | mozilla public licen[sc]e (?:version |v)?1 1 | mozilla | mpl 1 1
-mpl-2.0 | mozilla public licen[sc]e (?:version |v)?2(?: 0)? | mozilla | mpl 2 0
-mpl | mozilla public licen[sc]e | mozilla | mpl
-epl-1.0 | eclipse public licen[sc]e (?:version |v)?1(?: 0)? | eclipse | epl 1 0
-epl-2.0 | eclipse public licen[sc]e (?:version |v)?2(?: 0)? | eclipse | epl 2 0
-epl | eclipse public licen[sc]e | eclipse | epl
-cddl-1.0 | common development and distribution licen[sc]e(?: (?:version |v)?1 0)? | common development distribution | cddl 1 [01]
-cpl-1.0 | common public licen[sc]e(?: (?:version |v)?1 0)? | common public | cpl 1 0
-eupl | european union public licen[sc]e(?: (?:version |v)?1 [12])? | european union public | eupl(?: 1 [12])?
-artistic-1.0 | artistic licen[sc]e (?:version |v)?1(?: 0)? | artistic | artistic 1 0
-artistic-2.0 | artistic licen[sc]e (?:version |v)?2(?: 0)? | artistic | artistic 2 0
-artistic | (?:the )?artistic licen[sc]e | artistic | artistic
-zlib | zlib(?: libpng)? licen[sc]e | zlib | zlib
-libpng | libpng licen[sc]e | libpng | libpng(?: 2 0)?
-boost-1.0 | boost software licen[sc]e(?: (?:version |v)?1 0)? | boost | bsl 1 0
-busl-1.1 | business source licen[sc]e(?: 1 1)? | business source | busl 1 1
-unlicense | (?:the )?unlicense | unlicense | unlicense
-wtfpl | do what the f\w* you want to public licen[sc]e | want public | wtfpl
-python-2.0 | python software foundation licen[sc]e(?: version 2)? | python foundation | psf 2 0
-php-3.01 | php licen[sc]e(?: version 3(?: 01?)?)? | php | php 3 01?
-ruby | ruby licen[sc]e | ruby | ruby
-perl | same terms as perl(?: itself)? | perl | perl
-openssl | openssl licen[sc]e | openssl | openssl
-sleepycat | sleepycat (?:public )?licen[sc]e | sleepycat | sleepycat
-postgresql | postgresql licen[sc]e | postgresql | postgresql
-ofl-1.1 | (?:sil )?open font licen[sc]e(?: version 1 1)? | open font | ofl 1 1
-ms-pl | microsoft public licen[sc]e | microsoft | ms pl
-ms-rl | microsoft reciprocal licen[sc]e | microsoft | ms rl
-ncsa | (?:university of illinois )?ncsa (?:open source )?licen[sc]e | ncsa | ncsa
-afl-3.0 | academic free licen[sc]e(?: (?:version |v)?3 0)? | academic | afl 3 0
-osl-3.0 | open software licen[sc]e(?: (?:version |v)?3 0)? | open software | osl 3 0
-qpl-1.0 | q public licen[sc]e(?: version 1 0)? | q public | qpl 1 0
-cecill | cecill(?: [bc])? licen[sc]e | cecill | cecill(?: [12] [01])?
-upl-1.0 | universal permissive licen[sc]e(?: version 1 0)? | universal permissive | upl 1 0
-mulan-2.0 | mulan permissive software licen[sc]e(?: version 2)? | mulan | mulanpsl 2 0
-sspl-1.0 | server side public licen[sc]e(?: version 1)? | server side public | sspl 1 0
-elastic-2.0 | elastic licen[sc]e(?: (?:version |v)?2(?: 0)?)? | elastic | elastic 2 0
-commons-clause | commons clause(?: licen[sc]e condition)? | commons clause | commons clause
-odbl-1.0 | open (?:data commons )?(?:open )?database licen[sc]e | open database | odbl 1 0
-odc-by-1.0 | open data commons attribution licen[sc]e | commons attribution | odc by 1 0
-pddl-1.0 | public domain dedication and licen[sc]e | domain dedication | pddl 1 0
-hippocratic | hippocratic licen[sc]e | hippocratic | hippocratic(?: [23] [01])?
-json | json licen[sc]e | json | json
-w3c | w3c (?:software (?:notice and )?)?licen[sc]e | w3c | w3c
-x11 | x11 licen[sc]e | x11 | x11
-vim | vim licen[sc]e | vim | vim
-curl | curl licen[sc]e | curl | curl
-icu | icu licen[sc]e | icu | icu
-""".strip()
-
-#: label | regular expression | keywords: sentences and addresses that tell a license by their wording
-WORDINGS = r"""
-cc0-1.0 | (?:creative commons )?cc0(?: 1 0)?(?: universal)?(?: public domain dedication)? | cc0
-cc-by-1.0 | (?:cc by|creative commons attribution(?: licen[sc]e)?) 1 0 | cc by, creative commons attribution
-cc-by-2.0 | (?:cc by|creative commons attribution(?: licen[sc]e)?) 2 [05] | cc by, creative commons attribution
-cc-by-3.0 | (?:cc by|creative commons attribution(?: licen[sc]e)?) 3 0 | cc by, creative commons attribution
-cc-by-4.0 | (?:cc by|creative commons attribution(?: licen[sc]e)?) 4 0(?: international)? | cc by, creative commons attribution
-cc-by-sa-3.0 | (?:cc by sa|creative commons attribution share ?alike) 3 0 | cc by sa, creative commons attribution
-cc-by-sa-4.0 | (?:cc by sa|creative commons attribution share ?alike) 4 0(?: international)? | cc by sa, creative commons attribution
-cc-by-sa | (?:cc by sa|creative commons attribution share ?alike) | cc by sa, creative commons attribution
-cc-by-nd | (?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4] [05])? | cc by nd, creative commons attribution
-cc-by-nc | (?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])? | cc by nc, creative commons attribution
-cc-by-nc-sa | (?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])? | cc by nc sa, creative commons attribution
-cc-by-nc-nd | (?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])? | cc by nc nd, creative commons attribution
-creative-commons | creative commons licen[sc]e | creative commons
-cc-by-4.0 | creativecommons org licenses by 4 0 | creativecommons by
-cc-by-3.0 | creativecommons org licenses by 3 0 | creativecommons by
-cc-by-sa-4.0 | creativecommons org licenses by sa 4 0 | creativecommons by sa
-cc-by-sa-3.0 | creativecommons org licenses by sa 3 0 | creativecommons by sa
-cc-by-nd | creativecommons org licenses by nd [1-4] [05] | creativecommons by nd
-cc-by-nc | creativecommons org licenses by nc [1-4] [05] | creativecommons by nc
-cc-by-nc-sa | creativecommons org licenses by nc sa [1-4] [05] | creativecommons by nc sa
-cc-by-nc-nd | creativecommons org licenses by nc nd [1-4] [05] | creativecommons by nc nd
-cc0-1.0 | creativecommons org publicdomain zero 1 0 | creativecommons publicdomain zero
-public-domain | (?:released|placed|dedicated|is) (?:in|into|to) the public domain | public domain
-public-domain | public domain dedication | public domain dedication
-mit | permission is hereby granted free of charge to any person obtaining a copy of this software | hereby granted charge obtaining
-mit | opensource org licenses mit | opensource mit
-isc | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted | permission distribute fee hereby
-bsd | redistribution and use in source and binary forms with or without modification are permitted | redistribution binary permitted
-bsd-3-clause | neither the name of .{1,80}? nor the names of its contributors may be used to endorse | neither endorse contributors
-bsd-4-clause | all advertising materials mentioning features or use of this software must display | advertising materials display
-bsd-3-clause | opensource org licenses bsd 3 clause | opensource bsd clause
-bsd-2-clause | opensource org licenses bsd 2 clause | opensource bsd clause
-apache-2.0 | www apache org licenses license 2 0 | apache org licenses
-apache-2.0 | you may not use this file except in compliance with the licen[sc]e | compliance except
-gpl | www gnu org licenses gpl(?: [123] 0)? | gnu org gpl
-lgpl | www gnu org licenses lgpl(?: [23] [01])? | gnu org lgpl
-agpl | www gnu org licenses agpl(?: 3 0)? | gnu org agpl
-gfdl | www gnu org licenses fdl(?: 1 [123])? | gnu org fdl
-gpl-2.0 | gnu org licenses old licenses gpl 2 0 | gnu old gpl
-gpl | free software you can redistribute it and or modify it under the terms of the gnu general public | redistribute modify gnu
-lgpl | free software you can redistribute it and or modify it under the terms of the gnu lesser general public | redistribute modify lesser
-agpl | redistribute it and or modify it under the terms of the gnu affero general public | redistribute modify affero
-gpl-2.0-or-later | either version 2 of the licen[sc]e or at your option any later version | version option later
-gpl-3.0-or-later | either version 3 of the licen[sc]e or at your option any later version | version option later
-gpl-2.0 | gpl ?v2 | gpl, gplv2
-gpl-3.0 | gpl ?v3 | gpl, gplv3
-lgpl-2.1 | lgpl ?v2 1 | lgpl, lgplv2
-lgpl-3.0 | lgpl ?v3 | lgpl, lgplv3
-agpl-3.0 | agpl ?v3 | agpl, agplv3
-mpl-2.0 | this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0 | mozilla source form
-mpl-2.0 | mozilla org mpl 2 0 | mozilla mpl
-mpl | mozilla org mpl | mozilla mpl
-epl-2.0 | eclipse org legal epl (?:2 0|v20) | eclipse legal
-epl-1.0 | eclipse org legal epl v10 | eclipse legal
-unlicense | this is free and unencumbered software released into the public domain | unencumbered
-unlicense | unlicense org | unlicense org
-wtfpl | www wtfpl net | wtfpl net
-zlib | this software is provided as is without any express or implied warranty in no event will the authors be held liable | implied warranty authors liable
-boost-1.0 | boost org license 1 0 | boost org
-boost-1.0 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software | organization obtaining hereby
-ofl-1.1 | scripts sil org ofl | sil ofl
-cddl-1.0 | opensource org licenses cddl 1 0 | opensource cddl
-artistic-2.0 | opensource org licenses artistic 2 0 | opensource artistic
-perl | under the same terms as perl itself | perl same terms
-openssl | this product includes software developed by the openssl project | openssl product
-php-3.01 | this product includes php software | php product includes
-json | the software shall be used for good not evil | good evil shall
-proprietary | all rights reserved | all rights reserved
-proprietary | proprietary and confidential | proprietary confidential
-proprietary | (?:may not be|no part of this .{1,40}? may be) (?:reproduced|copied|redistributed) | reproduced, copied, redistributed
-proprietary | commercial licen[sc]e | commercial license, commercial licence
-free-unspecified | freely (?:distributable|redistributable|available for use) | freely
-licensed-unspecified | (?:is |are )?licen[sc]ed under (?:the )?(?:terms of )?(?:the )?[a-z0-9 ]{2,40} | licensed under, licenced under
-licensed-unspecified | spdx license identifier [a-z0-9]+(?: [a-z0-9]+)? | spdx identifier
-licensed-unspecified | see the (?:file )?(?:license|licence|copying)(?: file| txt| md)? (?:for|file) | see license, see licence, see copying
-""".strip()
-
 #: Priorities by the kind of rule, and how sure a detection of the kind is.
 KINDS = {"wording": (90, 0.95), "address": (85, 0.95), "spdx": (80, 0.9), "grant": (70, 0.9), "name": (60, 0.8), "identifier": (50, 0.6), "loose": (10, 0.3)}
 
@@ -197,7 +46,8 @@ def rules() -> list[Rule]:
     gates = lambda text, *more: [set(x.encode().split()) | set(more) for x in text.split(",")]
     for line in NAMES.splitlines():
         label, name, keys, tag = (x.strip() for x in line.split(" | "))
-        words = [b"unlicense"] if label == "unlicense" else [] if "terms" in name else [b"license", b"licence"]
+        required = re.sub(r"\(\?:[^()]*\)\?", "", re.sub(r"\(\?:[^()]*\)\?", "", name))  # without what may be absent
+        words = [b"unlicense"] if label == "unlicense" else [b"license", b"licence"] if "licen[sc]e" in required else []
         every = [g | {w} for g in gates(keys) for w in words] or gates(keys)
         granted = [g | {v} for g in gates(keys) for v in (b"licensed", b"distributed", b"released", b"available")]
         first = {re.split(r"[ (\[]", tag)[0].encode()}
@@ -234,12 +84,20 @@ def normalized(text: str) -> list[bytes]:
 
 
 def suppress(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int, int, int, str, float]]:
-    """Detections (start, end, priority, label, sureness) that no kept one of higher rank contains or lies in."""
-    kept: list = []
+    """Detections (start, end, priority, label, sureness) that no kept one of higher rank contains or lies in.
+
+    Kept detections never contain each other, so by start they are in order of their ends, too, and
+    one look on either side decides.
+    """
+    kept, starts = [], []
     for d in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
-        if not any((k[0] <= d[0] and d[1] <= k[1]) or (d[0] <= k[0] and k[1] <= d[1] and d[2] < k[2]) for k in kept):
-            kept.append(d)
-    return sorted(kept)
+        at = bisect_right(starts, d[0])
+        within = at and kept[at - 1][1] >= d[1]
+        at = bisect_left(starts, d[0])
+        if not within and not (at < len(kept) and kept[at][1] <= d[1]):
+            starts.insert(at, d[0])
+            kept.insert(at, d)
+    return kept
 
 
 def scan_words(words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, str, float]]]:
@@ -249,14 +107,19 @@ def scan_words(words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[in
         return [], []
     present = keywords.intersection(words)
     line = b" " + b" ".join(words) + b" "
-    base = [(line.count(b" ", 0, m.start() + 1) - 1, label) for phrase, label in BASE.items() if present.issuperset(phrase.split()) for m in re.finditer(rb"(?<= )" + phrase + rb"(?= )", line)]
+    base = [(m.start(), label) for phrase, label in BASE.items() if present.issuperset(phrase.split()) for m in re.finditer(rb"(?<= )" + phrase + rb"(?= )", line)]
     found = []
     for k in sorted({k for w in present if w in opens for k in opens[w]}):
         rule = made[k]
         if any(g <= present for g in rule.gates):
             found += [(m.start(), m.end(), rule.priority, rule.label, rule.sure) for m in rule.pattern.finditer(line)]
-    at = lambda p: line.count(b" ", 0, p) - 1
-    return sorted(base), [(at(a), at(b) + 1, p, label, sure) for a, b, p, label, sure in suppress(found)]
+    if not base and not found:
+        return [], []
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    word = lambda places: (np.searchsorted(blanks, np.array(places, np.int64)) - 1).tolist()
+    kept = suppress(found)
+    spans = zip(kept, word([d[0] for d in kept]), word([d[1] for d in kept]))
+    return sorted(zip(word([p for p, _ in base]), (label for _, label in base))), [(a, b + 1, *d[2:]) for d, a, b in spans]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
