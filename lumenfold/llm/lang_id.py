@@ -10,7 +10,8 @@ The machines are fitted on the driver on ``SAMPLE`` learning rows at most, share
 evenly by the languages (the rows with the least hashes of their text); that bound
 does not depend on the corpus, and every row is predicted.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0;
+Defined cases: a text that is null or has no letter (Unicode categories L; numerals
+such as a superscript two or a Roman one are none) is ``und`` with score 0;
 without any learning row every text is ``und``; with one language in the learning
 rows it is the answer for all; a null doc_id belongs to no part (held_out null)
 and is not learned from; an empty table gives no row.
@@ -18,7 +19,6 @@ and is not learned from; an empty table gives no row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +48,6 @@ FAMILIES = {
     "austronesian": "id ms tl jv",
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint32)
 
 
@@ -119,7 +118,7 @@ def _identify(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
             texts = [t or "" for t in part["text"].to_pylist()]
-            lettered = [i for i, t in enumerate(texts) if _LETTER.search(t)] if model else []
+            lettered = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if model else []
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             if lettered:
                 for i, lang, score in zip(lettered, *predict(model, [texts[i] for i in lettered])):
@@ -134,19 +133,20 @@ def _vectorize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learning_sample(docs: DataFrame, mod: int = 4, held: int = 2) -> pd.DataFrame:
-    """lang and vector of the sample: for each language the rows with the least text hashes, SAMPLE in all, 50 a language at least.
+    """lang and vector of the sample: for each language the rows with the least text hashes, SAMPLE in all, one a language at least.
 
     Rows are thinned by the hash first, so a language's window holds few rows however many it has.
     """
     rows = docs.where((remainder(mod) != held) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("h"))
     sizes, _ = stage(rows.groupBy("lang").agg(F.count_distinct("h").alias("n")), "languages")
     langs = sizes.count()
-    limit = max(50, SAMPLE // max(1, langs))
+    limit = max(1, SAMPLE // max(1, langs))
     sizes = F.broadcast(sizes) if langs <= 10_000 else sizes  # else a join by language
     # of a language's n different texts about 3 limits stay, or all of fewer
     near = rows.select("lang", "h").join(sizes, "lang").where(F.pmod("h", F.greatest(F.lit(1), F.floor(F.col("n") / (3 * limit)))) == 0).select("lang", "h").distinct()
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= limit).select("lang", "h")
-    chosen = rows.join(F.broadcast(ranked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    ranked = F.broadcast(ranked) if langs <= SAMPLE else ranked  # SAMPLE rows at most
+    chosen = rows.join(ranked, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     return chosen.mapInArrow(_vectorize, "lang string, h long, x binary").orderBy("lang", "h").toArrow().to_pandas()
 
 
