@@ -2,6 +2,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -120,6 +121,51 @@ def test_benchmark_blocks(monkeypatch, spark):
     assert len(blocks) > 5 and sorted(i for b in blocks for i, _ in b) == list(range(40))
     docs = spark.createDataFrame([(k, f"x a{k} b{k} c{k} d{k} y") for k in range(40)], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in spaced_seeds.contaminated(docs, bench).collect()} == {(k, k) for k in range(40)}
+    assert spaced_seeds.clean_documents(docs, bench).count() == 0
+
+
+def slow_overlaps(items, text):
+    """Every diagonal with a seed hit, each word by word."""
+    masks, out = [[k for k, c in enumerate(m) if c == "1"] for m in spaced_seeds.MASKS], []
+    for number, item in enumerate(items):
+        best = None
+        for shift in range(-len(item), len(text)):
+            same = {k: text[k + shift] == item[k] for k in range(len(item)) if 0 <= k + shift < len(text)}
+            hit = len(item) < 12 and len(same) == len(item) and all(same.values())
+            hit |= len(item) >= 12 and any(all(same.get(j + p, False) for p in m) for m in masks for j in range(len(item) - 11) if 0 <= j + shift <= len(text) - 12)
+            if not hit:
+                continue
+            total, low, at, top = 0, 0, min(same), (0, 0, 0)
+            for k in sorted(same):
+                total += 1 if same[k] else -spaced_seeds.MISMATCH
+                if total - low > top[0]:
+                    top = (total - low, at, k + 1)
+                if total < low:
+                    low, at = total, k + 1
+            matches = sum(same[k] for k in range(top[1], top[2]))
+            if matches >= min(12, len(item)) and matches >= 0.8 * (top[2] - top[1]) and (best is None or matches > best[4]):
+                best = (number, top[1] + shift, top[2] + shift, top[1], matches)
+        if best:
+            out.append(best)
+    return out
+
+
+def test_overlaps_of_repetitive_texts():
+    rng = random.Random(8)
+    for _ in range(60):
+        letters = "ab" if rng.random() < 0.5 else "abcdefgh"
+        items = [[rng.choice(letters).encode() for _ in range(rng.choice([4, 12, 20, 30]))] for _ in range(3)] + [[b"a"] * 25, [b"a", b"b"] * 12]
+        text = [rng.choice(letters).encode() for _ in range(40)] + [b"a"] * rng.randint(0, 40) + [b"a", b"b"] * rng.randint(0, 20)
+        text += items[1][: rng.randint(0, 30)]
+        got = spaced_seeds.overlaps(spaced_seeds.SeedTable(items), spaced_seeds.word_hashes(text))
+        assert got == slow_overlaps(items, text)
+
+
+def test_long_repetitive_texts():
+    for item, text in ((["x"] * 500, ["x"] * 100_000), (["x"] * 400 + [f"q{k}" for k in range(100)], ["x"] * 100_000), (["a", "b"] * 250, ["a", "b"] * 50_000)):
+        table, h = spaced_seeds.SeedTable([[w.encode() for w in item]]), spaced_seeds.word_hashes([w.encode() for w in text])
+        began = time.time()
+        assert len(spaced_seeds.overlaps(table, h)) == 1 and time.time() - began < 10  # a second or two; the product of equal seeds takes minutes
 
 
 def test_language_model_base_and_gain(spark, docs, texts, empty):
