@@ -1,15 +1,20 @@
 """Quality rules with robust outlier rejection, in DataFrame operations only.
 
 Each text yields a few counts; a vector of transformed shares of them is compared
-with the minimum-covariance-determinant estimate of its language and source. The
-estimate is found by concentration steps (Rousseeuw and Van Driessen, 1999) from
-medians and median absolute deviations: mean and covariance of the
-``CORE`` share of nearest rows, new distances, again; then one reweighting.
-Every quantile comes from a histogram of fixed bins, so a group of any size is
-summed before it is shuffled, and results do not depend on the order of rows.
-
-A group under ``LEAST_ROWS`` rows takes the estimate over all documents. A floor
-on each variance keeps features that hardly vary from rejecting harmless texts.
+with the minimum-covariance-determinant estimate of its language and source
+(Rousseeuw and Van Driessen, 1999). From several fixed starts of every group
+(medians with median absolute deviations, means with covariances, medians with unit
+scales) concentration steps take mean and covariance of the ``CORE`` share of nearest
+rows, again and again; the start that ends with the least determinant stands, and
+one reweighting follows. Every quantile comes from a histogram of fixed bins, so a
+group of any size is summed before it is shuffled, and results do not depend on the
+order of rows.
+
+A group's estimate is that of its rows and ``PRIOR`` more of its language's moments,
+which in turn hold ``PRIOR`` more of all rows' moments: few rows lean on their
+language, many decide for themselves, and no size is a switch. A floor on each
+variance keeps features that hardly vary from rejecting harmless texts; each floor
+lets its feature alone exceed the cut within its range.
 
 Defined cases: a null or blank text has zero counts and fails the base rule; null
 language or source are a group like any other; repeated rows count each; an empty
@@ -30,11 +35,12 @@ from .common import stage
 SPACE = " \t\n\x0b\x0c\r"
 FEATURES = ("size", "word_length", "symbols", "dup_lines", "repeats")
 #: Least standard deviation of each feature.
-FLOOR = (0.6, 0.3, 0.06, 0.3, 0.25)
-CORE, STEPS, LEAST_ROWS, QUANTILE = 0.75, 3, 50, 0.9999
+FLOOR = (0.6, 0.3, 0.06, 0.1, 0.1)
+CORE, STEPS, PRIOR, QUANTILE = 0.75, 5, 50.0, 0.9999
 SALTS = 64
-ALL = "\x00all"
 P = range(len(FEATURES))
+PAIRS = [(i, j) for i in P for j in P if j <= i]
+KEYS = ["lang", "source"]
 
 
 def chi_square(p: int, q: float) -> float:
@@ -51,7 +57,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     grams = F.when(F.size("words") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice("words", 1, F.size("words") - 2), lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2))))
     rows = rows.select("doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"), grams.alias("grams"))
     again = F.size(F.array_distinct("grams")) < F.size("grams")
-    ranked = F.when(again, F.array_sort(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+    ranked = F.when(again, F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
     rows = rows.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), ranked.alias("ranked"))
     same = lambda s, i: F.coalesce(s["g"] == F.get("ranked", i)["g"], F.lit(False))
     twice = F.filter("ranked", lambda s, i: same(s, i - 1) | same(s, i + 1))
@@ -65,17 +71,10 @@ def features(stats: DataFrame) -> DataFrame:
     return stats.withColumns({f"x{i}": F.least(v, F.lit(50.0)) for i, v in enumerate(values)})
 
 
-def _joined(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows with their group's line of a table of one line a group, which is repeated so that a large group's rows spread over partitions."""
+def _joined(rows: DataFrame, table: DataFrame, on: list[str] = KEYS, how: str = "inner") -> DataFrame:
+    """Rows with their group's lines of a table of a few lines a group, which is repeated so that a large group's rows spread over partitions."""
     spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(spread, ["lang", "source", "salt"], how).drop("salt")
-
-
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Each row in its own group and in the group of all."""
-    own = F.struct("lang", "source")
-    both = F.explode(F.array(own, F.struct(F.lit(ALL).alias("lang"), F.lit(ALL).alias("source"))))
-    return rows.select(*(f"x{i}" for i in P), both.alias("g")).select("g.*", *(f"x{i}" for i in P))
+    return rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(spread, [*on, "salt"], how).drop("salt")
 
 
 def _binned_quantile(rows: DataFrame, keys: list[str], q: float) -> DataFrame:
@@ -97,22 +96,41 @@ def _distance_bin(d2: Column) -> Column:
     return F.floor(F.log1p(d2) * 64).cast("long")
 
 
-def _estimate(core: DataFrame, stretch: float) -> DataFrame:
-    """Means m.. and inverse covariances p.. of each group's core rows, by a Cholesky factor written out in columns."""
-    pairs = [(i, j) for i in P for j in P if j <= i]
-    e = core.groupBy("lang", "source").agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in P), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs))
-    e = e.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * stretch + (FLOOR[i] ** 2 if i == j else 0.0) for i, j in pairs})
+def _moments(core: DataFrame, keys: list[str], stretch: float) -> DataFrame:
+    """n, means m.. and covariances c.. of each key's rows; the covariances times stretch."""
+    return core.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in P), *((F.covar_pop(f"x{i}", f"x{j}") * stretch).alias(f"c{i}{j}") for i, j in PAIRS))
+
+
+def _inverted(e: DataFrame, keys: list[str]) -> DataFrame:
+    """m.., inverse covariances p.. and the logarithm of the determinant, floors added, by a Cholesky factor written out in columns; n and c.. stay."""
     col = F.col
     total = lambda terms: sum(terms, F.lit(0.0))
-    for i, j in pairs:  # L
-        rest = col(f"c{i}{j}") - total(col(f"l{i}{k}") * col(f"l{j}{k}") for k in range(j))
+    for i, j in PAIRS:  # L
+        rest = col(f"c{i}{j}") + (FLOOR[i] ** 2 if i == j else 0.0) - total(col(f"l{i}{k}") * col(f"l{j}{k}") for k in range(j))
         e = e.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / col(f"l{j}{j}"))
     for j in P:  # the inverse of L
         e = e.withColumn(f"v{j}{j}", 1 / col(f"l{j}{j}"))
         for i in range(j + 1, len(P)):
             e = e.withColumn(f"v{i}{j}", -total(col(f"l{i}{k}") * col(f"v{k}{j}") for k in range(j, i)) / col(f"l{i}{i}"))
-    inverse = (total(col(f"v{k}{i}") * col(f"v{k}{j}") for k in range(i, len(P))).alias(f"p{i}{j}") for i, j in pairs)
-    return e.select("lang", "source", *(f"m{i}" for i in P), *inverse)
+    inverse = (total(col(f"v{k}{i}") * col(f"v{k}{j}") for k in range(i, len(P))).alias(f"p{i}{j}") for i, j in PAIRS)
+    logdet = total(2 * F.log(col(f"l{i}{i}")) for i in P)
+    return e.select(*keys, "n", *(f"m{i}" for i in P), *(f"c{i}{j}" for i, j in PAIRS), *inverse, logdet.alias("logdet"))
+
+
+def shrunk(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """The estimate of every group: its own moments (if found has any), PRIOR rows of its language's, and in those PRIOR of all rows'."""
+    sums = found.select(*KEYS, "n", *((F.col("n") * F.col(f"m{i}")).alias(f"s{i}") for i in P), *((F.col("n") * (F.col(f"c{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"q{i}{j}") for i, j in PAIRS))
+    names = [*(f"s{i}" for i in P), *(f"q{i}{j}" for i, j in PAIRS)]
+    langs = sums.groupBy("lang").agg(*(F.sum(c).alias(f"{c}_lang") for c in ["n", *names]))
+    every = langs.agg(*(F.sum(f"{c}_lang").alias(c) for c in ["n", *names])).first()  # one row
+    n = every["n"] or 0.0
+    out = groups.join(sums, KEYS, "left").join(langs, "lang", "left")
+    out = out.na.fill(0.0)
+    mean = lambda c: (F.col(c) + PRIOR * (F.col(f"{c}_lang") + PRIOR * (every[c] / n if n else 0.0)) / (F.col("n_lang") + PRIOR)) / (F.col("n") + PRIOR)
+    out = out.select(*KEYS, "n", *(mean(c).alias(c) for c in names))
+    out = out.select(*KEYS, "n", *(F.col(f"s{i}").alias(f"m{i}") for i in P), *((F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in PAIRS))
+    out, _ = stage(out, "moments")  # else moments that turn out empty would be folded into every factor below
+    return _inverted(out, KEYS)
 
 
 def _mahalanobis() -> Column:
@@ -120,36 +138,43 @@ def _mahalanobis() -> Column:
     return sum((F.col(f"p{i}{j}") * z[i] * z[j] * (1 if i == j else 2) for i in P for j in range(i + 1)), F.lit(0.0))
 
 
+def starts(rows: DataFrame) -> DataFrame:
+    """Three lines a group (start 0, 1, 2), each with means m.. and inverse covariances p.. to begin from."""
+    middle, _ = stage(_medians(rows, lambda i: F.col(f"x{i}")), "medians")
+    spread = _medians(_joined(rows, middle), lambda i: F.abs(F.col(f"x{i}") - F.col(f"m{i}")))
+    spread = spread.select(*KEYS, *(F.col(f"m{i}").alias(f"s{i}") for i in P))
+    scale, _ = stage(middle.join(spread, KEYS), "scales")
+
+    def diagonal(number: int, width) -> DataFrame:
+        p = ((1 / width(i) ** 2 if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in PAIRS)
+        return scale.select(*KEYS, F.lit(number).alias("start"), *(f"m{i}" for i in P), *p)
+
+    plain = _inverted(_moments(rows, KEYS, 1.0), KEYS).select(*KEYS, F.lit(1).alias("start"), *(f"m{i}" for i in P), *(f"p{i}{j}" for i, j in PAIRS))
+    return stage(diagonal(0, lambda i: 1.4826 * F.col(f"s{i}") + FLOOR[i]).unionByName(plain).unionByName(diagonal(2, lambda i: F.lit(FLOOR[i]))), "starts")[0]
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """The minimum-covariance-determinant estimate of every language and source, and of all rows."""
-    grouped, keys = _grouped(rows), ["lang", "source"]
-    middle, _ = stage(_medians(grouped, lambda i: F.col(f"x{i}")), "medians")
-    spread = _medians(_joined(grouped, middle), lambda i: F.abs(F.col(f"x{i}") - F.col(f"m{i}")))
-    spread = spread.select(*keys, *(F.col(f"m{i}").alias(f"s{i}") for i in P))
-    scale, _ = stage(middle.join(spread, keys), "scales")
-    measured = _joined(grouped, scale).withColumn("d2", sum((((F.col(f"x{i}") - F.col(f"m{i}")) / (1.4826 * F.col(f"s{i}") + FLOOR[i])) ** 2 for i in P), F.lit(0.0)))
+    """The minimum-covariance-determinant estimate of every language and source."""
+    xs, keys = [f"x{i}" for i in P], [*KEYS, "start"]
+    rows = rows.select(*KEYS, *xs)
+    groups, _ = stage(rows.select(*KEYS).distinct(), "groups")
+    found = starts(rows)
     # over the nearest CORE share of a normal sample variances shrink by this factor
-    shrunk = 1 / (1 + log(1 / (1 - CORE)) / len(P)) if CORE < 1 else 1.0
-    for step in range(STEPS + 1):
-        measured = measured.select(*keys, *(f"x{i}" for i in P), "d2", _distance_bin(F.col("d2")).alias("bin"))
-        if step < STEPS:
-            cut = _binned_quantile(measured.select(*keys, "bin"), keys, CORE).withColumnRenamed("bin", "most")
-            core = _joined(measured, cut).where("bin <= most")
-        else:
-            core = measured.where(F.col("d2") <= chi_square(len(P), 0.975))
-        found, _ = stage(_estimate(core, 1 / shrunk if step < STEPS else 1.0), "estimates")
-        measured = _joined(grouped, found).withColumn("d2", _mahalanobis())
-    return found
+    narrowed = 1 / (1 + log(1 / (1 - CORE)) / len(P)) if CORE < 1 else 1.0
+    for _ in range(STEPS):
+        measured = _joined(rows, found).select(*keys, *xs, _distance_bin(_mahalanobis()).alias("bin"))
+        cut = _binned_quantile(measured.select(*keys, "bin"), keys, CORE).withColumnRenamed("bin", "most")
+        core = _joined(measured, cut, keys).where("bin <= most")
+        found, _ = stage(_inverted(_moments(core, keys, 1 / narrowed), keys), "estimates")
+    best = found.groupBy(*KEYS).agg(F.min_by(F.struct("n", *(f"m{i}" for i in P), *(f"c{i}{j}" for i, j in PAIRS)), F.struct(F.round("logdet", 6), "start")).alias("e")).select(*KEYS, "e.*")
+    near, _ = stage(shrunk(best, groups), "estimates")
+    core = _joined(rows, near).where(_mahalanobis() <= chi_square(len(P), 0.975)).select(*KEYS, *xs)
+    return stage(shrunk(stage(_moments(core, KEYS, 1.0), "moments")[0], groups), "models")[0]
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """The counts of each document, base_failed, distance2 and kept."""
     stats, _ = stage(features(statistics(docs)), "statistics")
-    found = estimates(stats)
-    sizes = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    own = sizes.where(F.col("n") >= LEAST_ROWS).join(found, ["lang", "source"]).drop("n")
-    pooled = sizes.where(F.col("n") < LEAST_ROWS).select("lang", "source").join(found.where(F.col("lang") == ALL).drop("lang", "source"))
-    models, _ = stage(own.unionByName(pooled), "models")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = _joined(stats, models, "left").withColumn("distance2", _mahalanobis())
+    out = _joined(stats, estimates(stats).select(*KEYS, *(f"m{i}" for i in P), *(f"p{i}{j}" for i, j in PAIRS)), how="left").withColumn("distance2", _mahalanobis())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.coalesce("distance2", F.lit(0.0)) <= chi_square(len(P), QUANTILE))).alias("kept"), "distance2")

@@ -72,7 +72,7 @@ def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
-    return judge(documents(spark, sf_dir)).withColumn("distance2", F.round("distance2", 6))
+    return judge(documents(spark, sf_dir)).withColumn("distance2", F.round("distance2", 4))
 
 
 def queries() -> dict:
