@@ -244,13 +244,79 @@ def test_quality_counts_and_rejection(spark, docs, texts, empty):
     rng = random.Random(6)
     clean = [(k, " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(80, 300))), "en", "web") for k in range(200)]
     junk = [(1000 + k, " ".join(f"w{rng.randint(0, 999)}***###" for _ in range(100)), "en", "web") for k in range(10)]
+    words = lambda n: [f"w{rng.randint(0, 9999)}" for _ in range(n)]
+    junk += [(2000 + k, " ".join(words(120)) + "\nok" * 30, "en", "web") for k in range(5)]  # nearly all lines are duplicates
+    junk += [(3000 + k, " ".join(half + words(53) + half), "en", "web") for k in range(5) for half in [words(24)]]  # nearly half of the words repeat
+    for k in range(5):  # harmless: the first line again at the end
+        first = " ".join(words(10))
+        clean.append((200 + k, "\n".join([first, *(" ".join(words(20)) for _ in range(5)), first]), "en", "web"))
+    clean += [(300, " ".join(words(100)), "en", "rare"), (301, " ".join(words(150)), "xx", "rare")]  # groups of one row lean on the others
+    junk += [(4000, " ".join(f"{w}***###" for w in words(100)), "en", "rare two"), (4001, " ".join(f"{w}***###" for w in words(100)), "yy", "web")]
     rows = quality_rules.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()
-    assert {r.doc_id for r in rows if r.kept} == set(range(200))
+    assert {r.doc_id for r in rows if r.kept} == {d for d, *_ in clean} and not {r.doc_id for r in rows if r.base_failed}
+
+
+def concentrated(x, m, p, steps=100):
+    """Concentration steps to the end, by the module's bins: covariance and its determinant."""
+    floors = np.diag(np.square(quality_rules.FLOOR))
+    stretch = 1 + math.log(1 / (1 - quality_rules.CORE)) / x.shape[1]
+    for _ in range(steps):
+        bins = np.floor(np.log1p(np.einsum("ij,jk,ik->i", x - m, p, x - m)) * 64)
+        cut = np.sort(bins)[math.ceil(quality_rules.CORE * len(x)) - 1]
+        core = x[bins <= cut]
+        m, c = core.mean(axis=0), np.cov(core.T, bias=True) * stretch
+        p = np.linalg.inv(c + floors)
+    return m, c, len(core), np.linalg.slogdet(c + floors)[1]
+
+
+def test_least_determinant_of_several_starts(spark):
+    rng = np.random.default_rng(7)
+    frames, best = [], {}
+    for g in range(4):  # the larger g, the more rows of a second cloud
+        x = rng.normal(0, 0.2, (300, 5)) + 2
+        x[: 40 * g] = rng.normal(0, 0.05 * (g + 1), (40 * g, 5)) + [3, 2.5, 2, 2.6, 2.4]
+        frames += [("en", f"s{g}", *map(float, r)) for r in x]
+        middle = np.median(x, axis=0)
+        mads = 1.4826 * np.median(np.abs(x - middle), axis=0) + quality_rules.FLOOR
+        begin = [(middle, np.diag(1 / mads**2)), (x.mean(axis=0), np.linalg.inv(np.cov(x.T, bias=True) + np.diag(np.square(quality_rules.FLOOR)))), (middle, np.diag(1 / np.square(quality_rules.FLOOR)))]
+        best[f"s{g}"] = min((concentrated(x, *b) for b in begin), key=lambda e: round(e[3], 6))
+    rows = spark.createDataFrame(frames, "lang string, source string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got, x = {r.source: r for r in quality_rules.estimates(rows).collect()}, {s: np.array([f[2:] for f in frames if f[1] == s]) for s in best}
+
+    def shrunk(moments):  # every group has one language, so its target is that of all rows
+        raw = {s: (n, m, c + np.outer(m, m)) for s, (m, c, n) in moments.items()}
+        total = sum(n for n, *_ in raw.values())
+        every = [sum(r[0] * r[k] for r in raw.values()) / total for k in (1, 2)]
+        out = {}
+        for s, (n, m, q) in raw.items():
+            m, q = ((n * v + quality_rules.PRIOR * t) / (n + quality_rules.PRIOR) for v, t in zip((m, q), every))
+            out[s] = m, q - np.outer(m, m)
+        return out
+
+    near, final = shrunk({s: b[:3] for s, b in best.items()}), {}
+    for s, (m, c) in near.items():
+        p = np.linalg.inv(c + np.diag(np.square(quality_rules.FLOOR)))
+        core = x[s][np.einsum("ij,jk,ik->i", x[s] - m, p, x[s] - m) <= quality_rules.chi_square(5, 0.975)]
+        final[s] = core.mean(axis=0), np.cov(core.T, bias=True), len(core)
+    for s, (m, c) in shrunk(final).items():
+        assert np.allclose([got[s][f"m{i}"] for i in range(5)], m, atol=1e-3), s
+        assert np.allclose([[got[s][f"c{max(i, j)}{min(i, j)}"] for j in range(5)] for i in range(5)], c, atol=1e-3), s
 
 
 def test_quality_rules_run_no_python(spark, docs):
-    plan = quality_rules.judge(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    plans, stage = [], quality_rules.stage
+
+    def watched(df, label):
+        plans.append(df)
+        return stage(df, label)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_rules, "stage", watched)
+        plans.append(quality_rules.judge(docs))
+    assert len(plans) > quality_rules.STEPS
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_chi_square():
