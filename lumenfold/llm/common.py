@@ -37,11 +37,14 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent (local tests) a temporary folder is made and set.
+    Only where the setting is absent and Spark runs in one process (local tests) a temporary folder
+    is made and set; a cluster without the setting is an error, as its machines share no such folder.
     """
     conf = spark.sparkContext.getConf()
     root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "lumenfold-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -83,6 +86,12 @@ def text_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def row_key():
+    """Two longs that tell a row by its doc_id and whole text: equal for repeated rows, different for other texts under one doc_id."""
+    of = (F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
+    return F.xxhash64(*of), F.xxhash64(F.lit(1), *of)
+
+
 def remainder(mod: int):
     """crc32 of the decimal doc_id, modulo mod (null for a null doc_id)."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(mod)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import row_key, stage, text_of
 from .fm_index import FMIndex, interval_minima
 
 WINDOW, GRAM = 13, 5
@@ -66,10 +66,11 @@ class _Codes(dict):
 class Block:
     """Documents of a block: ids, word counts, and words as codes into the block's vocabulary."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, words: list[bytes]):
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, words: list[bytes], keys: np.ndarray | None = None):
         from xxhash import xxh64_intdigest
 
         self.ids, self.sizes, self.codes, self.words = ids, sizes, codes, words
+        self.keys = np.zeros((0, 2), np.int64) if keys is None else keys
         self.doc = np.repeat(np.arange(len(ids)), sizes)
         hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
         self.hashes = hashes[codes] if len(words) else np.zeros(0, np.uint64)
@@ -83,19 +84,19 @@ class Block:
         number[order] = np.arange(len(order), dtype=np.uint32)
         width = max(1, (len(self.words).bit_length() + 7) // 8)
         planes = np.ascontiguousarray(number[self.codes].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T)
-        parts = [self.ids.astype(np.int64).tobytes(), self.sizes.astype(np.int64).tobytes(), planes.tobytes(), b" ".join([self.words[k] for k in order])]
+        parts = [self.ids.astype(np.int64).tobytes(), self.sizes.astype(np.int64).tobytes(), self.keys.astype(np.int64).tobytes(), planes.tobytes(), b" ".join([self.words[k] for k in order])]
         raw = np.array([width, *map(len, parts)], np.int64).tobytes() + b"".join(parts)
         return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
 
     @classmethod
     def unpack(cls, body: bytes) -> Block:
         raw = pa.decompress(body[8:], decompressed_size=int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True)
-        width, *lengths = np.frombuffer(raw, np.int64, 5).tolist()
-        ends = 40 + np.r_[0, np.cumsum(lengths)]
-        ids, sizes, planes, words = (raw[a:b] for a, b in zip(ends, ends[1:]))
+        width, *lengths = np.frombuffer(raw, np.int64, 6).tolist()
+        ends = 48 + np.r_[0, np.cumsum(lengths)]
+        ids, sizes, keys, planes, words = (raw[a:b] for a, b in zip(ends, ends[1:]))
         planes = np.frombuffer(planes, np.uint8).reshape(width, -1)
         codes = sum(planes[k].astype(np.int64) << (8 * k) for k in range(width))
-        return cls(np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), codes, words.split())
+        return cls(np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), codes, words.split(), np.frombuffer(keys, np.int64).reshape(-1, 2))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all windows and their anchors."""
@@ -153,24 +154,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, made = TaskContext.get().partitionId(), 0
-    ids, sizes, codes, table, held = [], [], [], _Codes(), 0
+    ids, sizes, codes, keys, table, held = [], [], [], [], _Codes(), 0
 
     def row() -> pa.RecordBatch:
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        body = Block(np.array(ids, np.int64), np.array(sizes, np.int64), flat, list(table)).pack()
+        body = Block(np.array(ids, np.int64), np.array(sizes, np.int64), flat, list(table), np.array(keys, np.int64).reshape(-1, 2)).pack()
         return pa.RecordBatch.from_pydict({"block": pa.array([(part << 32) + made]), "words": pa.array([len(flat)], pa.int64()), "body": pa.array([body], pa.binary())})
 
     for batch in batches:
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+        for doc, text, *key in zip(batch["doc_id"].to_pylist(), batch["text"], *(batch[c].to_pylist() for c in batch.schema.names[2:])):
             words = text.as_py().encode().split()
             ids.append(NO_ID if doc is None else doc)
+            keys.extend(key)
             sizes.append(len(words))
             codes.append(np.array(list(map(table.__getitem__, words)), np.int64))
             held += 7 * len(words) + 64
             if held >= BLOCK_BYTES:
                 yield row()
                 made, held = made + 1, 0
-                ids, sizes, codes, table = [], [], [], _Codes()
+                ids, sizes, codes, keys, table = [], [], [], [], _Codes()
     if ids:
         yield row()
 
@@ -275,21 +277,23 @@ def _cover(staged: pd.DataFrame, answers: pd.DataFrame, buckets: int, shards: in
         gone = np.cumsum(change)[:-1] > 0
         ends = np.cumsum(block.sizes)
         words = np.array(block.words, object)[block.codes] if len(block.words) else np.zeros(0, object)
-        for doc, a, b in zip(block.ids.tolist(), (ends - block.sizes).tolist(), ends.tolist()):
+        keys = block.keys.tolist() or [(None, None)] * len(ends)
+        for doc, key, a, b in zip(block.ids.tolist(), keys, (ends - block.sizes).tolist(), ends.tolist()):
             out = gone[a:b]
             removed, spans, kept = int(out.sum()), [], words[a:b]
             if removed:
                 kept = kept[~out]
                 spans = np.flatnonzero(np.diff(np.r_[0, out.view(np.int8), 0])).tolist()
-            rows.append((None if doc == NO_ID else doc, b - a, removed, hashlib.sha256(b" ".join(kept.tolist())).hexdigest(), spans))
-    out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
-    return out.astype({"doc_id": "Int64"})
+            rows.append((None if doc == NO_ID else doc, b - a, removed, hashlib.sha256(b" ".join(kept.tolist())).hexdigest(), spans, *key))
+    out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "k1", "k2"])
+    return out.astype({"doc_id": "Int64", "k1": "Int64", "k2": "Int64"})
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and spans (flat pairs: first word removed, first word kept again)."""
+def repeated_spans(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and spans (flat pairs: first word removed, first word kept again); if keyed, each row's key, else null."""
     spark = docs.sparkSession
-    staged, _ = stage(text_of(docs).mapInArrow(_blocks, "block long, words long, body binary"), "blocks")
+    key = [k.alias(c) for k, c in zip(row_key(), ("k1", "k2"))] if keyed else []
+    staged, _ = stage(text_of(docs, *key).mapInArrow(_blocks, "block long, words long, body binary"), "blocks")
     words = staged.agg(F.sum("words")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // 4_000_000))
     asked = staged.mapInArrow(partial(_ask_anchors, buckets=parts), "bucket long, block long, anchors binary, several binary")
@@ -303,7 +307,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     cover = lambda a, b: _cover(a, b, parts, parts)
     segments = with_blocks(marks, ask, "shard long, block long, sizes binary, least binary, words binary")
     minima, _ = stage(segments.groupBy("shard").applyInPandas(_answer_segments, reply), "minima")
-    return with_blocks(marks.unionByName(minima), cover, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<long>")
+    return with_blocks(marks.unionByName(minima), cover, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<long>, k1 long, k2 long")
 
 
 def cut_words(text: str, spans: list[int]) -> str:
@@ -318,22 +322,26 @@ def cut_words(text: str, spans: list[int]) -> str:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last two columns are the counted words and the spans to cut."""
+    """Rows (spans to cut, the given row as a struct) to given rows; those that were nothing but what is cut go."""
     for batch in batches:
+        names = [f.name for f in batch.schema.field(1).type]
+        columns, at = batch.column(1).flatten(), names.index("text")
         texts, keep = [], []
-        *names, counted, cuts = batch.schema.names
-        at = names.index("text")
-        for text, n, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
-            spans = spans if spans and len((text or "").encode().split()) == n else None
+        for text, spans in zip(columns[at].to_pylist(), batch.column(0).to_pylist()):
             texts.append(cut_words(text, spans) if spans else text)
             keep.append(not spans or bool(texts[-1].strip(" \t\n\x0b\x0c\r")))
-        columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+        columns[at] = pa.array(texts, pa.string())
         yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, without repeated passages; documents that were nothing else go."""
-    found = repeated_spans(docs).where("n_removed > 0").dropDuplicates(["doc_id"])
-    found, _ = stage(found.select(F.col("doc_id").alias("doc_id__cut"), F.col("n_words").alias("n_words__cut"), F.col("spans").alias("spans__cut")), "spans")
-    given = docs.join(found, docs["doc_id"].cast("long") == found["doc_id__cut"], "left").drop("doc_id__cut")
-    return given.mapInArrow(_cut, docs.schema)
+    """The documents, with all their columns whatever their names, without repeated passages; documents that were nothing else go.
+
+    What is cut belongs to a row's doc_id and text: of several texts under one doc_id each loses its own
+    passages, and repeated rows lose the same. A null doc_id counts as larger than any other. Documents
+    without a text are kept as they are; without documents none come back.
+    """
+    given = docs.select(*(k.alias(c) for k, c in zip(row_key(), ("k1", "k2"))), F.struct(*docs.columns).alias("row"))
+    found = repeated_spans(docs, keyed=True).where("n_removed > 0").select("k1", "k2", "spans").dropDuplicates(["k1", "k2"])
+    found, _ = stage(found, "spans")
+    return given.join(found, ["k1", "k2"], "left").select("spans", "row").mapInArrow(_cut, docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import row_key, stage, text_of
 from .components import components
 
 BLOCKS, PIVOTS = 8, 48
@@ -183,7 +183,7 @@ def _banded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 bands = _mixed(bands ^ least[:, :, r], _SALTS[r])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
             keys = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part["doc_id"], keys, pa.array(sizes), lists], names=["doc_id", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["k1"], part["k2"], keys, pa.array(sizes), lists], names=["doc_id", "k1", "k2", "key", "n", "bands"])
 
 
 def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -252,9 +252,9 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in linked(held)], names=["a", "b"])
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS places, whatever the number of ids, with the places of the column doc_id's hashes set."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(2**FILTER_BITS))
+def key_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS places, whatever the number of rows, with the places of their keys k1 set."""
+    place = F.pmod(F.col("k1"), F.lit(2**FILTER_BITS))
     words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("bits")).toArrow()
     out = np.zeros(2 ** (FILTER_BITS - 6), np.int64)
     out[words["at"].to_numpy()] = words["bits"].to_numpy()
@@ -267,29 +267,35 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int, shared) -> Iter
         place = b["place"].to_numpy()
         b = b.filter(pa.array((shared.value[place >> 6] >> (place & 63) & 1).astype(bool)))
         sets = [shingle_set(t, width).tobytes() for t in b["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], pa.array(sets, pa.binary())], names=["k1", "k2", "shingles"])
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id of every document but those that stay for their group, which is the one with the least doc_id.
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of every row doc_id, its key (k1, k2), component_id (the doc_id of its group's row that stays) and stays.
 
-    Equal sets of shingles are one row; others are linked if they have this Jaccard similarity.
+    Equal sets of shingles are one class; others are linked if they have this Jaccard similarity.
     A pair at the similarity shares a band with a probability over 0.9999, and every pair that shares
     one is linked, at least by a chain. A band over ``MEET`` first meets in parts, dealt anew in each
     band; if that leaves its rows in several components, all pairs of parts meet.
+
+    The row with the least doc_id stays, any doc_id before a null one; of several texts under that
+    doc_id the one with the least key; rows repeated whole share a key, so all or none of them stay.
+    A null or blank text is a copy of other blank texts. Without documents there are no rows.
     """
-    texts = text_of(docs).where(F.col("doc_id").isNotNull())
-    marked, _ = stage(texts.mapInArrow(partial(_banded, width=width), "doc_id long, key binary, n long, bands array<long>"), "banded")
-    classes, _ = stage(marked.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    texts = text_of(docs, *(k.alias(c) for k, c in zip(row_key(), ("k1", "k2"))))
+    marked, _ = stage(texts.mapInArrow(partial(_banded, width=width), "doc_id long, k1 long, k2 long, key binary, n long, bands array<long>"), "banded")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    classes = marked.groupBy("key").agg(F.min(first).alias("f"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes, _ = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     rows, band = classes.select("id", "n", F.posexplode("bands").alias("band", "value")), ["band", "value"]
     parts = F.ceil(F.greatest(F.count("*") / MEET, F.sum("n") / MEET_SHINGLES)).alias("parts")
     sizes = rows.groupBy(*band).agg(F.count("*").alias("count"), parts).where("count > 1").drop("count")
     met, _ = stage(rows.drop("n").join(sizes, band), "met")
-    needed = met.select(F.col("id").alias("doc_id")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
-    placed = texts.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(2**FILTER_BITS)))
-    sets = placed.mapInArrow(partial(_shingle_sets, width=width, shared=shared), "doc_id long, shingles binary")
-    sets = sets.join(needed, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("shingles").alias("shingles"))
+    needed, _ = stage(met.select("id").distinct().join(classes.select("id", "f.k1", "f.k2"), "id"), "needed")
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(needed))
+    placed = texts.withColumn("place", F.pmod(F.col("k1"), F.lit(2**FILTER_BITS)))
+    sets = placed.mapInArrow(partial(_shingle_sets, width=width, shared=shared), "k1 long, k2 long, shingles binary")
+    sets = sets.join(needed, ["k1", "k2"]).groupBy("id").agg(F.min("shingles").alias("shingles"))
     sets, _ = stage(sets, "shingles")
 
     def linked(dealt: DataFrame) -> DataFrame:
@@ -309,5 +315,26 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     others, _ = stage(others.select("id", F.xxhash64(*band, F.least("part", "other"), F.greatest("part", "other")).alias("meeting")), "parts")
     if not others.isEmpty():
         roots = components(sure.unionByName(linked(others)), "a", "b")
-    named = classes.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("component_id"))
-    return marked.select("doc_id", "key").join(named, "key").where("doc_id <> component_id").select("doc_id", "component_id")
+    rooted = classes.select("key", "id", "f").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    stays = rooted.groupBy("root").agg(F.min("f").alias("s"))
+    named, _ = stage(rooted.join(stays, "root").select("key", "s"), "groups")
+    own = (F.col("k1") == F.col("s.k1")) & (F.col("k2") == F.col("s.k2"))
+    return marked.select("doc_id", "k1", "k2", "key").join(named, "key").select("doc_id", "k1", "k2", F.col("s.doc_id").alias("component_id"), own.alias("stays"))
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id of every row but those that stay for their group (``near_groups``)."""
+    return near_groups(docs, width, similarity).where("not stays").select("doc_id", "component_id")
+
+
+def without_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near copies (``near_groups``), with all its columns whatever their names.
+
+    Rows are told by doc_id and text together, so another text under the doc_id of a copy is judged
+    by itself; of rows repeated whole one stays, whichever.
+    """
+    found = near_groups(docs, width, similarity).where("stays").groupBy("k1", "k2").agg((F.count("*") > 1).alias("several"))
+    found, _ = stage(found, "kept")
+    given = docs.select(*(k.alias(c) for k, c in zip(row_key(), ("k1", "k2"))), F.struct(*docs.columns).alias("row"))
+    kept = given.join(found, ["k1", "k2"])
+    return kept.where("not several").select("row.*").unionByName(kept.where("several").dropDuplicates(["k1", "k2"]).select("row.*"))

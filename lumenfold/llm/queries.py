@@ -54,7 +54,7 @@ def op6_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fm_dedup import repeated_spans
 
-    return repeated_spans(documents(spark, sf_dir)).drop("spans")
+    return repeated_spans(documents(spark, sf_dir)).drop("spans", "k1", "k2")
 
 
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,3 +221,62 @@ def test_set_links_span_the_graph():
         spanned = np.eye(len(sets), dtype=bool)
         spanned[i, j] = spanned[j, i] = True
         assert roots(len(sets), linked) == roots(len(sets), spanned)
+
+
+CLASHING = "doc_id long, text string, k1 long, k2 string, key string, row long, spans string, stays string, bands string, doc_id__cut long"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(d, t, k, "a", "b", -k, "c", "d", "e", k) for k, (d, t) in enumerate(rows)], CLASHING)
+
+
+def test_each_text_of_a_doc_id_loses_its_own_passages(spark):
+    word = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    p, a, b = word("p", 20), word("a", 20), word("b", 20)
+    rows = [(1, p), (2, f"{p} {a}"), (2, f"{b}\n{p}"), (2, f"{b}\n{p}"), (None, f"{a} tail"), (3, None), (None, ""), (4, p)]
+    docs = clashing(spark, rows)
+    got = fm.without_repeats(docs)
+    assert got.schema == docs.schema
+    kept = sorted(((r.k1, r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(0, 1, p), (1, 2, a), (2, 2, f"{b}\n"), (3, 2, f"{b}\n"), (4, None, "tail"), (5, 3, None), (6, None, "")], key=str)
+
+
+def test_one_row_of_each_group_stays(spark):
+    word = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(5, word("t")), (3, word("t") + " more"), (3, word("u")), (None, word("t")), (None, word("v")), (None, word("v")), (9, word("w")), (9, word("w")), (None, word("x")), (8, None), (7, " "), (6, word("y"))]
+    docs = clashing(spark, rows)
+    got = ps.without_copies(docs)
+    assert got.schema == docs.schema
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, word("t") + " more"), (3, word("u")), (None, word("v")), (9, word("w")), (None, word("x")), (7, " "), (6, word("y"))], key=str)
+    groups = {(r.doc_id, r.component_id, r.stays) for r in ps.near_groups(docs).collect()}
+    assert {(5, 3, False), (None, 3, False), (None, None, True), (8, 7, False)} <= groups
+
+
+def test_near_copies_of_the_corpus_match_brute_force(spark):
+    """All pairs at the similarity, counted by shingle, over the whole of a corpus."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").sort("doc_id").collect()
+    holders, sets = {}, []
+    for k, r in enumerate(docs):
+        sets.append(set(ps.shingle_set(r.text, 5).tolist()))
+        for h in sets[-1]:
+            holders.setdefault(h, []).append(k)
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for k, own in enumerate(sets):
+        common = {}
+        for h in own:
+            for j in holders[h]:
+                if j < k:
+                    common[j] = common.get(j, 0) + 1
+        for j, n in common.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n) - 1e-9:
+                a, b = sorted((find(j), find(k)))
+                root[b] = a
+    want = {docs[k].doc_id: docs[find(k)].doc_id for k in range(len(docs)) if find(k) != k}
+    got = {r.doc_id: r.component_id for r in ps.near_copies(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
+    assert len(want) > 500 and len(want.items() & got.items()) >= 0.999 * len(want) and got.items() <= want.items()
