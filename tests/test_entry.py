@@ -1,7 +1,13 @@
 import importlib.util
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
+import lumenfold
 import pytest
 from lumenfold.plans.queries import QUERIES, SQL
 
@@ -41,16 +47,25 @@ def test_entry_module(spark):
 
 
 def test_nothing_else_imports_the_optional_part():
-    from pathlib import Path
-
-    import lumenfold
-
     root = Path(lumenfold.__file__).parent
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text().replace("llm_classify", ""), p
 
 
+def test_entry_without_the_optional_part(tmp_path):
+    """With the training-data folders deleted and only the pipeline file left, all else is registered."""
+    root = Path(lumenfold.__file__).parents[1]
+    ignored = shutil.ignore_patterns("llm", "__pycache__", ".git", "*.parquet")
+    shutil.copytree(root / "lumenfold", tmp_path / "lumenfold", ignore=ignored)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'pipeline' not in q and set(s) <= set(q); print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert out.returncode == 0 and int(out.stdout) == len(QUERIES), out.stderr
+
+
 def test_distance_joins_plan_no_pairs(spark, sf):
     for name in ("reverse_geocode_tiered", "gps_nearest_good", "hamming_nearest", "asof_nearest", "sessionize"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
