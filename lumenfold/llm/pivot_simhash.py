@@ -5,13 +5,20 @@ fingerprints. By the triangle inequality two fingerprints within r bits differ b
 at most r in every column, so a pair with a larger difference anywhere is
 discarded unseen, and only survivors are compared bit by bit.
 
-A distance table alone would still hold every row against every other, so rows
-meet only where they can: the 64 bits are cut into blocks, and fingerprints
-within r bits agree on all blocks but r. A group shares all bits of ``blocks - r``
-blocks and so has at most 2**(64 r / blocks) distinct members (65,536 by default), whatever
-the corpus. Equal fingerprints are one row from the start, and a group reports
-links that span it, not all its pairs; so hot groups cost what their distinct
-fingerprints cost.
+A distance table alone would still hold every row against every other, so its
+coordinates are also what rows meet by. The reference fingerprints are zero, some with
+bits in one block only, and random ones. A reference within a block tells, by the
+difference of its coordinate from that of zero, how many of its bits a fingerprint has;
+that difference is equal for two fingerprints that differ outside the block. The 64
+bits are cut into radius + 2 blocks, of which a pair within radius bits has two whole:
+rows meet where all coordinates of two blocks agree. How many coordinates a block
+has follows from the number of distinct fingerprints, so that few strangers meet at any
+size; results do not depend on it. Those that meet are held against each other by all
+columns, and what is left bit by bit.
+
+A large group meets in parts, every pair of parts once, so no task holds more than
+two. Equal fingerprints are one row from the start, and a meeting reports links that
+span it, not all its pairs; so hot groups cost what their distinct fingerprints cost.
 
 Defined cases: a null or blank text has fingerprint zero and links like any
 other; a null doc_id is kept, never becomes a component's id while another member
@@ -33,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import row_key, stage, text_of
 from .components import components
 
-BLOCKS, PIVOTS = 8, 48
+PIVOTS = 48  # random reference fingerprints, besides those of the blocks
+COORDINATES = 16  # references within a block, at most
+STRANGERS = 0.5  # expected members of a meeting that a fingerprint shares by chance
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -83,6 +92,31 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return text_of(docs).mapInArrow(partial(_fingerprints, width=width), "doc_id long, bits long")
 
 
+def block_references(radius: int) -> list[list[int]]:
+    """For each block fixed references with half of its bits set and no others."""
+    rng, size = np.random.default_rng(16), 64 // (radius + 2)
+    return [[sum(1 << (b * size + int(k)) for k in rng.permutation(size)[: size // 2]) for _ in range(COORDINATES)] for b in range(radius + 2)]
+
+
+def references(radius: int) -> np.ndarray:
+    """All reference fingerprints: random ones, zero, and those of the blocks."""
+    own = [r for block in block_references(radius) for r in block]
+    return np.r_[np.random.default_rng(64).integers(0, 2**64, PIVOTS, np.uint64), np.array([0, *own], np.uint64)]
+
+
+def coordinates_for(rows: int, radius: int) -> int:
+    """How many coordinates of a block to meet by: the fewest at which ``STRANGERS`` others or fewer agree by chance."""
+    size = 64 // (radius + 2)
+    values = np.arange(1 << size, dtype=np.uint64)
+    code = np.zeros(len(values), np.int64)
+    for k, r in enumerate(block_references(radius)[0], 1):
+        _, code = np.unique(code * (size + 1) + np.bitwise_count(values & np.uint64(r)), return_inverse=True)
+        share = ((np.bincount(code) / len(values)) ** 2).sum()
+        if rows * share**2 <= STRANGERS:
+            break
+    return k
+
+
 def pivot_links(bits: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (position, position) that span the graph of fingerprints within radius; bits: (rows, words of 64).
 
@@ -98,6 +132,8 @@ def pivot_links(bits: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[np.n
             near = np.arange(len(waiting))
             for c in range(0, len(pivots), 8):
                 near = near[np.abs(table[waiting[near], c : c + 8] - table[i, c : c + 8]).max(axis=1, initial=0) <= radius]
+                if not len(near):
+                    break
             near = near[np.bitwise_count(bits[waiting[near]] ^ bits[i]).sum(axis=1) <= radius]
             if len(near):
                 found = waiting[near]
@@ -109,27 +145,50 @@ def pivot_links(bits: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[np.n
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
+def pair_links(a: np.ndarray, b: np.ndarray, radius: int, pivots: np.ndarray) -> np.ndarray:
+    """Positions of pairs within radius: those that no coordinate discards, compared."""
+    left = np.arange(len(a))
+    for p in pivots:
+        apart = np.bitwise_count(a[left] ^ p).astype(np.int16) - np.bitwise_count(b[left] ^ p)
+        left = left[np.abs(apart) <= radius]
+    return left[np.bitwise_count(a[left] ^ b[left]) <= radius]
+
+
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    pivots = np.random.default_rng(64).integers(0, 2**64, (PIVOTS, 1), np.uint64)
+    pivots = references(radius)
     for batch in batches:
-        left, right = [], []
-        for members in batch["members"]:
-            bits = np.sort(members.values.to_numpy().view(np.uint64))
-            i, j = pivot_links(bits[:, None], radius, pivots)
+        lists = batch["members"]
+        sizes = np.diff(lists.offsets.to_numpy())
+        flat, start = lists.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(sizes)]
+        two = start[:-1][sizes == 2]
+        found = pair_links(flat[two], flat[two + 1], radius, pivots)
+        left, right = [flat[two][found]], [flat[two + 1][found]]
+        for k in np.flatnonzero(sizes > 2).tolist():
+            bits = np.sort(flat[start[k] : start[k + 1]])
+            i, j = pivot_links(bits[:, None], radius, pivots[:, None])
             left.append(bits[i])
             right.append(bits[j])
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], names=["a", "b"])
+
+
+def meetings(distinct: DataFrame, radius: int, coordinates: int) -> DataFrame:
+    """(meeting, members) of distinct fingerprints (column bits): every pair within radius bits is in one, no list is longer than about two parts."""
+    signed = lambda x: F.lit(x - 2**64 if x >= 2**63 else x)
+    away = lambda r: F.bit_count(F.col("bits").bitwiseXOR(signed(r)))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = [F.xxhash64(*(away(r) - away(0) for r in block[:coordinates])).alias(f"v{b}") for b, block in enumerate(block_references(radius))]
+    coded = distinct.repartition(parts, "bits").select("bits", *blocks)
+    pairs = combinations(range(len(blocks)), 2)
+    keyed = coded.select("bits", F.explode(F.array(*(F.xxhash64(F.lit(k), f"v{a}", f"v{b}") for k, (a, b) in enumerate(pairs)))).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / MEET).alias("parts"))
+    dealt = keyed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("bits"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    meeting = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    return dealt.groupBy(meeting.alias("meeting")).agg(F.collect_list("bits").alias("members"))
 
 
-def links(distinct: DataFrame, radius: int, blocks: int = BLOCKS) -> DataFrame:
+def links(distinct: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column bits) that span each set within radius bits."""
-    size = 64 // blocks
-    whole = [((1 << size) - 1) << (size * k) for k in range(blocks)]
-    masks = [sum(whole[k] for k in kept) for kept in combinations(range(blocks), blocks - radius)]
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    keys = F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("k"), F.col("bits").bitwiseAND(F.lit(signed(m))).alias("shared")) for k, m in enumerate(masks)]))
-    met = distinct.select("bits", keys.alias("key")).groupBy("key.k", "key.shared").agg(F.collect_list("bits").alias("members"))
+    met = meetings(distinct, radius, coordinates_for(distinct.count(), radius))
     return met.where(F.size("members") > 1).select("members").mapInArrow(partial(_links, radius=radius), "a long, b long").distinct()
 
 

@@ -57,6 +57,37 @@ def test_pivot_links_span_the_graph():
         assert roots(len(bits), linked) == roots(len(bits), spanned)
 
 
+def test_fingerprints_meet_by_coordinates(monkeypatch, spark):
+    """Whatever the number of coordinates and of parts, links span what brute force links, and the table discards most that meet by chance."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 300, np.uint64)
+    flip = [int(base[k % 300]) ^ int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False))) for k in range(1500)]
+    close = [int(base[0]) ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(a)]  # one large group
+    bits = np.unique(np.array(flip + close, np.uint64))
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 2
+    want, place = roots(len(bits), near), {int(b): k for k, b in enumerate(bits.view(np.int64).tolist())}
+    rows = spark.createDataFrame([(b,) for b in bits.view(np.int64).tolist()], "bits long").cache()
+    for coordinates, meet in ((1, 4096), (3, 4096), (3, 16), (16, 4096)):
+        monkeypatch.setattr(ps, "MEET", meet)
+        monkeypatch.setattr(ps, "coordinates_for", lambda *_, c=coordinates: c)
+        spanned = np.eye(len(bits), dtype=bool)
+        for r in ps.links(rows, 2).collect():
+            i, j = place[r.a], place[r.b]
+            assert near[i, j]
+            spanned[i, j] = spanned[j, i] = True
+        assert roots(len(bits), spanned) == want
+        longest = max(len(r.members) for r in ps.meetings(rows, 2, coordinates).collect())
+        assert meet > 16 or longest < 6 * meet
+    monkeypatch.undo()
+    a, b = (rng.integers(0, 2**64, 10_000, np.uint64) for _ in range(2))
+    assert len(ps.pair_links(a, b, 2, ps.references(2))) == 0
+    kept = np.arange(10_000)
+    for p in ps.references(2):
+        kept = kept[np.abs(np.bitwise_count(a[kept] ^ p).astype(int) - np.bitwise_count(b[kept] ^ p)) <= 2]
+    assert len(kept) < 10  # discarded by coordinates alone
+    assert ps.coordinates_for(10**4, 2) < ps.coordinates_for(10**7, 2) <= ps.COORDINATES
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(500, 501)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
