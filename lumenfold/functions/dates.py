@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import MAX_YEAR, MIN_YEAR
+from .fixed import DASHED_DATE, DAY_DATE, FILENAME_DATES, MAX_YEAR, MIN_YEAR, YEAR_ALONE
 
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?$"
 
@@ -17,23 +17,41 @@ def to_ts(text: Column) -> Column:
 
 
 def in_years(ts: Column) -> Column:
-    return F.year(ts).between(MIN_YEAR, MAX_YEAR)
+    middle, half = (MIN_YEAR + MAX_YEAR) / 2, (MAX_YEAR - MIN_YEAR) / 2
+    return F.abs(F.year(ts) - middle) <= half  # the timestamp stands once, so it is parsed once
 
 
 def is_bad(text: Column) -> Column:
     """Missing, unparsable or outside the years."""
-    return ~F.coalesce(in_years(to_ts(text)), F.lit(False))
+    return bad(to_ts(text))
+
+
+def bad(ts: Column) -> Column:
+    """The same of a timestamp, for callers that parse a text once and test it several times."""
+    return ~F.coalesce(in_years(ts), F.lit(False))
+
+
+def default(ts: Column) -> Column:
+    first = (F.month(ts) == 1) & (F.dayofmonth(ts) == 1)
+    return bad(ts) | (first & midnight(ts))
+
+
+def low_confidence(ts: Column) -> Column:
+    return bad(ts) | midnight(ts)
+
+
+def midnight(ts: Column) -> Column:
+    return ts == F.date_trunc("day", ts).cast("timestamp_ntz")
 
 
 def is_default(text: Column) -> Column:
     """Bad, or the first of January at midnight, as cameras without a clock write it."""
-    ts = to_ts(text)
-    return is_bad(text) | F.coalesce(F.date_format(ts, "MM-dd HH:mm:ss") == "01-01 00:00:00", F.lit(False))
+    return default(to_ts(text))
 
 
 def is_low_confidence(text: Column) -> Column:
     """Default, or exactly midnight."""
-    return is_default(text) | F.coalesce(F.date_format(to_ts(text), "HH:mm:ss") == "00:00:00", F.lit(False))
+    return low_confidence(to_ts(text))
 
 
 def iso(ts: Column) -> Column:
@@ -58,26 +76,23 @@ def _calendar(y: Column, m: Column, d: Column) -> Column:
 
 def from_filename(name: Column) -> Column:
     """The first of five patterns whose first match is a valid date within the years."""
-    day = r"(\d{4})(\d{2})(\d{2})"
     dates = []
-    for pattern in (r"(\d{4})[_-](\d{2})[_-](\d{2})", day, "BURST" + day, "PXL_" + day, day + r"_\d{6}"):
+    for pattern in FILENAME_DATES:
         part = lambda k, p=pattern: F.regexp_extract(name, p, k)
         ts = F.when(part(1) != "", _calendar(part(1), part(2), part(3)))
         dates.append(F.when(in_years(ts), ts))
-    return iso(F.coalesce(*dates))
+    return F.when(name.rlike(r"\d{4}"), iso(F.coalesce(*dates)))
 
 
 def from_directory(path: Column) -> Column:
     """`15 Jun 2019`, else `2019-06-15`, else a bare year as its middle (June 15)."""
     base = F.substring_index(path, "/", -1)
-    months = r"(?i)(\d{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+(\d{4})"
-    part = lambda k: F.regexp_extract(base, months, k)
+    part = lambda k: F.regexp_extract(base, DAY_DATE, k)
     named = F.try_to_timestamp(F.concat_ws(" ", part(1), F.initcap(part(2)), part(3)), F.lit("d MMM yyyy")).cast("timestamp_ntz")
-    dashed = r"(\d{4})[_-](\d{2})[_-](\d{2})"
-    dash = _calendar(*(F.regexp_extract(base, dashed, k) for k in (1, 2, 3)))
-    year = F.regexp_extract(base, r"\b(199\d|20[012]\d)\b", 1)
+    dash = _calendar(*(F.regexp_extract(base, DASHED_DATE, k) for k in (1, 2, 3)))
+    year = F.regexp_extract(base, YEAR_ALONE, 1)
     middle = F.when(year != "", _calendar(year, F.lit("06"), F.lit("15")))
-    return iso(F.coalesce(*(F.when(in_years(t), t) for t in (F.when(part(1) != "", named), F.when(F.regexp_extract(base, dashed, 1) != "", dash), middle))))
+    return iso(F.coalesce(*(F.when(in_years(t), t) for t in (F.when(part(1) != "", named), F.when(F.regexp_extract(base, DASHED_DATE, 1) != "", dash), middle))))
 
 
 def from_exif(text: Column) -> Column:
@@ -86,6 +101,11 @@ def from_exif(text: Column) -> Column:
     return F.when(in_years(ts), iso(ts))
 
 
+def from_modified(modified: Column) -> Column:
+    """ISO UTC string of a file's modification time (a timestamp), within the years."""
+    return F.when(in_years(modified), F.concat(iso(modified), F.lit("+00:00")))
+
+
 def lenient(text: Column) -> Column:
     """ISO with a blank or `T`, or an EXIF date, as a timestamp."""
     head = F.substring(text, 1, 19)

@@ -3,6 +3,19 @@
 # Fixed values. Years that a capture date may have.
 MIN_YEAR, MAX_YEAR = 1990, 2026
 
+# Fixed values. Patterns of dates in file names, in the order in which they are tried.
+FILENAME_DATES = [
+    r"(\d{4})[_-](\d{2})[_-](\d{2})",
+    r"(\d{4})(\d{2})(\d{2})",
+    r"BURST(\d{4})(\d{2})(\d{2})",
+    r"PXL_(\d{4})(\d{2})(\d{2})",
+    r"(\d{4})(\d{2})(\d{2})_\d{6}",
+]
+# Fixed values. Patterns of dates in directory names: day, month and year; dashed; a year alone.
+DAY_DATE = r"(?i)(\d{1,2})\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+(\d{4})"
+DASHED_DATE = r"(\d{4})[_-](\d{2})[_-](\d{2})"
+YEAR_ALONE = r"\b(199\d|20[012]\d)\b"
+
 # Fixed values. Extensions of media files.
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "gif", "heic", "webp", "bmp", "tiff", "tif", "arw", "dng", "cr2", "nef", "orf", "rw2"]
 VIDEO_EXTENSIONS = ["mp4", "mov", "avi", "mkv", "3gp", "wmv", "flv", "webm"]
@@ -35,12 +48,14 @@ HOLIDAY_COUNTRIES = [
 HOLIDAY_SCENES = ["holiday", "landscape", "nature", "hiking", "beach"]
 
 # Fixed values. Words of an album's name that mark travel.
-TRAVEL_WORDS = (
-    "holiday trip visit tour explore walk hike summer winter spring autumn adventure break weekend journey japan spain france italy "
-    "germany thailand bali greece amsterdam barcelona paris london edinburgh iceland norway sweden austria portugal zealand australia "
-    "canada scotland ireland wales croatia turkey morocco peru mexico usa texas colorado california florida tokyo kyoto osaka berlin "
-    "rome venice florence prague budapest lisbon athens dubai singapore hongkong maldives safari beach mountain ski snow"
-).split()
+TRAVEL_WORDS = [
+    "holiday", "trip", "visit", "tour", "explore", "walk", "hike", "summer", "winter", "spring", "autumn", "adventure", "break",
+    "weekend", "journey", "japan", "spain", "france", "italy", "germany", "thailand", "bali", "greece", "amsterdam", "barcelona",
+    "paris", "london", "edinburgh", "iceland", "norway", "sweden", "austria", "portugal", "zealand", "australia", "canada",
+    "scotland", "ireland", "wales", "croatia", "turkey", "morocco", "peru", "mexico", "usa", "texas", "colorado", "california",
+    "florida", "tokyo", "kyoto", "osaka", "berlin", "rome", "venice", "florence", "prague", "budapest", "lisbon", "athens",
+    "dubai", "singapore", "hongkong", "maldives", "safari", "beach", "mountain", "ski", "snow",
+]
 
 # Fixed values. Prefixes of numbered camera files.
 NUMBERED_PREFIXES = ["IMG", "DSC", "DSCN", "DSCF", "P", "PIC", "PHOTO", "MVI", "VID", "MOV"]

@@ -70,14 +70,36 @@ def hamming_nearest(queries: DataFrame, refs: DataFrame, word: str, most: int =
     return queries.join(best, queries[word] == best["qword_"], "left").select(*queries.columns, "b_.ref_id", "b_.distance")
 
 
+def _grams(name: Column) -> Column:
+    """All distinct runs of one, two or three characters."""
+    runs = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.substring(name, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+
+
+def _one_gram(name: Column) -> Column:
+    """One run of three characters, or the whole of a shorter name: any text around the name has it, too. By hash, so names spread."""
+    n = F.least(F.length(name), F.lit(3))
+    runs = F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.substring(name, k, n))
+    return F.when(F.length(name) > 0, F.array_min(F.transform(runs, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+
+
 def contained_name(queries: DataFrame, places: DataFrame, top: int = 50_000) -> DataFrame:
-    """Each distinct `name` of queries with a place: equal names first, else the first by `ord` of which one name contains the other.
+    """Each distinct `name` (and `cc`) of queries with a place: equal names first, else the first by `ord` of which one name contains the other.
 
-    Containment is looked for among the ``top`` places only, a table of that size at most.
+    If queries and places have a country code `cc`, a query with one takes places of that country only; of
+    equal names only the most populous place counts. Containment is looked for among the ``top`` places;
+    names meet by a run of three characters of the contained one, so not all pairs are tried. An empty name has no place.
     """
-    q = queries.select("name").distinct().withColumn("low_", F.lower("name"))
-    p = places.select("ord", F.lower("name").alias("plow_"), F.col("name").alias("place"))
-    exact = q.join(p, q["low_"] == p["plow_"]).groupBy("name").agg(F.min_by("place", "ord").alias("exact_"))
-    few = F.broadcast(p.where(F.col("ord") <= top))
-    loose = q.join(few, F.contains(q["low_"], few["plow_"]) | F.contains(few["plow_"], q["low_"])).groupBy("name").agg(F.min_by("place", "ord").alias("loose_"))
-    return q.select("name").join(exact, "name", "left").join(loose, "name", "left").select("name", F.coalesce("exact_", "loose_").alias("place"))
+    keys = ["name", "cc"] if "cc" in queries.columns and "cc" in places.columns else ["name"]
+    q = queries.select(*keys).distinct().withColumn("low_", F.lower(F.trim("name"))).withColumn("q_", F.struct(*keys))
+    p = places.select("ord", F.lower("name").alias("plow_"), F.col("name").alias("place"), *([F.col("cc").alias("pcc_")] if "cc" in keys else []))
+    fits = F.col("cc").isNull() | F.coalesce(F.upper("cc") == F.upper("pcc_"), F.lit(False)) if "cc" in keys else F.lit(True)
+    largest = p.groupBy("plow_").agg(F.min_by(F.struct(*[c for c in p.columns if c != "plow_"]), "ord").alias("p_")).select("plow_", "p_.*")
+    exact = q.join(largest, q["low_"] == largest["plow_"]).where(fits).select("q_", F.col("place").alias("exact_"))
+    few = p.where(F.col("ord") <= top)
+    all_of = lambda df, c: df.withColumn("gram_", F.explode(_grams(F.col(c))))
+    one_of = lambda df, c: df.withColumn("gram_", _one_gram(F.col(c)))
+    inside = one_of(q, "low_").join(all_of(few, "plow_"), "gram_").where(F.contains("plow_", "low_"))
+    around = all_of(q, "low_").join(one_of(few, "plow_"), "gram_").where(F.contains("low_", "plow_"))
+    loose = inside.unionByName(around).where(fits).groupBy("q_").agg(F.min_by("place", "ord").alias("loose_"))
+    return q.select("q_").join(exact, "q_", "left").join(loose, "q_", "left").select("q_.*", F.coalesce("exact_", "loose_").alias("place"))

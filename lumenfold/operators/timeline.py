@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import floor_days, is_default, is_low_confidence, to_ts
+from ..functions.dates import floor_days, is_default, low_confidence, to_ts
 from ..functions.geo import haversine_km
 
 
@@ -90,22 +90,21 @@ def fill_from_sequence(rows: DataFrame, keys: list[str], number: str, name: str,
     two dates within ``days``; the earlier neighbour's date is taken. With one, it
     must be within ``most``. A key needs two rows and two trustworthy ones.
     """
-    good = ~is_low_confidence(F.col(date))
     n = F.col(number)
     whole = Window.partitionBy(*keys)
     w = whole.orderBy(number, name)
-    rows = rows.where(n.isNotNull()).withColumn("good_", good)
-    ref = F.when(F.col("good_"), F.struct(n.alias("n"), F.col(date).alias("d")))
+    rows = rows.where(n.isNotNull()).withColumn("ts_", to_ts(F.col(date))).withColumn("good_", ~low_confidence(F.col("ts_")))
+    ref = F.when(F.col("good_"), F.struct(n.alias("n"), F.col(date).alias("d"), F.col("ts_").alias("t")))
     rows = rows.withColumns({
         "rows_": F.count("*").over(whole), "goods_": F.sum(F.col("good_").cast("int")).over(whole),
         "b_": F.last(ref, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "a_": F.first(ref, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
     })
     back, ahead = n - F.col("b_.n"), F.col("a_.n") - n
-    agree = F.abs(floor_days(to_ts(F.col("a_.d")), to_ts(F.col("b_.d")))) <= days
+    agree = F.abs(floor_days(F.col("a_.t"), F.col("b_.t"))) <= days
     both = F.col("b_").isNotNull() & F.col("a_").isNotNull()
     filled = F.when(both, F.when((F.least(back, ahead) <= most) & agree, F.col("b_.d"))).when(F.col("b_").isNotNull(), F.when(back <= most, F.col("b_.d"))).otherwise(F.when(ahead <= most, F.col("a_.d")))
     usable = ~F.col("good_") & (F.col("rows_") >= 2) & (F.col("goods_") >= 2)
-    return rows.withColumn("filled", F.when(usable, filled)).drop("good_", "rows_", "goods_", "b_", "a_")
+    return rows.withColumn("filled", F.when(usable, filled)).drop("ts_", "good_", "rows_", "goods_", "b_", "a_")
 
 
 def consensus_month(rows: DataFrame, keys: list[str], date: str, share: float = 0.7, least: int = 3) -> DataFrame:
@@ -113,16 +112,15 @@ def consensus_month(rows: DataFrame, keys: list[str], date: str, share: float =
 
     The old day of month is kept where it parses and is 2 to 28, else 15; the time is noon.
     """
-    good = ~is_low_confidence(F.col(date))
-    rows = rows.withColumn("good_", good)
+    rows = rows.withColumn("ts_", to_ts(F.col(date))).withColumn("good_", ~low_confidence(F.col("ts_")))
     months = rows.groupBy(*keys, F.when(F.col("good_"), F.substring(date, 1, 7)).alias("month_")).agg(F.count("*").alias("n_"))
     whole = Window.partitionBy(*keys)
     goods = F.sum(F.when(F.col("month_").isNotNull(), F.col("n_"))).over(whole)
     top = months.withColumns({"all_": F.sum("n_").over(whole), "goods_": goods}).where(F.col("month_").isNotNull() & (F.col("all_") >= least) & (F.col("n_") / F.col("goods_") >= share))
     out = rows.join(top.select(*keys, "month_"), keys, "left")
-    day = F.dayofmonth(to_ts(F.col(date)))
+    day = F.dayofmonth("ts_")
     filled = F.concat(F.col("month_"), F.lit("-"), F.lpad(F.when(day.between(2, 28), day).otherwise(15).cast("string"), 2, "0"), F.lit("T12:00:00"))
-    return out.withColumn("filled", F.when(~F.col("good_") & F.col("month_").isNotNull(), filled)).drop("good_", "month_")
+    return out.withColumn("filled", F.when(~F.col("good_") & F.col("month_").isNotNull(), filled)).drop("ts_", "good_", "month_")
 
 
 def neighbour_median(rows: DataFrame, keys: list[str], number: str, date: str, k: int = 20, order: str = "id") -> DataFrame:

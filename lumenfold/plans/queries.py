@@ -127,13 +127,23 @@ def directory_date(spark, d):
     return media(spark, d).select("id", dates.from_directory(tx.dirname(F.col("path"))).alias("taken"))
 
 
-@query(f"WITH {MEDIA}, t AS (SELECT id, CASE WHEN id % 7 = 0 THEN best_date END AS a, CASE WHEN id % 7 = 1 THEN '1980-01-01T00:00:00' WHEN id % 7 = 2 THEN '2010-10-10T10:10:10' END AS b, CASE id % 5 WHEN 3 THEN '2018-06-15T00:00:00' WHEN 4 THEN NULL ELSE '2019-06-15T00:00:00' END AS c FROM media) SELECT id, coalesce(a, CASE WHEN id % 7 = 2 THEN b END, c) AS taken, CASE WHEN a IS NOT NULL THEN 'sidecar' WHEN id % 7 = 2 THEN 'exif' WHEN c IS NOT NULL THEN 'directory' END AS method FROM t")
+CASCADE = "cascade AS (SELECT id, CASE id % 8 WHEN 0 THEN best_date WHEN 1 THEN strftime(ts, '%Y-%m-%dT00:00:00') WHEN 2 THEN strftime(ts, '%Y-%m-%dT10:11:12') WHEN 3 THEN CASE id % 5 WHEN 3 THEN '2018-06-15T00:00:00' WHEN 4 THEN NULL ELSE '2019-06-15T00:00:00' END WHEN 4 THEN best_date WHEN 5 THEN best_date || '+00:00' WHEN 6 THEN CASE WHEN id % 3 = 0 THEN year(ts) || '-06-15T00:00:00' END END AS taken, CASE id % 8 WHEN 0 THEN 'sidecar' WHEN 1 THEN 'filename' WHEN 2 THEN 'exif' WHEN 3 THEN CASE WHEN id % 5 <> 4 THEN 'directory' END WHEN 4 THEN 'neighbour' WHEN 5 THEN 'modified' WHEN 6 THEN CASE WHEN id % 3 = 0 THEN 'model' END END AS method FROM media)"
+
+
+@query(f"WITH {MEDIA}, {CASCADE} SELECT id, taken, method FROM cascade")
 def date_cascade(spark, d):
-    picked = dates.cascade(("sidecar", F.when(F.col("id") % 7 == 0, F.col("best_date"))), ("exif", F.when(F.col("id") % 7 == 1, "1980-01-01T00:00:00").when(F.col("id") % 7 == 2, "2010-10-10T10:10:10")), ("directory", dates.from_directory(tx.dirname(F.col("path")))))
-    return media(spark, d).select("id", picked.alias("picked")).select("id", "picked.taken", "picked.method")
+    m = media(spark, d)
+    here = lambda k, c: F.when(F.col("id") % 8 == k, c)
+    no = F.lit("1904-01-01T00:00:00")  # a date that no method may give
+    picked = dates.cascade(
+        ("sidecar", F.coalesce(here(0, F.col("best_date")), no)), ("filename", dates.from_filename(F.coalesce(here(1, F.concat(F.lit("IMG_"), F.date_format("ts", "yyyyMMdd"), F.lit("_101500.jpg"))), F.lit("x.jpg")))),
+        ("exif", dates.from_exif(F.coalesce(here(2, F.date_format("ts", "yyyy:MM:dd 10:11:12")), F.lit("0000:00:00 00:00:00")))), ("directory", dates.from_directory(F.coalesce(here(3, tx.dirname(F.col("path"))), F.lit("x")))),
+        ("neighbour", here(4, F.col("best_date"))), ("modified", dates.from_modified(here(5, F.col("ts").cast("timestamp")))), ("model", here(6, F.when(F.col("id") % 3 == 0, F.concat(F.year("ts").cast("string"), F.lit("-06-15T00:00:00"))))),
+    )
+    return m.select("id", picked.alias("picked")).select("id", "picked.taken", "picked.method")
 
 
-@query(f"WITH {MEDIA} SELECT coalesce(CASE WHEN id % 7 = 0 THEN 'sidecar' WHEN id % 7 = 2 THEN 'exif' WHEN id % 5 <> 4 THEN 'directory' END, 'none') AS method, count(*) AS n FROM media GROUP BY 1")
+@query(f"WITH {MEDIA}, {CASCADE} SELECT coalesce(method, 'none') AS method, count(*) AS n FROM cascade GROUP BY 1")
 def method_histogram(spark, d):
     return date_cascade(spark, d).groupBy(F.coalesce("method", F.lit("none")).alias("method")).agg(F.count("*").alias("n"))
 
@@ -259,13 +269,13 @@ def sync_actions(spark, d):
     return f.join(c, "name", "left").select("name", "n", F.when(F.col("there").isNull(), "create").otherwise("update").alias("action"))
 
 
-TIMELINE = "q AS (SELECT event_id AS id, ts, user_id % 5 AS album FROM events WHERE event_type = 'view'), r AS (SELECT event_id AS id, ts, user_id % 5 AS album FROM events WHERE event_type = 'purchase' AND value > 185)"
+TIMELINE = "q AS (SELECT event_id AS id, ts, user_id % 5 AS album FROM events WHERE event_type = 'view'), r AS (SELECT event_id AS id, ts, user_id % 5 AS album FROM events WHERE event_type = 'purchase')"
 
 
 @query(f"WITH {TIMELINE}, b AS (SELECT q.id, q.album, r.id AS rid, r.album AS ralbum, abs(epoch_us(r.ts) - epoch_us(q.ts)) AS gap, r.ts < q.ts AS earlier FROM q JOIN r ON abs(epoch_us(r.ts) - epoch_us(q.ts)) <= 24 * 3600000000), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, earlier DESC, CASE WHEN earlier THEN -rid ELSE rid END) AS k FROM b) SELECT q.id, n.rid AS ref_id, round(gap / 1e6, 3) AS seconds, CASE WHEN gap / 3.6e9 <= 0.5 THEN 'high' WHEN gap / 3.6e9 <= 6 AND n.album = ralbum THEN 'high' WHEN gap / 3.6e9 <= 24 AND n.album = ralbum THEN 'medium' WHEN gap / 3.6e9 <= 6 THEN 'medium' END AS confidence FROM q LEFT JOIN n ON q.id = n.id AND k = 1")
 def asof_nearest(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), "ts", (F.col("user_id") % 5).alias("album"), "event_type", "value")
-    q, r = (e.where(c).drop("event_type", "value") for c in ("event_type = 'view'", "event_type = 'purchase' AND value > 185"))
+    q, r = (e.where(c).drop("event_type", "value") for c in ("event_type = 'view'", "event_type = 'purchase'"))
     near = tl.nearest_in_time(q, r, "ts", "id", ["id", "album"])
     same = F.coalesce(F.col("album") == F.col("ref_album"), F.lit(False))
     return near.select("id", "ref_id", F.round("seconds", 3).alias("seconds"), sc.temporal_confidence(F.col("seconds") / 3600, same).alias("confidence"))
@@ -597,9 +607,9 @@ def llm_classify_stub(spark, d):
     """Classification with a client that answers from the prompt alone."""
     from ..operators import models
 
-    c = table(spark, d, "conversations").where("turn = 0").select("conv_id", "role")
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role")
     out = models.classified(models.ask(c, models.prompt_context(("role", "role"), ("id", "conv_id")), _stub))
-    return out.select("conv_id", "status", "ai.scene", "ai.type", F.array_join("ai.tags", ",").alias("tags"))
+    return out.select("conv_id", "turn", "status", "ai.scene", "ai.type", F.array_join("ai.tags", ",").alias("tags"))
 
 
 @query(f"""WITH {MEDIA}, live AS (SELECT * FROM media WHERE is_duplicate = 0), q AS (SELECT * FROM live WHERE lat IS NULL), r AS (SELECT * FROM live WHERE lat IS NOT NULL),
@@ -616,3 +626,6 @@ def location_inference(spark, d):
     m = media(spark, d)
     empty = m.select("id", F.lit("").alias("strategy"), F.lit("").alias("confidence"), "lat", "lon", "country", "city").limit(0)
     return infer(m, empty, ("temporal", "album")).select(*GUESS).withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+
+
+from . import reports  # noqa: E402, F401  registers the others

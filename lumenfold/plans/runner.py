@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -48,6 +49,14 @@ class Runner:
             raise ValueError(f"no stage is called {step}")
         return chosen
 
+    def status(self) -> list[dict]:
+        """For each stage the tables it has written and what it lacks to run."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.warehouse)
+        fs = root.getFileSystem(conf)
+        tables = sorted(f.getPath().getName() for f in fs.listStatus(root)) if fs.exists(root) else []
+        return [{"stage": s.name, "written": [t for t in tables if self.exists(f"{self.warehouse}/{t}/{s.name}")], "lacks": s.ready()} for s in self.stages]
+
     def run(self, step: str = "all", from_number: float = 0.0, dry_run: bool = False) -> list[dict]:
         """Runs stages; a dry run plans and counts but writes nothing. Reports name, rows by table and seconds."""
         report = []
@@ -85,8 +94,16 @@ def catalogue_stages() -> list[Stage]:
 
     def fix_dates(t: Tables) -> Tables:
         p = t["photos"]
-        picked = dates.cascade(("best", F.col("best_date")), ("filename", dates.from_filename(F.col("filename"))), ("directory", dates.from_directory(F.col("parent_dir"))))
-        p = p.withColumn("best_date", F.coalesce(picked["taken"], "best_date"))
+        given = lambda c, kind="string": F.col(c) if c in p.columns else F.lit(None).cast(kind)
+        numbered = p.withColumn("number", text.sequence_number(F.col("filename"))).where("number IS NOT NULL")
+        near = timeline.neighbour_median(numbered.select("id", "parent_dir", "number", "best_date"), ["parent_dir"], "number", "best_date").select("id", F.col("filled").alias("near_"))
+        p = p.join(near, "id", "left")
+        # in order of trust; sidecar, tags, modification time and a model's date are used where the table has them
+        picked = dates.cascade(
+            ("best", F.col("best_date")), ("sidecar", given("google_date")), ("filename", dates.from_filename(F.col("filename"))), ("exif", dates.from_exif(given("exif_date"))),
+            ("directory", dates.from_directory(F.col("parent_dir"))), ("neighbour", F.col("near_")), ("modified", dates.from_modified(given("modified", "timestamp"))), ("model", given("ai_date")),
+        )
+        p = p.withColumn("picked_", picked).withColumn("best_date", F.coalesce("picked_.taken", "best_date")).withColumn("date_method", F.col("picked_.method")).drop("picked_", "near_")
         p = timeline.consensus_month(p, ["parent_dir"], "best_date").withColumn("best_date", F.coalesce("filled", "best_date")).drop("filled")
         numbered = p.withColumn("number", text.sequence_number(F.col("filename")))
         filled = timeline.fill_from_sequence(numbered, ["parent_dir"], "number", "filename", "best_date").where("filled IS NOT NULL").select("id", F.col("filled").alias("best_date"))
@@ -101,7 +118,7 @@ def catalogue_stages() -> list[Stage]:
     def guess(t: Tables) -> Tables:
         p = t["photos"]
         empty = p.select("id", F.lit("").alias("strategy"), F.lit("").alias("confidence"), "lat", "lon", "country", "city").limit(0)
-        guesses = inference.infer(p, empty, ("temporal", "album"))
+        guesses = inference.infer(p, empty, ("temporal", "album", "similar") if "phash" in p.columns else ("temporal", "album"))
         given = guesses.where("confidence = 'high'").select("id", "lat", "lon", "country", "city")
         return {"photos": tables.update(p, given, ["id"], F.col("lat").isNull()), "guesses": guesses}
 
@@ -123,15 +140,40 @@ def catalogue_stages() -> list[Stage]:
     ]
 
 
+def client_of(path: str | None):
+    """A model client named `module:function`."""
+    if not path:
+        return None
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description="Run catalogue stages over a warehouse of Parquet tables.")
+    parser = argparse.ArgumentParser(description="Run stages over a warehouse of Parquet tables.")
     parser.add_argument("warehouse")
+    parser.add_argument("--stages", choices=("catalogue", "workflow", "curation"), default="catalogue")
+    parser.add_argument("--root", action="append", default=[], metavar="LABEL=FOLDER", help="a folder of files; the first is the primary source")
+    parser.add_argument("--export-root", default="/export")
+    parser.add_argument("--remote", default="remote")
+    parser.add_argument("--album", default="", help="curate only albums with this in their name")
+    parser.add_argument("--max-items", type=int, help="rows that a stage may send to a model")
+    parser.add_argument("--vision", metavar="MODULE:FUNCTION", help="client for pictures")
+    parser.add_argument("--writer", metavar="MODULE:FUNCTION", help="client for texts")
+    parser.add_argument("--status", action="store_true", help="list the stages, whether each has run and what it lacks")
     parser.add_argument("--step", default="all")
     parser.add_argument("--from", dest="from_number", type=float, default=0.0)
     parser.add_argument("--dry-run", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    for line in Runner(spark, args.warehouse, catalogue_stages()).run(args.step, args.from_number, args.dry_run):
+    stages = catalogue_stages()
+    if args.stages != "catalogue":
+        from .stages import Settings, curation, workflow
+
+        roots = dict(r.split("=", 1) for r in args.root)
+        settings = Settings(spark, roots, export_root=args.export_root, remote=args.remote, vision=client_of(args.vision), writer=client_of(args.writer), album=args.album, max_items=args.max_items)
+        stages = (workflow if args.stages == "workflow" else curation)(settings)
+    runner = Runner(spark, args.warehouse, stages)
+    for line in runner.status() if args.status else runner.run(args.step, args.from_number, args.dry_run):
         print(line)
 
 

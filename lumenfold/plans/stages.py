@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..functions.fixed import TONE_CURVES
 from ..operators import grouping, models, tables
 from ..sources import readers, sinks
 from .runner import Stage, Tables, catalogue_stages
@@ -26,6 +27,26 @@ class Settings:
     vision: Callable[[str, bytes | None], str] | None = None
     writer: Callable[[str, bytes | None], str] | None = None
     least_album: int = 5
+    album: str = ""  # curation of albums with this in their name only
+    max_items: int | None = None  # rows that a stage may send to a model in one run
+
+
+def _pictures(s: Settings, rows: DataFrame, path: str) -> DataFrame:
+    """Rows with `picture`, the bytes of the file at the path column (null where it is not there), for a client that sees.
+
+    Only files of rows that ask are read; what the client does to them (turning, making smaller, encoding) is `operators.image`'s or its own.
+    """
+    if not s.roots:
+        return rows.withColumn("picture", F.lit(None).cast("binary"))
+    files = None
+    for root in s.roots.values():
+        f = s.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path_"), F.col("content").alias("picture"))
+        files = f if files is None else files.unionByName(f)
+    return rows.join(files, rows[path] == files["path_"], "left").drop("path_")
+
+
+def _bounded(s: Settings, rows: DataFrame, order: str) -> DataFrame:
+    return rows.orderBy(order).limit(s.max_items) if s.max_items else rows
 
 
 def _needs(what, name: str) -> Callable[[], str | None]:
@@ -51,7 +72,8 @@ def workflow(s: Settings) -> list[Stage]:
 
     def classify(t: Tables) -> Tables:
         todo = t["photos"].where("is_duplicate = 0 AND media_type = 'image'")
-        asked = models.ask(todo.select("id", "filename", "country", "city"), models.prompt_context(("File", "filename"), ("City", "city"), ("Country", "country")), s.vision)
+        todo = _pictures(s, _bounded(s, todo.select("id", "file_path", "filename", "country", "city"), "id"), "file_path")
+        asked = models.ask(todo, models.prompt_context(("File", "filename"), ("City", "city"), ("Country", "country")), s.vision, F.col("picture"))
         got = models.classified(asked).select("id", F.col("status").alias("ai_processed"), F.col("ai.scene").alias("ai_description"), F.col("ai.type").alias("ai_scene_type"), F.col("ai.tags").alias("ai_tags"))
         return {"classes": got}
 
@@ -93,7 +115,7 @@ def curation(s: Settings) -> list[Stage]:
     def score(t: Tables) -> Tables:
         todo = tables.keep(t["album_files"], albums(t), ["album_name"]).join(t["scores"], "file_path", "left_anti")
         taken = grouping.systematic_sample(todo, ["album_name"], [F.col("file_path")]).join(t["metrics"], "file_path")
-        asked = models.scored(models.ask(taken, F.col("file_path"), s.vision))
+        asked = models.scored(models.ask(_pictures(s, _bounded(s, taken, "file_path"), "file_path"), F.col("file_path"), s.vision, F.col("picture")))
         technical = scores.technical(F.col("sharpness"), F.col("exposure"), (F.least("width", "height") >= 800).cast("double"))
         new = asked.withColumn("technical_score", technical).withColumn("final_score", scores.final(F.col("technical_score"), F.col("ai_score")))
         new = new.select("file_path", "album_name", "technical_score", "ai_score", "ai_mood", "final_score", "exposure_ok", (F.least("width", "height") >= 800).alias("resolution_ok"))
@@ -102,18 +124,23 @@ def curation(s: Settings) -> list[Stage]:
     def usable(t: Tables) -> DataFrame:
         return t["scores"].where("exposure_ok AND resolution_ok")
 
+    def named(t: Tables) -> Tables:
+        """Only albums whose name holds the text that was asked for, if any."""
+        return {k: v.where(F.contains(F.lower("album_name"), F.lit(s.album.lower()))) if s.album and "album_name" in v.columns else v for k, v in t.items()}
+
     def curate(t: Tables) -> Tables:
         best = grouping.segment_best(usable(t), ["album_name"], [F.col("file_path")], "final_score").select("album_name", "file_path", "rank")
         return {"curated": best}
 
     def edit(t: Tables) -> Tables:
-        ranked = grouping.top_fraction(usable(t), ["album_name"], [F.desc("final_score"), F.col("file_path")])
-        mood = grouping.mode_first(t["scores"], ["album_name"], "ai_mood", ["ai_mood"])
+        large = t["scores"].where("resolution_ok")
+        ranked = grouping.top_fraction(large, ["album_name"], [F.desc("final_score"), F.col("file_path")])
+        mood = grouping.mode_first(t["scores"], ["album_name"], "ai_mood", ["ai_mood"]).withColumn("ai_mood", F.when(F.col("ai_mood").isin(*TONE_CURVES), F.col("ai_mood")).otherwise("flat"))
         return {"edits": ranked.drop("ai_mood").join(mood, "album_name", "left"), "collages": grouping.collage_rows(ranked, ["album_name"], "final_score", "file_path")}
 
     def caption(t: Tables) -> Tables:
         hero = t["curated"].groupBy("album_name").agg(F.min_by("file_path", "rank").alias("hero")).join(t["captions"], "album_name", "left_anti")
-        seen = models.ask(hero, F.col("hero"), s.vision)
+        seen = models.ask(_pictures(s, hero, "hero"), F.col("hero"), s.vision, F.col("picture"))
         written = models.ask(hero, models.prompt_context(("Album", "album_name")), s.writer)
         return {"captions": t["captions"].unionByName(models.captioned(seen, written), allowMissingColumns=True)}
 
@@ -129,14 +156,15 @@ def curation(s: Settings) -> list[Stage]:
         return {"summary": out.withColumn("phase", scores.phase((F.col("captioned") > 0, "ready"), (F.col("chosen") > 0, "curated"), (F.col("scored") > 0, "scored"), otherwise="new"))}
 
     every = ("album_files", "scores", "curated", "captions")
+    within = lambda number, name, inputs, run, *more, **kw: Stage(number, name, inputs, lambda t: run(named(t)), *more, **kw)
     return [
         Stage(0, "discover", every, discover),
         Stage(1, "purge", every, purge),
-        Stage(2, "score", ("album_files", "scores", "metrics"), score, ready=_needs(s.vision, "vision")),
-        Stage(3, "edit", ("scores",), edit),
-        Stage(4, "curate", ("scores",), curate),
-        Stage(6, "caption", ("curated", "captions"), caption, ready=_needs(s.vision and s.writer, "vision or writer")),
-        Stage(7, "package", ("curated", "captions"), package, ("export",)),
+        within(2, "score", ("album_files", "scores", "metrics"), score, ready=_needs(s.vision, "vision")),
+        within(3, "edit", ("scores",), edit),
+        within(4, "curate", ("scores",), curate),
+        within(6, "caption", ("curated", "captions"), caption, ready=_needs(s.vision and s.writer, "vision or writer")),
+        within(7, "package", ("curated", "captions"), package, ("export",)),
         Stage(8, "summary", every, summary),
     ]
 

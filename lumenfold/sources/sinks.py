@@ -90,9 +90,10 @@ def as_json(rows: DataFrame, key: str) -> DataFrame:
 
 
 def upload_commands(manifest: DataFrame, remote: str) -> DataFrame:
-    """One shell command for each album and part."""
+    """One shell command for each album and part; names are quoted for the shell whatever they hold."""
+    quoted = lambda *parts: F.concat(F.lit("'"), F.replace(F.concat(*parts), F.lit("'"), F.lit("'\\''")), F.lit("'"))
     parts = manifest.where("exists").withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts").cast("int"))))
-    return parts.select("folder", "part", F.format_string("rclone copy '%s' '" + remote + ":%s' --part %d", "folder", "folder", "part").alias("command"))
+    return parts.select("folder", "part", F.concat_ws(" ", F.lit("rclone copy"), quoted(F.col("folder")), quoted(F.lit(f"{remote}:"), F.col("folder")), F.lit("--part"), F.col("part").cast("string")).alias("command"))
 
 
 def year_report(albums: DataFrame) -> DataFrame:
