@@ -37,7 +37,7 @@ SPACE = " \t\n\x0b\x0c\r"
 FEATURES = ("size", "word_length", "symbols", "dup_lines", "repeats")
 #: Least standard deviation of each feature.
 FLOOR = (0.6, 0.3, 0.06, 0.17, 0.13)
-CORE, STEPS, PRIOR, QUANTILE = 0.75, 5, 50.0, 0.9999
+CORE, STEPS, PRIOR, QUANTILE = 0.75, 4, 50.0, 0.9999
 SALTS = 64
 P = range(len(FEATURES))
 PAIRS = [(i, j) for i in P for j in P if j <= i]
@@ -72,10 +72,10 @@ def features(stats: DataFrame) -> DataFrame:
     return stats.withColumns({f"x{i}": F.least(v, F.lit(50.0)) for i, v in enumerate(values)})
 
 
-def _joined(rows: DataFrame, table: DataFrame, on: list[str] = KEYS, how: str = "inner") -> DataFrame:
+def _joined(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
     """Rows with their group's lines of a table of a few lines a group, which is repeated so that a large group's rows spread over partitions."""
     spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(spread, [*on, "salt"], how).drop("salt")
+    return rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(spread, [*KEYS, "salt"], how).drop("salt")
 
 
 def _binned_quantile(rows: DataFrame, keys: list[str], q: float) -> DataFrame:
@@ -97,46 +97,61 @@ def _distance_bin(d2: Column) -> Column:
     return F.floor(F.log1p(d2) * 64).cast("long")
 
 
+SUMS = ["n", *(f"s{i}" for i in P), *(f"q{i}{j}" for i, j in PAIRS)]
+PRODUCTS = ["1D", *(f"x{i}" for i in P), *(f"x{i} * x{j}" for i, j in PAIRS)]
+
+
+def _concentrated(rows: DataFrame, found: DataFrame, keys: list[str], stretch: float) -> DataFrame:
+    """Moments of each key's CORE share of rows nearest by found, to a whole bin of distances: sums by bin first, so rows are read once."""
+    binned = _joined(rows, found).groupBy(*keys, _distance_bin(_mahalanobis()).alias("bin")).agg(*(F.expr(f"sum({x}) AS {c}") for c, x in zip(SUMS, PRODUCTS)))
+    w = Window.partitionBy(*keys)
+    core = binned.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)}).where(F.expr(f"upto - n < {CORE!r}D * all"))
+    sums = core.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in SUMS))
+    means = sums.selectExpr(*keys, "n", *(f"s{i} / n AS m{i}" for i in P), *(f"q{i}{j} / n AS q{i}{j}" for i, j in PAIRS))
+    return means.selectExpr(*keys, "n", *(f"m{i}" for i in P), *(f"(q{i}{j} - m{i} * m{j}) * {stretch!r}D AS c{i}{j}" for i, j in PAIRS))
+
+
 def _moments(core: DataFrame, keys: list[str], stretch: float) -> DataFrame:
     """n, means m.. and covariances c.. of each key's rows; the covariances times stretch."""
-    return core.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in P), *((F.covar_pop(f"x{i}", f"x{j}") * stretch).alias(f"c{i}{j}") for i, j in PAIRS))
+    return core.groupBy(*keys).agg(F.expr("sum(1D) AS n"), *(F.expr(f"avg(x{i}) AS m{i}") for i in P), *(F.expr(f"covar_pop(x{i}, x{j}) * {stretch!r}D AS c{i}{j}") for i, j in PAIRS))
 
 
 def _inverted(e: DataFrame, keys: list[str]) -> DataFrame:
-    """m.., inverse covariances p.. and the logarithm of the determinant, floors added, by a Cholesky factor written out in columns; n and c.. stay."""
-    col = F.col
-    total = lambda terms: sum(terms, F.lit(0.0))
-    for i, j in PAIRS:  # L
-        rest = col(f"c{i}{j}") + (FLOOR[i] ** 2 if i == j else 0.0) - total(col(f"l{i}{k}") * col(f"l{j}{k}") for k in range(j))
-        e = e.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / col(f"l{j}{j}"))
-    for j in P:  # the inverse of L
-        e = e.withColumn(f"v{j}{j}", 1 / col(f"l{j}{j}"))
-        for i in range(j + 1, len(P)):
-            e = e.withColumn(f"v{i}{j}", -total(col(f"l{i}{k}") * col(f"v{k}{j}") for k in range(j, i)) / col(f"l{i}{i}"))
-    inverse = (total(col(f"v{k}{i}") * col(f"v{k}{j}") for k in range(i, len(P))).alias(f"p{i}{j}") for i, j in PAIRS)
-    logdet = total(2 * F.log(col(f"l{i}{i}")) for i in P)
-    return e.select(*keys, "n", *(f"m{i}" for i in P), *(f"c{i}{j}" for i, j in PAIRS), *inverse, logdet.alias("logdet"))
+    """m.., inverse covariances p.. and the logarithm of the determinant, floors added, by a Cholesky factor written out in columns; n and c.. stay.
+
+    One statement of nested selections, as each depends on those before it.
+    """
+    rest = lambda i, j: f"c{i}{j}" + (f" + {FLOOR[i] ** 2!r}D" if i == j else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+    steps = []
+    for j in P:  # L, a column at a time
+        steps.append([f"sqrt(greatest({rest(j, j)}, 1e-12D)) AS l{j}{j}"])
+        steps.append([f"({rest(i, j)}) / l{j}{j} AS l{i}{j}" for i in P if i > j])
+    steps.append([f"1 / l{j}{j} AS v{j}{j}" for j in P])  # the inverse of L, a diagonal at a time
+    for gap in P[1:]:
+        steps.append([f"-({' + '.join(f'l{j + gap}{k} * v{k}{j}' for k in range(j, j + gap))}) / l{j + gap}{j + gap} AS v{j + gap}{j}" for j in P if j + gap < len(P)])
+    text = "SELECT * FROM {e}"
+    for step in filter(None, steps):
+        text = f"SELECT *, {', '.join(step)} FROM ({text})"
+    inverse = [" + ".join(f"v{k}{i} * v{k}{j}" for k in range(i, len(P))) + f" AS p{i}{j}" for i, j in PAIRS]
+    columns = [*keys, "n", *(f"m{i}" for i in P), *(f"c{i}{j}" for i, j in PAIRS), *inverse, " + ".join(f"2 * ln(l{i}{i})" for i in P) + " AS logdet"]
+    return e.sparkSession.sql(f"SELECT {', '.join(columns)} FROM ({text})", e=e)
 
 
 def shrunk(found: DataFrame, groups: DataFrame) -> DataFrame:
     """The estimate of every group: its own moments (if found has any), PRIOR rows of its language's, and in those PRIOR of all rows'."""
-    sums = found.select(*KEYS, "n", *((F.col("n") * F.col(f"m{i}")).alias(f"s{i}") for i in P), *((F.col("n") * (F.col(f"c{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"q{i}{j}") for i, j in PAIRS))
-    names = [*(f"s{i}" for i in P), *(f"q{i}{j}" for i, j in PAIRS)]
-    langs = sums.groupBy("lang").agg(*(F.sum(c).alias(f"{c}_lang") for c in ["n", *names]))
-    every = langs.agg(*(F.sum(f"{c}_lang").alias(c) for c in ["n", *names])).first()  # one row
-    n = every["n"] or 0.0
-    out = groups.join(sums, KEYS, "left").join(langs, "lang", "left")
-    out = out.na.fill(0.0)
-    mean = lambda c: (F.col(c) + PRIOR * (F.col(f"{c}_lang") + PRIOR * (every[c] / n if n else 0.0)) / (F.col("n_lang") + PRIOR)) / (F.col("n") + PRIOR)
-    out = out.select(*KEYS, "n", *(mean(c).alias(c) for c in names))
-    out = out.select(*KEYS, "n", *(F.col(f"s{i}").alias(f"m{i}") for i in P), *((F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in PAIRS))
+    sums = found.selectExpr(*KEYS, "n", *(f"n * m{i} AS s{i}" for i in P), *(f"n * (c{i}{j} + m{i} * m{j}) AS q{i}{j}" for i, j in PAIRS))
+    langs = sums.groupBy("lang").agg(*(F.sum(c).alias(f"{c}_lang") for c in SUMS))
+    every = langs.agg(*(F.sum(f"{c}_lang").alias(c) for c in SUMS)).first()  # one row
+    mean = {c: every[c] / every["n"] if every["n"] else 0.0 for c in SUMS[1:]}
+    out = groups.join(sums, KEYS, "left").join(langs, "lang", "left").na.fill(0.0)
+    out = out.selectExpr(*KEYS, "n", *(f"({c} + {PRIOR!r}D * ({c}_lang + {PRIOR!r}D * {mean[c]!r}D) / (n_lang + {PRIOR!r}D)) / (n + {PRIOR!r}D) AS {c}" for c in SUMS[1:]))
+    out = out.selectExpr(*KEYS, "n", *(f"s{i} AS m{i}" for i in P), *(f"q{i}{j} - s{i} * s{j} AS c{i}{j}" for i, j in PAIRS))
     out, _ = stage(out, "moments")  # else moments that turn out empty would be folded into every factor below
     return _inverted(out, KEYS)
 
 
 def _mahalanobis() -> Column:
-    z = [F.col(f"x{i}") - F.col(f"m{i}") for i in P]
-    return sum((F.col(f"p{i}{j}") * z[i] * z[j] * (1 if i == j else 2) for i in P for j in range(i + 1)), F.lit(0.0))
+    return F.expr(" + ".join(f"p{i}{j} * (x{i} - m{i}) * (x{j} - m{j}) * {1 if i == j else 2}" for i, j in PAIRS))
 
 
 def starts(rows: DataFrame) -> DataFrame:
@@ -163,10 +178,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     # over the nearest CORE share of a normal sample variances shrink by this factor
     narrowed = 1 / (1 + log(1 / (1 - CORE)) / len(P)) if CORE < 1 else 1.0
     for _ in range(STEPS):
-        measured = _joined(rows, found).select(*keys, *xs, _distance_bin(_mahalanobis()).alias("bin"))
-        cut = _binned_quantile(measured.select(*keys, "bin"), keys, CORE).withColumnRenamed("bin", "most")
-        core = _joined(measured, cut, keys).where("bin <= most")
-        found, _ = stage(_inverted(_moments(core, keys, 1 / narrowed), keys), "estimates")
+        found, _ = stage(_inverted(_concentrated(rows, found, keys, 1 / narrowed), keys), "estimates")
     best = found.groupBy(*KEYS).agg(F.min_by(F.struct("n", *(f"m{i}" for i in P), *(f"c{i}{j}" for i, j in PAIRS)), F.struct(F.round("logdet", 6), "start")).alias("e")).select(*KEYS, "e.*")
     near, _ = stage(shrunk(best, groups), "estimates")
     core = _joined(rows, near).where(_mahalanobis() <= chi_square(len(P), 0.975)).select(*KEYS, *xs)
