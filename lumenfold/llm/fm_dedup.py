@@ -10,7 +10,9 @@ over it also starts in a document with a smaller doc_id.
    anchors can repeat (a twentieth to a fifth of running text).
 3. Runs of such windows under one anchor are segments. A block sends each distinct
    segment once, to the shard of its anchor, with its smallest doc_id. All places
-   of a window, in any document, meet in one shard.
+   of a window, in any document, meet in one shard. Windows of an anchor that more
+   than ``HOT`` blocks have are segments of their own and go by a hash of their words,
+   so a very common passage is spread over the shards.
 4. A shard indexes its distinct segments (suffix order, Burrows-Wheeler transform,
    wavelet tree) and streams them against the index: backward search gives each
    window's matching statistic and interval; the interval's least doc_id goes back.
@@ -44,6 +46,7 @@ from .fm_index import FMIndex, interval_minima
 
 WINDOW, GRAM = 13, 5
 BLOCK_BYTES = 2_500_000
+HOT = 256  # blocks that have an anchor from which its windows are dealt by their own words
 SEARCHES = 20_000  # windows searched at once, as many as a processor's cache holds
 _WORD = re.compile(r"[^ \t-\r]+")
 NO_ID = np.iinfo(np.int64).max
@@ -129,17 +132,30 @@ class Block:
         first = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
         return anchors[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
 
-    def segments(self, starts: np.ndarray, anchors: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows under one shared anchor: first window, number of windows, anchor."""
+    def content(self, starts: np.ndarray) -> np.ndarray:
+        """A hash of all words of the windows that start there."""
+        out = np.full(len(starts), WINDOW, np.uint64)
+        for k in range(WINDOW):
+            out = (out ^ self.hashes[starts + k]) * ODD
+            out ^= out >> np.uint64(29)
+        return out
+
+    def segments(self, starts: np.ndarray, anchors: np.ndarray, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows under one shared anchor: first window, number of windows, and what a run is dealt by, its anchor.
+
+        hot: for each shared anchor whether very many blocks have it; its windows are runs of one each and dealt by their words.
+        """
         if not len(shared) or not len(anchors):
             return (np.zeros(0, np.int64),) * 2 + (anchors[:0],)
         at = np.minimum(np.searchsorted(shared, anchors), len(shared) - 1)
         hit = shared[at] == anchors
-        starts, anchors = starts[hit], anchors[hit]
+        starts, anchors, alone = starts[hit], anchors[hit], hot[at[hit]]
         if not len(starts):
             return (np.zeros(0, np.int64),) * 2 + (anchors,)
-        new = np.flatnonzero(np.r_[True, (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1) | (self.doc[starts[1:]] != self.doc[starts[:-1]])])
-        return starts[new], np.diff(np.r_[new, len(starts)]), anchors[new]
+        new = np.flatnonzero(np.r_[True, alone[1:] | (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1) | (self.doc[starts[1:]] != self.doc[starts[:-1]])])
+        route, single = anchors[new], alone[new]
+        route[single] = self.content(starts[new][single])
+        return starts[new], np.diff(np.r_[new, len(starts)]), route
 
     def requests(self, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, shards: int) -> Iterator[tuple[int, dict[bytes, int], np.ndarray, np.ndarray]]:
         """For each shard its distinct segments by content, the runs that go to it, and the number of each run's segment."""
@@ -190,22 +206,23 @@ def _ask_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
 
 
 def _answer_anchors(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each block's anchors of this bucket, a bit: another document has it, too."""
+    """For each block's anchors of this bucket two bits: another document has it, too; more than HOT blocks have it."""
     sets = [np.frombuffer(a, np.uint64) for a in frame["anchors"]]
     several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(a)).astype(bool) for s, a in zip(frame["several"], sets)]
     _, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.bincount(back, weights=np.concatenate(several)) + (count > 1) > 0
-    parts = np.split(shared[back], np.cumsum([len(a) for a in sets])[:-1])
+    both = np.stack([shared, count > HOT], axis=1)[back]
+    parts = np.split(both, np.cumsum([len(a) for a in sets])[:-1])
     return pd.DataFrame({"block": frame["block"], "kind": 0, "number": frame["bucket"], "data": [np.packbits(x).tobytes() for x in parts]})
 
 
 def _shared_segments(block: Block, answers: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, anchors = block.anchors()
     distinct, _ = block.distinct_anchors(starts, anchors)
-    shared, given = np.zeros(len(distinct), bool), dict(zip(answers["number"], answers["data"]))
+    both, given = np.zeros((len(distinct), 2), bool), dict(zip(answers["number"], answers["data"]))
     for k, own in _groups((distinct % np.uint64(buckets)).astype(np.int64)):
-        shared[own] = np.unpackbits(np.frombuffer(given[k], np.uint8), count=len(own)).astype(bool)
-    return block.segments(starts, anchors, distinct[shared])
+        both[own] = np.unpackbits(np.frombuffer(given[k], np.uint8), count=2 * len(own)).reshape(-1, 2).astype(bool)
+    return block.segments(starts, anchors, distinct[both[:, 0]], both[both[:, 0], 1])
 
 
 def _ask_segments(staged: pd.DataFrame, answers: pd.DataFrame, buckets: int, shards: int) -> pd.DataFrame:

@@ -181,6 +181,21 @@ def test_passages_of_repetitive_texts(monkeypatch, spark):
     assert got == brute_dedup(texts)
 
 
+def test_windows_of_common_anchors_are_dealt_by_their_words(monkeypatch, spark):
+    monkeypatch.setattr(fm, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(fm, "HOT", 2)
+    rng = random.Random(10)
+    common = [f"c{k}" for k in range(40)]
+    texts = []
+    for k in range(40):  # a passage that all share, some with a word of their own in it
+        words = list(common)
+        if k % 3 == 0:
+            words[rng.randint(0, 39)] = f"own{k}"
+        texts.append((k, " ".join([f"a{k}x{i}" for i in range(rng.randint(0, 20))] + words + [rng.choice("pq") for _ in range(rng.randint(0, 30))])))
+    got = sorted((tuple(r)[:4] for r in fm.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string").repartition(8)).collect()), key=str)
+    assert got == brute_dedup(texts)
+
+
 def test_cut_keeps_the_rest_as_it_was():
     assert fm.cut_words(" a  b\nc d\te ", [1, 3]) == " a  d\te "
     assert fm.cut_words("a b", [0, 2]) == ""
