@@ -268,23 +268,23 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], *(pa.array(v, t) for v, t in zip(cols.values(), kinds))], names=["doc_id", "held_out", *cols])
 
 
-def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    rows = text_of(docs, (remainder(mod) == held).alias("held_out"))
-    train = rows.where("not held_out").select("text")
+def fit(train: DataFrame) -> tuple[dict, DataFrame]:
+    """The model that workers score by, from a table of texts, and the table of all words' counts."""
+    spark = train.sparkSession
     counts, _ = stage(train.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "words")
     total, types = counts.agg(F.sum("c"), F.count("*")).first()
     total, types = total or 0, types or 0
 
-    # the least count of the head: as many words as HEAD holds; equal counts stay together
-    levels = counts.where("word <> '' and c > 1").groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
-    floor, taken = None, 0
+    # the head: the most frequent words; of the count at which it is full, a share chosen by hash
+    levels = counts.where("word <> ''").groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(HEAD).collect()  # a level has a word at least
+    whole, part, share, room = 2**62, -1, 0, HEAD
     for r in levels:
-        if (taken := taken + r.n) > HEAD:
+        if r.n > room:
+            part, share = r.c, room * 2**30 // r.n
             break
-        floor = r.c
-    frequent = counts.where(F.col("c") >= (floor or 2**62)).where("word <> ''").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+        whole, room = r.c, room - r.n
+    chosen = (F.col("c") >= whole) | ((F.col("c") == part) & (F.pmod(F.xxhash64("word"), F.lit(2**30)) < share))
+    frequent = counts.where("word <> ''").where(chosen).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     head, head_counts = [w.as_py().encode() for w in frequent["word"]], frequent["c"].to_numpy().astype(np.float64)
     clustered = head[:CLUSTERED]
 
@@ -331,10 +331,17 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     rare = np.log10(tokens + ADDED * (kinds + 1))  # what a class's emissions are divided by
     under = math.log10(total + types + 1)
     ends = float(tokens[CLASSES])
-    shared = spark.sparkContext.broadcast({
-        **model, "trans": transitions(pairs, np.arange(CLASSES + 1)), "rare": rare,
+    return {
+        **model, "total": total, "under": under, "trans": transitions(pairs, np.arange(CLASSES + 1)), "rare": rare,
         "base": np.r_[np.log10(head_counts + 1) - under, 0.0], "emit": np.r_[np.log10(head_counts + ADDED) - rare[head_of], 0.0], "base_end": math.log10(ends + 1) - under, "ends_known": int(ends > 0),
-    })
+    }, counts
+
+
+def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    rows = text_of(docs, (remainder(mod) == held).alias("held_out"))
+    model, counts = fit(rows.where("not held_out").select("text"))
+    shared, under = docs.sparkSession.sparkContext.broadcast(model), model["under"]
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, word array<string>, times array<long>, rare array<double>"
     scored, _ = stage(rows.mapInArrow(lambda b: _score(b, shared), schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     tail = scored.select("row", F.explode(F.arrays_zip("word", "times", "rare")).alias("t")).select("row", "t.*")
@@ -346,6 +353,6 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return scored.drop("word", "times", "rare").join(extra, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known")).alias("n_known"), F.lit(model["total"]).cast("long").alias("train_tokens"),
         (F.col("base") + zero("more_base")).alias("base_score"), (F.col("model") + zero("more_model")).alias("score"),
     )

@@ -180,6 +180,41 @@ def test_language_model_base_and_gain(spark, docs, texts, empty):
     assert rows.score.sum() > rows.base_score.sum() * 0.97
 
 
+def test_score_is_transitions_and_emissions(monkeypatch, spark):
+    """Given the classes, every text's score from counts over all training tokens, word by word; head words, rarer and unseen ones."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(400)]
+    rows = [(d, " ".join(rng.choice(words[: rng.choice([20, 400])]) for _ in range(rng.randint(0, 60)))) for d in range(300)]
+    monkeypatch.setattr(class_lm, "HEAD", 120)  # so that other words' counts are joined and their classes are their spellings'
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [[*t.encode().split(), b""] for d, t in rows if part(d, 7) != 2]
+    model, _ = class_lm.fit(spark.createDataFrame([(t,) for d, t in rows if part(d, 7) != 2], "text string"))
+    of = lambda w: class_lm.CLASSES if w == b"" else int(class_lm._classes([w], model)[1][0])
+    assert 100 <= len(model["head_of"]) <= 140
+    c = collections.Counter(w for ws in train for w in ws)
+    tokens, kinds, pairs = collections.Counter(), collections.Counter(), collections.Counter()
+    for w, n in c.items():
+        tokens[of(w)] += n
+        kinds[of(w)] += 1
+    for ws in train:
+        for a, b in zip([b"", *ws], ws):
+            pairs[of(a), of(b)] += 1
+    size = class_lm.CLASSES + 1
+    into = [sum(pairs[a, b] for a in range(size)) for b in range(size)]
+
+    def transition(a, b):
+        row = [pairs[a, k] for k in range(size)]
+        left = sum(row) - sum(max(n - class_lm.DISCOUNT, 0) for n in row) if sum(row) else 1.0
+        return (max(row[b] - class_lm.DISCOUNT, 0) + left * (into[b] + 0.5) / (sum(into) + 0.5 * size)) / max(sum(row), 1)
+
+    got = {r.doc_id: r.score for r in class_lm.score(docs).collect()}
+    for d, t in rows:
+        line = [b"", *t.encode().split(), b""]
+        want = sum(math.log10(transition(of(a), of(b))) for a, b in zip(line, line[1:]))  # the end is alone in its class
+        want += sum(math.log10((c[b] + class_lm.ADDED) / (tokens[of(b)] + class_lm.ADDED * (kinds[of(b)] + 1))) for b in line[1:-1])
+        assert got[d] == pytest.approx(want, abs=1e-6)
+
+
 def test_rare_words_are_joined(monkeypatch, docs):
     whole = sorted(((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in class_lm.score(docs).collect()), key=str)
     monkeypatch.setattr(class_lm, "HEAD", 50)
