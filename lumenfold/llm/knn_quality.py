@@ -25,7 +25,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,13 +72,15 @@ def features(text: str) -> np.ndarray:
     return out
 
 
-def weighted(x: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+def weighted(x: np.ndarray, rarity: np.ndarray, in_place: bool = False) -> np.ndarray:
     """The two parts at unit length each, words by their rarity."""
-    x = x.astype(np.float32).copy()
-    for part in (slice(0, 1024), slice(1024, WORDS), slice(WORDS, None)):
-        block = x[:, part] * rarity[part]
-        x[:, part] = block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-6)
-    return x
+    out = x if in_place else x.astype(np.float32)
+    for k in range(0, len(out), 512):  # a few rows at a time, so temporaries stay small
+        rows = out[k : k + 512]
+        for part in (slice(0, 1024), slice(1024, WORDS), slice(WORDS, None)):
+            block = rows[:, part] * rarity[part]
+            rows[:, part] = block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-6)
+    return out
 
 
 def latent(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -87,10 +88,13 @@ def latent(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-6)
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> dict:
-    """Rarity weights, the first singular directions (randomized, Halko et al., 2011) and the labelled vectors."""
+def fit(x: np.ndarray, y: np.ndarray, in_place: bool = False) -> dict:
+    """Rarity weights, the first singular directions (randomized, Halko et al., 2011) and the labelled vectors.
+
+    in_place: x, of 32-bit floats, may be changed.
+    """
     rarity = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
-    x = weighted(x, rarity)
+    x = weighted(x, rarity, in_place)
     probe = np.linalg.qr(x.T @ np.random.default_rng(1).standard_normal((len(x), min(DIMS + 16, len(x))), np.float32))[0]
     for _ in range(3):
         probe = np.linalg.qr(x.T @ (x @ probe))[0]
@@ -130,8 +134,13 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int
     sample = text_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
     # repeated rows of an id would pass the bound: one text each
     sample = sample.groupBy("doc_id", "y").agg(F.min("text").alias("text")).mapInArrow(_featurize, "doc_id long, y int, x binary")
-    found: pd.DataFrame = sample.orderBy("doc_id").toArrow().to_pandas()
-    model = fit(np.stack([np.frombuffer(x, np.float16) for x in found.x]).astype(np.float32), found.y.to_numpy()) if len(found) else None
+    found = sample.orderBy("doc_id").toArrow()
+    x, y = np.empty((found.num_rows, WORDS + SHARES), np.float32), found["y"].to_numpy()
+    for k, row in enumerate(found["x"]):
+        x[k] = np.frombuffer(row.as_buffer(), np.float16)
+    del found
+    model = fit(x, y, in_place=True) if len(x) else None
+    del x
     return spark.sparkContext.broadcast(model)
 
 
