@@ -177,18 +177,31 @@ class _PagedReader(DataSourceReader):
             return json.loads(reply.read())
 
     def partitions(self) -> list[InputPartition]:
+        if "next" in self.options:
+            return [_Page(0)]
         return [_Page(k) for k in range(1, int(self.options.get("pages", 1)) + 1)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        rows = self._get(partition.page)
-        for step in filter(None, self.options.get("items", "").split(".")):
-            rows = rows[step]
-        for row in rows:
-            yield tuple(None if (v := row.get(f)) is None else str(v) for f in self.options["fields"].split(","))
+        page = partition.page or 1
+        while page:
+            body = self._get(page)
+            for row in self._at(body, "items"):
+                yield tuple(None if (v := row.get(f)) is None else str(v) for f in self.options["fields"].split(","))
+            page = None if partition.page else self._at(body, "next")
+
+    def _at(self, body, path: str):
+        """What a reply has at the dotted path of an option, or null."""
+        for step in filter(None, self.options.get(path, "").split(".")):
+            body = body.get(step) if isinstance(body, dict) else body[step]
+        return body
 
 
 class PagedService(DataSource):
-    """A service that returns pages of JSON rows, one partition a page: options url (with {page}), pages, items (a path), fields, key_env."""
+    """A service that returns pages of JSON rows: options url (with {page}), items (a path), fields, key_env.
+
+    With the option pages, one partition a page; with next (the path of the next page's number), one
+    partition follows the pages until a reply has none.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -6,7 +6,7 @@ import os
 import shutil
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -75,6 +75,40 @@ def rename_plan(dirs: DataFrame) -> DataFrame:
     return dirs.select(F.col("parent_dir").alias("old"), repaired_directory(F.col("parent_dir")).alias("new"))
 
 
+def merge_plan(files: DataFrame, renames: DataFrame) -> DataFrame:
+    """src and dst (directory and name) of every file of renamed directories, merged into what the new directory holds.
+
+    A name that is there, or that another directory's file takes first, becomes `<stem>_m1<ext>`, `_m2`, ...: the
+    first numbers that no file there or coming has.
+    """
+    moving = files.join(renames, files["parent_dir"] == renames["old"]).select("old", F.col("new").alias("dir"), "filename")
+    there = files.join(renames.select(F.col("new").alias("parent_dir")).distinct(), "parent_dir").select(F.col("parent_dir").alias("dir"), "filename")
+    numbered = r"^(.+)_m(\d{1,9})(\.[^.]*)?$"
+    part = lambda k: F.regexp_extract("filename", numbered, k)
+    taken = there.unionByName(moving.drop("old")).where(F.col("filename").rlike(numbered)).groupBy("dir", F.concat(part(1), part(3)).alias("filename")).agg(F.collect_set(part(2).cast("int")).alias("taken"))
+    held = there.distinct().withColumn("held", F.lit(1))
+    w = Window.partitionBy("dir", "filename").orderBy("old")
+    rows = moving.withColumn("r", F.row_number().over(w)).join(held, ["dir", "filename"], "left").join(taken, ["dir", "filename"], "left")
+    k = F.col("r") - 1 + F.coalesce("held", F.lit(0))  # 0: the name is free
+    used = F.coalesce("taken", F.array().cast("array<int>"))
+    number = F.get(F.array_except(F.sequence(F.lit(1), F.greatest(k, F.lit(1)) + F.size(used)), used), F.greatest(k, F.lit(1)) - 1)
+    stem, ext = tx.stem(F.col("filename")), F.regexp_extract("filename", r"(?<=.)(\.[^.]*)$", 1)
+    name = F.when(k == 0, F.col("filename")).otherwise(F.concat(stem, F.lit("_m"), number.cast("string"), ext))
+    return rows.select("old", "filename", F.col("dir").alias("new"), name.alias("new_name"))
+
+
+def with_unsorted(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """The manifest with a row for each folder `Unsorted <year>` of exported files (parent_dir below the export)."""
+    own = files.where(F.startswith("parent_dir", F.lit("Unsorted "))).groupBy(F.col("parent_dir").alias("folder")).agg(F.count("*").alias("file_count"))
+    rows = own.select("folder", F.col("folder").alias("name"), "file_count", F.lit(True).alias("exists"), F.lit(1).cast("long").alias("parts"))
+    return manifest.unionByName(rows.select(*manifest.columns))
+
+
+def manifest_totals(manifest: DataFrame) -> DataFrame:
+    """One row: albums, those whose folder exists, and files."""
+    return manifest.agg(F.count("*").alias("albums"), F.count_if("exists").alias("existing"), F.coalesce(F.sum("file_count"), F.lit(0)).alias("files"))
+
+
 def upload_manifest(albums: DataFrame, photos: DataFrame, folders: DataFrame, part: int = 20_000) -> DataFrame:
     """One row an album: file count (0 for empty ones), folder, whether it exists, and parts of so many files."""
     live = photos.where("is_duplicate = 0 AND album_id IS NOT NULL").groupBy("album_id").agg(F.count("*").alias("n"))

@@ -99,6 +99,10 @@ def test_names_contained(spark):
     q = frame(spark, [("paris",), ("Greater London",), ("Lon",), ("Nowhere",)], "name string")
     p = frame(spark, [(1, "London"), (2, "Londonderry"), (3, "Paris"), (4, "Paris")], "ord long, name string")
     assert {r.name: r.place for r in nearest.contained_name(q, p).collect()} == {"paris": "Paris", "Greater London": "London", "Lon": "London", "Nowhere": None}
+    q = frame(spark, [("Paris", "US"), ("Paris", "fr"), ("Paris", None), ("Par", "US"), ("x", None), ("o", "GB"), ("", None)], "name string, cc string")
+    p = frame(spark, [(1, "Paris", "FR"), (2, "Paris Hill", "US"), (3, "London", "GB"), (4, "Yo", "GB")], "ord long, name string, cc string")
+    got = {(r.name, r.cc): r.place for r in nearest.contained_name(q, p).collect()}
+    assert got == {("Paris", "US"): "Paris Hill", ("Paris", "fr"): "Paris", ("Paris", None): "Paris", ("Par", "US"): "Paris Hill", ("x", None): None, ("o", "GB"): "London", ("", None): None}
 
 
 def test_sequence_fill_rules(spark):

@@ -1,5 +1,6 @@
 import json
 import os
+import shlex
 import threading
 from datetime import datetime, timedelta
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -70,7 +71,7 @@ def test_paged_service(spark, monkeypatch):
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             page = int(self.path.split("=")[1])
-            body = json.dumps({"assets": {"items": [{"id": f"{page}-{k}", "path": self.headers["x-api-key"]} for k in range(2)]}}).encode()
+            body = json.dumps({"assets": {"nextPage": page + 1 if page < 4 else None, "items": [{"id": f"{page}-{k}", "path": self.headers["x-api-key"]} for k in range(2)]}}).encode()
             self.send_response(200)
             self.end_headers()
             self.wfile.write(body)
@@ -85,6 +86,8 @@ def test_paged_service(spark, monkeypatch):
     reader = readers.PagedService({"url": f"http://127.0.0.1:{server.server_port}/?page={{page}}", "pages": "3", "items": "assets.items", "fields": "id,path", "key_env": "SERVICE_KEY"}).reader(None)
     rows = [r for p in reader.partitions() for r in reader.read(p)]
     assert len(rows) == 6 and rows[0] == ("1-0", "secret")
+    reader = readers.PagedService({"url": f"http://127.0.0.1:{server.server_port}/?page={{page}}", "next": "assets.nextPage", "items": "assets.items", "fields": "id"}).reader(None)
+    assert [r for p in reader.partitions() for r in reader.read(p)] == [(f"{p}-{k}",) for p in range(1, 5) for k in range(2)]
     spark.dataSource.register(readers.PagedService)
     schema = spark.read.format("paged_service").options(url="http://x/{page}", fields="id,path").load().schema
     assert schema.names == ["id", "path"]
@@ -110,6 +113,10 @@ def test_reports(spark):
     m = sinks.upload_manifest(albums, photos, f([("One", 2)], "album_name string, n long"), part=2)
     assert {(r.name, r.folder, r.file_count, r.exists, r.parts) for r in m.collect()} == {("One", "One", 2, True, 2), ("Two:x", "Two_x", 0, False, 1)}
     assert [r.command for r in sinks.upload_commands(m, "cloud").orderBy("part").collect()] == ["rclone copy 'One' 'cloud:One' --part 1", "rclone copy 'One' 'cloud:One' --part 2"]
+    odd = f([("Anna's `trip`", True, 1)], "folder string, exists boolean, parts long")
+    assert shlex.split(sinks.upload_commands(odd, "cloud").first().command) == ["rclone", "copy", "Anna's `trip`", "cloud:Anna's `trip`", "--part", "1"]
+    more = sinks.with_unsorted(m, f([("Unsorted 2018",), ("Unsorted 2018",), ("One",)], "parent_dir string"))
+    assert sinks.manifest_totals(more).first().asDict() == {"albums": 3, "existing": 2, "files": 4}
     assert json.loads(sinks.as_json(m.select("name", "file_count"), "name").first().manifest) == [{"name": "One", "file_count": 2}, {"name": "Two:x", "file_count": 0}]
     tags = sinks.tag_actions(f([("p", "2019-06-15T10:00:00", -1.5, 2.25), ("q", None, None, 1.0)], "file_path string, best_date string, latitude double, longitude double"))
     assert {(r.tag, r.value) for r in tags.collect()} == {("DateTimeOriginal", "2019:06:15 10:00:00"), ("GPSLatitude", "1 30 0"), ("GPSLatitudeRef", "S"), ("GPSLongitude", "2 15 0"), ("GPSLongitudeRef", "E")}
@@ -119,6 +126,24 @@ def test_reports(spark):
     assert [tuple(r) for r in done.collect()] == [("1", "done", "u")]
 
 
+def test_merge_of_directories(spark):
+    f = spark.createDataFrame
+    files = f([("2019:06:15", "a.jpg"), ("2019:06:15", "b.jpg"), ("2019:06:15", "c"), ("2019:6:15", "b.jpg"), ("15 Jun 2019", "a.jpg"), ("15 Jun 2019", "a_m1.jpg"), ("15 Jun 2019", "c"), ("x", "a.jpg")], "parent_dir string, filename string")
+    renames = f([("2019:06:15", "15 Jun 2019"), ("2019:6:15", "15 Jun 2019")], "old string, new string")
+    got = {(r.old, r.filename): (r.new, r.new_name) for r in sinks.merge_plan(files, renames).collect()}
+    to = "15 Jun 2019"
+    assert got == {("2019:06:15", "a.jpg"): (to, "a_m2.jpg"), ("2019:06:15", "b.jpg"): (to, "b.jpg"), ("2019:06:15", "c"): (to, "c_m1"), ("2019:6:15", "b.jpg"): (to, "b_m1.jpg")}
+
+
+def test_pictures_reach_the_client(spark, tree):
+    from lumenfold.plans.stages import Settings, _pictures
+
+    path = str(tree / "Trip/IMG_0001.jpg")
+    rows = spark.createDataFrame([(path,), (str(tree / "none.jpg"),)], "file_path string")
+    got = {r.file_path: r.picture for r in _pictures(Settings(spark, {"primary": str(tree)}), rows, "file_path").collect()}
+    assert bytes(got[path]) == (tree / "Trip/IMG_0001.jpg").read_bytes() and got[str(tree / "none.jpg")] is None
+
+
 def test_runner_over_a_catalogue(spark, tmp_path):
     t0 = datetime(2019, 5, 1, 10)
     rows = [(k, f"/m/IMG_{k:04d}.jpg", "primary", f"IMG_{k:04d}.jpg", "Trip", 10 + k, f"h{k % 9}", (t0 + timedelta(minutes=30 * k)).isoformat(), 48.85 if k % 3 else None, 2.35 if k % 3 else None, None, None, None, None, None, 0, 0, None) for k in range(12)]
@@ -219,5 +244,9 @@ def test_curation_stages(spark, tmp_path):
     assert report["purge"] == {"scores": 0, "curated": 0, "captions": 0}
     assert report["score"] == {"scores": 20} and report["curate"] == {"curated": 9} and report["caption"] == {"captions": 1}
     assert report["edit"] == {"edits": 18, "collages": 6} and report["package"] == {"package": 10}
+    status = {s["stage"]: s for s in run.status()}
+    assert status["curate"] == {"stage": "curate", "written": ["curated"], "lacks": None}
+    other = runner.Runner(spark, house, curation(Settings(spark, album="nothing so called", export_root="/out")))
+    assert other.run("curate", dry_run=True)[0]["rows"] == {"curated": 0} and other.status()[2]["lacks"] == "vision is not set"
     assert spark.read.parquet(f"{house}/summary/summary").first().phase == "ready"
     assert spark.read.parquet(f"{house}/potential/discover").first().potential > 2.5
