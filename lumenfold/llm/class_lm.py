@@ -84,28 +84,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(counts)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], clustered: list[bytes]) -> Iterator[pa.RecordBatch]:
-    symbols, total, held, size = Symbols(clustered), np.zeros(SYMBOLS**2, np.int64), [], 0
-
-    def add() -> None:
-        nonlocal held, size
-        line = np.concatenate([[END], *held])
-        np.add(total, np.bincount(line[:-1] * SYMBOLS + line[1:], minlength=SYMBOLS**2), out=total)
-        held, size = [], 0
-
-    for batch in batches:
-        for text in batch["text"]:
-            held.append(np.array([*map(symbols.__getitem__, words_of(text.as_py())), END], np.int64))
-            size += len(held[-1])
-            if size > 2_000_000:
-                add()
-    if held:
-        add()
-    at = np.flatnonzero(total)
-    for k in range(0, len(at), 500_000):
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(at[k : k + 500_000]), "c": pa.array(total[at[k : k + 500_000]])})
-
-
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -192,23 +170,65 @@ def _classes(words: list[bytes], m: dict) -> tuple[np.ndarray, np.ndarray]:
     return at, of
 
 
-def _lines(batches: Iterator[pa.RecordBatch], m: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ranks and classes of many texts in a row, with an end token (rank -1) before each and after the last."""
-    end, held, size = (np.array([-1]), np.array([m["end"]])), [], 0
+def _rank(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Of each text its words' ranks (a word outside the head: the number of the head's words and its symbol) and, of words outside, each with its symbol and times."""
+    m = shared.value
+    head, symbols = _lookup(m)
+    none = len(m["symbols"])
     for batch in batches:
-        for text in batch["text"]:
-            held += [end, _classes(words_of(text.as_py()), m)]
-            size += len(held[-1][0])
-            if size > 2_000_000:
-                yield tuple(np.concatenate(x) for x in zip(*held, end))
+        for begin in range(0, batch.num_rows, 2048):
+            part = batch.slice(begin, 2048)
+            cols = {k: [] for k in ("ranks", "word", "times", "symbol")}
+            for text in part["text"]:
+                words = words_of(text.as_py())
+                at = np.array([head.get(w, -1) for w in words], np.int32)
+                outside = np.flatnonzero(at < 0).tolist()
+                tail = Counter(words[k] for k in outside)
+                at[outside] = [none + symbols[words[k]] for k in outside]
+                cols["ranks"].append(at.astype("<i4").tobytes())
+                cols["word"].append([w.decode() for w in tail])
+                cols["times"].append(list(tail.values()))
+                cols["symbol"].append([symbols[w] for w in tail])
+            kinds = (pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], *(pa.array(v, t) for v, t in zip(cols.values(), kinds))], names=["doc_id", "held_out", *cols])
+
+
+def _lines(batches: Iterator[pa.RecordBatch], of: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ranks and what they stand for (of, by rank) of many texts in a row, with an end token (rank -1) before each and after the last."""
+    stop, held, size = np.array([-1], np.int32), [], 0
+
+    def line():
+        at = np.concatenate([*held, stop]).astype(np.int64)
+        return at, np.where(at < 0, end, of[at])
+
+    for batch in batches:
+        for ranks in batch["ranks"]:
+            held += [stop, np.frombuffer(ranks.as_buffer(), "<i4")]
+            size += len(held[-1])
+            if size > 1_000_000:
+                yield line()
                 held, size = [], 0
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, end))
+        yield line()
+
+
+def _by_rank(of: np.ndarray, head_of: np.ndarray) -> np.ndarray:
+    """Values by rank: those of the head's words, then those of the symbols of words outside."""
+    return np.r_[head_of, of[:END]]
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    total, of = np.zeros(SYMBOLS**2, np.int64), np.r_[shared.value["symbols"], np.arange(END)]
+    for _, line in _lines(batches, of, END):
+        total += np.bincount(line[:-1] * SYMBOLS + line[1:], minlength=SYMBOLS**2)
+    at = np.flatnonzero(total)
+    for k in range(0, len(at), 500_000):
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(at[k : k + 500_000]), "c": pa.array(total[at[k : k + 500_000]])})
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     m = shared.value
-    for at, of in _lines(batches, m):
+    for at, of in _lines(batches, m["by_rank"], CLASSES):
         k = np.flatnonzero((at >= CLUSTERED) & (at < m["grown"]))
         word = at[k] * WIDTH
         found, c = np.unique(np.concatenate([word + of[k - 1], word + CLASSES + 1 + of[k + 1], (word + WIDTH - 1)[at[k] == at[k + 1]]]), return_counts=True)
@@ -239,38 +259,33 @@ def _exchange_words(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Re
 
 def _count_classes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     total = np.zeros((CLASSES + 1) ** 2, np.int64)
-    for _, of in _lines(batches, shared.value):
+    for _, of in _lines(batches, shared.value["by_rank"], CLASSES):
         total += np.bincount(of[:-1] * (CLASSES + 1) + of[1:], minlength=len(total))
     yield pa.RecordBatch.from_pydict({"pair": pa.array(np.arange(len(total))), "c": pa.array(total)})
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     m = shared.value
-    symbols = _lookup(m)[1]
     none = len(m["base"]) - 1  # the row of the head's table for words outside
     for batch in batches:
-        for begin in range(0, batch.num_rows, 2048):
-            part = batch.slice(begin, 2048)
-            cols = {k: [] for k in ("n_tokens", "known", "base", "model", "word", "times", "rare")}
-            for text in part["text"]:
-                words = words_of(text.as_py())
-                at, of = _classes(words, m)
-                line = np.r_[m["end"], of, m["end"]]
-                tail = Counter(words[k] for k in np.flatnonzero(at == none).tolist())
-                cols["n_tokens"].append(len(words) + 1)
-                cols["known"].append(int((at != none).sum()) + m["ends_known"])
-                cols["base"].append(m["base"][at].sum() + m["base_end"])
-                cols["model"].append(m["emit"][at].sum() + m["trans"][line[:-1], line[1:]].sum())
-                cols["word"].append([w.decode() for w in tail])
-                cols["times"].append(list(tail.values()))
-                cols["rare"].append([m["rare"][m["of"][symbols[w]]] for w in tail])
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], *(pa.array(v, t) for v, t in zip(cols.values(), kinds))], names=["doc_id", "held_out", *cols])
-
-
-def fit(train: DataFrame) -> tuple[dict, DataFrame]:
-    """The model that workers score by, from a table of texts, and the table of all words' counts."""
-    spark = train.sparkSession
+        cols = {k: [] for k in ("n_tokens", "known", "base", "model", "rare")}
+        for ranks, symbols in zip(batch["ranks"], batch["symbol"]):
+            at = np.frombuffer(ranks.as_buffer(), "<i4")
+            line, own = np.r_[CLASSES, m["by_rank"][at], CLASSES], np.minimum(at, none)
+            cols["n_tokens"].append(len(at) + 1)
+            cols["known"].append(int((own != none).sum()) + m["ends_known"])
+            cols["base"].append(m["base"][own].sum() + m["base_end"])
+            cols["model"].append(m["emit"][own].sum() + m["trans"][line[:-1], line[1:]].sum())
+            cols["rare"].append(m["rare"][m["of"][symbols.values.to_numpy()]])
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
+        done = [pa.array(v, t) for v, t in zip(cols.values(), kinds)]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], *done[:4], batch["word"], batch["times"], done[4]], names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "word", "times", "rare"])
+
+
+def fit(rows: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
+    """The model that workers score by, the table of all words' counts, and the texts as ranks; rows: doc_id, text, held_out."""
+    spark = rows.sparkSession
+    train = rows.where("not held_out").select("text")
     counts, _ = stage(train.mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "words")
     total, types = counts.agg(F.sum("c"), F.count("*")).first()
     total, types = total or 0, types or 0
@@ -288,26 +303,31 @@ def fit(train: DataFrame) -> tuple[dict, DataFrame]:
     head, head_counts = [w.as_py().encode() for w in frequent["word"]], frequent["c"].to_numpy().astype(np.float64)
     clustered = head[:CLUSTERED]
 
-    found = train.mapInArrow(lambda b: _count_pairs(b, clustered), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    symbols = Symbols(clustered)
+    model = {"key": uuid.uuid4().hex, "head": b" ".join(head), "clustered": clustered, "symbols": np.array([symbols[w] for w in head], np.int64)}
+    looked = spark.sparkContext.broadcast(model)
+    ranked, _ = stage(rows.mapInArrow(lambda b: _rank(b, looked), "doc_id long, held_out boolean, ranks binary, word array<string>, times array<long>, symbol array<long>"), "ranks")
+    train = ranked.where("not held_out").select("ranks")  # from here on no text is read
+
+    found = train.mapInArrow(lambda b: _count_pairs(b, looked), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     pairs = np.zeros(SYMBOLS**2)
     pairs[found["pair"].to_numpy()] = found["c"].to_numpy()
     del found
     pairs = pairs.reshape(SYMBOLS, SYMBOLS)
     of = exchange(pairs)
-    symbols = Symbols(clustered)
-    head_of = of[np.array([symbols[w] for w in head], np.int64)] if head else np.zeros(0, np.int64)
+    head_of = of[model["symbols"]]
     member = np.eye(CLASSES + 1)[of]
     grown = int((head_counts >= LEAST).sum())
-    model = {"key": uuid.uuid4().hex, "head": b" ".join(head), "clustered": clustered, "of": of, "head_of": head_of, "end": CLASSES, "matrix": member.T @ pairs @ member, "grown": grown}
+    plain = {"of": of, "matrix": member.T @ pairs @ member, "grown": grown}
     del pairs
-    first = spark.sparkContext.broadcast(model)
+    first = spark.sparkContext.broadcast({**plain, "head_of": head_of, "by_rank": _by_rank(of, head_of)})
     if grown > CLUSTERED:
         contexts = train.mapInArrow(lambda b: _count_contexts(b, first), "word long, context long, c long").groupBy("word", "context").agg(F.sum("c").alias("c"))
         contexts = contexts.groupBy("word").agg(F.collect_list(F.struct("context", "c")).alias("contexts"))
         moved = contexts.mapInArrow(lambda b: _exchange_words(b, first), "word long, class long").toArrow()
         head_of = head_of.copy()
         head_of[moved["word"].to_numpy()] = moved["class"].to_numpy()
-    model = {**model, "head_of": head_of}
+    model = {**model, "of": of, "head_of": head_of, "by_rank": _by_rank(of, head_of)}
     second = spark.sparkContext.broadcast(model)
     found = train.mapInArrow(lambda b: _count_classes(b, second), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     pairs = np.zeros((CLASSES + 1) ** 2)
@@ -334,16 +354,17 @@ def fit(train: DataFrame) -> tuple[dict, DataFrame]:
     return {
         **model, "total": total, "under": under, "trans": transitions(pairs, np.arange(CLASSES + 1)), "rare": rare,
         "base": np.r_[np.log10(head_counts + 1) - under, 0.0], "emit": np.r_[np.log10(head_counts + ADDED) - rare[head_of], 0.0], "base_end": math.log10(ends + 1) - under, "ends_known": int(ends > 0),
-    }, counts
+    }, counts, ranked
 
 
 def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = text_of(docs, (remainder(mod) == held).alias("held_out"))
-    model, counts = fit(rows.where("not held_out").select("text"))
-    shared, under = docs.sparkSession.sparkContext.broadcast(model), model["under"]
+    model, counts, ranked = fit(rows)
+    scoring = {k: v for k, v in model.items() if k not in ("head", "clustered", "symbols")}
+    shared, under = docs.sparkSession.sparkContext.broadcast(scoring), model["under"]
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, word array<string>, times array<long>, rare array<double>"
-    scored, _ = stage(rows.mapInArrow(lambda b: _score(b, shared), schema).withColumn("row", F.monotonically_increasing_id()), "scores")
+    scored, _ = stage(ranked.mapInArrow(lambda b: _score(b, shared), schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     tail = scored.select("row", F.explode(F.arrays_zip("word", "times", "rare")).alias("t")).select("row", "t.*")
     tail = tail.join(counts, "word", "left").select("row", "times", "rare", F.coalesce("c", F.lit(0)).alias("c"))
     extra = tail.groupBy("row").agg(

@@ -188,7 +188,7 @@ def test_score_is_transitions_and_emissions(monkeypatch, spark):
     monkeypatch.setattr(class_lm, "HEAD", 120)  # so that other words' counts are joined and their classes are their spellings'
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     train = [[*t.encode().split(), b""] for d, t in rows if part(d, 7) != 2]
-    model, _ = class_lm.fit(spark.createDataFrame([(t,) for d, t in rows if part(d, 7) != 2], "text string"))
+    model, _, _ = class_lm.fit(spark.createDataFrame([(d, t, part(d, 7) == 2) for d, t in rows], "doc_id long, text string, held_out boolean"))
     of = lambda w: class_lm.CLASSES if w == b"" else int(class_lm._classes([w], model)[1][0])
     assert 100 <= len(model["head_of"]) <= 140
     c = collections.Counter(w for ws in train for w in ws)
