@@ -12,7 +12,8 @@ spellings that other words end in. Then every other word of the head that occurs
 after it, which Spark sums, against the class bigrams of that first clustering; how
 many these are grows with the training rows up to the head. Rarer words keep their
 spelling's class, so every word, seen or not, has a class that a worker knows
-without a lookup. Counts cover all training rows. The driver and the workers hold
+without a lookup. Texts are read twice: to count words, and to write them as ranks
+in the head, which all further passes take. Counts cover all training rows. The driver and the workers hold
 only what a parameter bounds: ``CLUSTERED`` words, symbol bigrams (at most the
 square of the symbols) and the ``HEAD`` most frequent words' counts and classes;
 counts of rarer words are joined to the documents that use them.

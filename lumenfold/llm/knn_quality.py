@@ -166,6 +166,10 @@ def _accept(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that the classifier accepts."""
+    """The documents, with all their columns whatever their names, that the classifier accepts.
+
+    Every row is judged by its own text, a null one as empty, so repeated rows stay or go together and
+    doc_id may be null; without labels of both tables' ids all score 0.5 and stay; without documents none come back.
+    """
     shared = train(docs, labels)
     return docs.mapInArrow(lambda b: _accept(b, shared), docs.schema)
