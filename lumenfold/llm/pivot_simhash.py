@@ -231,8 +231,8 @@ def shingle_set(text: str, width: int) -> np.ndarray:
 def _banded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Of each document a key of its set of shingles, the set's size and its bands."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
             sets = [shingle_set(t, width) for t in part["text"].to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             flat, starts = np.concatenate(sets), np.r_[0, np.cumsum(sizes)[:-1]]
