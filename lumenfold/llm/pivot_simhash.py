@@ -207,15 +207,22 @@ def cluster(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 # Copies at a similarity: sets of five-word shingles.
 #
-# At a Jaccard similarity of 0.8 two 64-bit fingerprints differ by about 10 bits, where
-# neither shared blocks nor pivots narrow anything down. So rows meet by min-wise bands,
-# and all pairs of a band are held against the similarity itself, by their sets; a pair
-# goes unseen only if it is linked already or a bound that cannot err rules it out.
-
-BANDS, ROWS = 16, 3
+# At a Jaccard similarity of 0.8 fingerprints differ by about 0.15 of their bits, strangers'
+# by half. So fingerprints are wider here, and the radius lies where neither errs. No blocks
+# are whole for certain at such a radius; rows meet where drawn coordinates of the distance
+# table agree, in so many draws that a pair is lost with a probability below LOST. Those that
+# meet are held against each other by the columns of their own references, then bit by bit.
+# Chains of fingerprints within the radius only propose: the sets of each such group are all
+# held against the similarity itself.
+
+WORDS = 4  # of 64 bits in a wide fingerprint
+WIDE_RADIUS = 72  # of 256 bits: pairs at 0.8 differ by 39 (sd 6; sets of four shingles by 48), random ones by 128 (sd 8)
+WHOLE = 0.8125  # of a pair at 0.8 the share of equal bits, at least: that of sets of four and five shingles
+CROWD, LOST = 2048, 1e-4  # strangers in a meeting at most, and chance of a pair to agree in no draw
+REFERENCES = 8  # rows of a meeting whose distances are its table
 FILTER_BITS = 25  # places of the fixed filter that spares most documents a shuffle; a full filter lets all through
-MEET, MEET_SHINGLES = 4096, 1 << 20  # rows and shingles that meet at once; a larger band is split, and its parts meet in pairs
-_SALTS = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+MEET, MEET_SHINGLES = 4096, 1 << 20  # rows and shingles that meet at once; a larger meeting is split, and its parts meet in pairs
+_SALTS = np.random.default_rng(5).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -228,21 +235,103 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width) or [0], np.uint64))
 
 
-def _banded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of each document a key of its set of shingles, the set's size and its bands."""
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash fingerprints (rows, WORDS) of sets of shingles; repeats in a text count once."""
+    sizes, flat = np.array([len(s) for s in sets], np.int64), np.concatenate(sets)
+    return np.stack([majority_bits(_mixed(flat, s), sizes) for s in _SALTS], axis=1)
+
+
+def _marked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Of each document a key of its set of shingles, the set's size and its wide fingerprint."""
     for batch in batches:
         for k in range(0, batch.num_rows, 64):
             part = batch.slice(k, 64)
             sets = [shingle_set(t, width) for t in part["text"].to_pylist()]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            flat, starts = np.concatenate(sets), np.r_[0, np.cumsum(sizes)[:-1]]
-            least = np.stack([np.minimum.reduceat(_mixed(flat, s), starts) for s in _SALTS], axis=1).reshape(len(sets), BANDS, ROWS)
-            bands = np.zeros((len(sets), BANDS), np.uint64)
-            for r in range(ROWS):
-                bands = _mixed(bands ^ least[:, :, r], _SALTS[r])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
             keys = pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part["doc_id"], part["k1"], part["k2"], keys, pa.array(sizes), lists], names=["doc_id", "k1", "k2", "key", "n", "bands"])
+            words = [pa.array(w.view(np.int64)) for w in np.ascontiguousarray(wide_fingerprints(sets).T)]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["k1"], part["k2"], keys, pa.array([len(s) for s in sets], pa.int64()), *words], names=["doc_id", "k1", "k2", "key", "n", *WIDE])
+
+
+WIDE = [f"w{k}" for k in range(WORDS)]
+
+
+def draws_for(rows: int) -> np.ndarray:
+    """(draws, coordinates): the bits whose references rows meet by, so that at most ``CROWD`` of them agree in a draw by chance.
+
+    A reference of one bit tells by its coordinate, less that of zero, whether a fingerprint has that bit.
+    """
+    size = max(0, int(np.ceil(np.log2(max(rows, 1) / CROWD))))
+    count = int(np.ceil(np.log(LOST) / np.log1p(-(WHOLE**size)))) if size else 1
+    rng = np.random.default_rng(256)
+    return np.stack([rng.permutation(64 * WORDS)[:size] for _ in range(count)])
+
+
+def _coordinates(batches: Iterator[pa.RecordBatch], draws: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each fingerprint a row for every draw, with the meeting that its coordinates name."""
+    count, size = draws.shape
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            bits = np.unpackbits(np.stack([part[w].to_numpy() for w in WIDE], axis=1).view(np.uint8), axis=1, bitorder="little")
+            meeting = np.tile(np.arange(count, dtype=np.int64), (part.num_rows, 1))
+            for c in range(size):
+                meeting = meeting << 1 | bits[:, draws[:, c]]
+            again = pa.array(np.repeat(np.arange(part.num_rows), count))
+            yield pa.RecordBatch.from_arrays([pa.array(meeting.ravel()), *(part[c].take(again) for c in ("id", *WIDE))], names=["meeting", "id", *WIDE])
+
+
+def table_links(bits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (position, position) that span the graph of fingerprints within radius; bits: (rows, words of 64).
+
+    The first rows not linked yet are the references of a distance table. A column links its
+    reference to the rows within radius; by the triangle inequality it discards for a block of
+    rows all that are further than radius from the block's range in any column. The others are
+    compared bit by bit, unless they are linked already.
+    """
+    given, n = np.arange(len(bits)), len(bits)
+    left, right, table, root = [], [], [], np.arange(n)
+    for _ in range(REFERENCES):
+        alone = np.flatnonzero((root == given) & (np.bincount(root, minlength=n)[given] == 1))
+        alone = alone[~np.isin(alone, left)]
+        if not len(alone):
+            break
+        i = int(alone[0])
+        column = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int16)
+        table.append(column)
+        near = np.flatnonzero(column <= radius)
+        left.append(i)
+        right.append(near)
+        root[np.isin(root, root[near])] = root[near].min()
+    left = [np.full(len(r), i) for i, r in zip(left, right)]
+    if table and (root != root[0]).any():
+        table = np.stack(table, axis=1)
+        order = np.lexsort(table.T[::-1])
+        words, table, names = np.ascontiguousarray(bits[order].T), table[order], root[order]
+        for k in range(0, n, 256):
+            own = table[k : k + 256]
+            seen = k + np.flatnonzero(((table[k:] >= own.min(axis=0) - radius) & (table[k:] <= own.max(axis=0) + radius)).all(axis=1))
+            apart = np.zeros((len(own), len(seen)), np.uint16)
+            for w in words:
+                apart += np.bitwise_count(w[k : k + 256, None] ^ w[None, seen])
+            i, j = np.nonzero(apart <= radius)
+            i, j = k + i, seen[j]
+            i, j = (x[names[i] != names[j]] for x in (i, j))
+            _, first = np.unique(np.minimum(names[i], names[j]) * n + np.maximum(names[i], names[j]), return_index=True)
+            for a, b in zip(i[first].tolist(), j[first].tolist()):
+                if names[a] != names[b]:
+                    names[names == max(names[a], names[b])] = min(names[a], names[b])
+                    left.append(order[[a]])
+                    right.append(order[[b]])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def _near(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    return table_links(np.stack([np.concatenate([b[w].to_numpy() for b in held]).view(np.uint64) for w in WIDE], axis=1), WIDE_RADIUS)
+
+
+def _alike(held: list[pa.RecordBatch], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    return set_links([np.frombuffer(x.as_buffer(), np.uint64) for b in held for x in b["shingles"]], similarity)
 
 
 def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -287,12 +376,14 @@ def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of each group; rows (meeting, id, shingles) come in order of their meeting, one group is held at a time."""
+def _meet(batches: Iterator[pa.RecordBatch], links) -> Iterator[pa.RecordBatch]:
+    """Links of each group (those of its positions from ``links``); rows (meeting, id, ...) come in order of their meeting, one group is held at a time."""
 
     def linked(held):
+        if sum(b.num_rows for b in held) < 2:
+            return [np.zeros(0, np.int64)] * 2
         ids = np.concatenate([b["id"].to_numpy() for b in held])
-        i, j = set_links([np.frombuffer(x.as_buffer(), np.uint64) for b in held for x in b["shingles"]], similarity)
+        i, j = links(held)
         return ids[i], ids[j]
 
     held, last = [], None
@@ -311,6 +402,34 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in linked(held)], names=["a", "b"])
 
 
+def spanned(met: DataFrame, large: DataFrame, links, more: DataFrame | None = None) -> DataFrame:
+    """Components (node, root) of the ids in met (meeting, id, ...), linked by ``links`` within each meeting.
+
+    A meeting in large (meeting, parts) first meets in parts, dealt anew in each meeting; if that leaves
+    its ids in several components, all pairs of its parts meet. more: columns by id that ``links`` reads.
+    """
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        dealt = dealt if more is None else dealt.join(more, "id")
+        sorted_ = dealt.repartition("meeting").sortWithinPartitions("meeting")
+        return stage(sorted_.mapInArrow(partial(_meet, links=links), "a long, b long"), "near")[0].where("a <> b").distinct()
+
+    payload = [c for c in met.columns if c != "meeting"]
+    large, _ = stage(large, "large")
+    if large.isEmpty():
+        return components(linked(met), "a", "b")
+    met = met.join(F.broadcast(large), "meeting", "left")
+    split = met.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("id", "meeting"), "parts"))
+    meeting = F.when(F.col("parts").isNull(), F.col("meeting")).otherwise(F.xxhash64("meeting", F.pmod(F.xxhash64("id", "meeting"), "parts")))
+    sure = linked(met.select(meeting.alias("meeting"), *payload))
+    roots = components(sure, "a", "b")
+    rooted = split.select("meeting", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = rooted.groupBy("meeting").agg((F.min("root") < F.max("root")).alias("apart")).where("apart")
+    others = split.join(apart, "meeting", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> other")
+    others, _ = stage(others.select(F.xxhash64("meeting", F.least("part", "other"), F.greatest("part", "other")).alias("meeting"), *payload), "parts")
+    return roots if others.isEmpty() else components(sure.unionByName(linked(others)), "a", "b")
+
+
 def key_filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of 2**FILTER_BITS places, whatever the number of rows, with the places of their keys k1 set."""
     place = F.pmod(F.col("k1"), F.lit(2**FILTER_BITS))
@@ -333,47 +452,36 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """Of every row doc_id, its key (k1, k2), component_id (the doc_id of its group's row that stays) and stays.
 
     Equal sets of shingles are one class; others are linked if they have this Jaccard similarity.
-    A pair at the similarity shares a band with a probability over 0.9999, and every pair that shares
-    one is linked, at least by a chain. A band over ``MEET`` first meets in parts, dealt anew in each
-    band; if that leaves its rows in several components, all pairs of parts meet.
+    Classes meet by coordinates of their SimHash fingerprints, and chains of fingerprints within
+    ``WIDE_RADIUS`` are groups, in which all pairs are held against the similarity by their sets.
+    A pair at 0.8 meets and is within the radius with a probability over 0.9999 (over 0.998 for the
+    shortest texts, of eight and nine words); a table of up to ``CROWD`` classes is one meeting.
 
     The row with the least doc_id stays, any doc_id before a null one; of several texts under that
     doc_id the one with the least key; rows repeated whole share a key, so all or none of them stay.
     A null or blank text is a copy of other blank texts. Without documents there are no rows.
     """
     texts = text_of(docs, *(k.alias(c) for k, c in zip(row_key(), ("k1", "k2"))))
-    marked, _ = stage(texts.mapInArrow(partial(_banded, width=width), "doc_id long, k1 long, k2 long, key binary, n long, bands array<long>"), "banded")
+    words = ", ".join(f"{w} long" for w in WIDE)
+    marked, _ = stage(texts.mapInArrow(partial(_marked, width=width), f"doc_id long, k1 long, k2 long, key binary, n long, {words}"), "marked")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    classes = marked.groupBy("key").agg(F.min(first).alias("f"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = marked.groupBy("key").agg(F.min(first).alias("f"), *(F.first(c).alias(c) for c in ("n", *WIDE)))
     classes, _ = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    rows, band = classes.select("id", "n", F.posexplode("bands").alias("band", "value")), ["band", "value"]
-    parts = F.ceil(F.greatest(F.count("*") / MEET, F.sum("n") / MEET_SHINGLES)).alias("parts")
-    sizes = rows.groupBy(*band).agg(F.count("*").alias("count"), parts).where("count > 1").drop("count")
-    met, _ = stage(rows.drop("n").join(sizes, band), "met")
-    needed, _ = stage(met.select("id").distinct().join(classes.select("id", "f.k1", "f.k2"), "id"), "needed")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = classes.select("id", *WIDE).repartition(parts, "id").mapInArrow(partial(_coordinates, draws=draws_for(classes.count())), f"meeting long, id long, {words}")
+    large = met.groupBy("meeting").agg(F.ceil(F.count("*") / MEET).alias("parts")).where("parts > 1")
+    roots = spanned(met, large, _near)  # chains of fingerprints
+    met = roots.select(F.col("root").alias("meeting"), F.col("node").alias("id")).unionByName(roots.select(F.col("root").alias("meeting"), F.col("root").alias("id")).distinct())
+    met, _ = stage(met.join(classes.select("id", "n"), "id").select("meeting", "id", "n"), "met")
+    needed, _ = stage(met.select("id").join(classes.select("id", "f.k1", "f.k2"), "id"), "needed")
     shared = docs.sparkSession.sparkContext.broadcast(key_filter(needed))
     placed = texts.withColumn("place", F.pmod(F.col("k1"), F.lit(2**FILTER_BITS)))
     sets = placed.mapInArrow(partial(_shingle_sets, width=width, shared=shared), "k1 long, k2 long, shingles binary")
     sets = sets.join(needed, ["k1", "k2"]).groupBy("id").agg(F.min("shingles").alias("shingles"))
     sets, _ = stage(sets, "shingles")
 
-    def linked(dealt: DataFrame) -> DataFrame:
-        sorted_ = dealt.join(sets, "id").select("meeting", "id", "shingles").repartition("meeting").sortWithinPartitions("meeting")
-        return stage(sorted_.mapInArrow(partial(_meet, similarity=similarity), "a long, b long"), "near")[0]
-
-    whole, split = met.where("parts = 1"), met.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("id", *band), "parts"))
-    # bands with the same rows meet once
-    members = whole.groupBy(*band).agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    once = members.groupBy("x", "y").agg(F.min(F.struct(*band)).alias("g")).select("g.*")
-    dealt = whole.join(once, band).select("id", F.xxhash64(*band).alias("meeting"))
-    sure = linked(dealt.unionByName(split.select("id", F.xxhash64(*band, "part").alias("meeting"))))
-    roots = components(sure, "a", "b")
-    rooted = split.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = rooted.groupBy(*band).agg((F.min("root") < F.max("root")).alias("apart")).where("apart")
-    others = split.join(apart, band, "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> other")
-    others, _ = stage(others.select("id", F.xxhash64(*band, F.least("part", "other"), F.greatest("part", "other")).alias("meeting")), "parts")
-    if not others.isEmpty():
-        roots = components(sure.unionByName(linked(others)), "a", "b")
+    large = met.groupBy("meeting").agg(F.ceil(F.greatest(F.count("*") / MEET, F.sum("n") / MEET_SHINGLES)).alias("parts")).where("parts > 1")
+    roots = spanned(met.select("meeting", "id"), large, partial(_alike, similarity=similarity), sets)
     rooted = classes.select("key", "id", "f").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     stays = rooted.groupBy("root").agg(F.min("f").alias("s"))
     named, _ = stage(rooted.join(stays, "root").select("key", "s"), "groups")

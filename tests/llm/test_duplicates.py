@@ -326,3 +326,35 @@ def test_near_copies_of_the_corpus_match_brute_force(spark):
     want = {docs[k].doc_id: docs[find(k)].doc_id for k in range(len(docs)) if find(k) != k}
     got = {r.doc_id: r.component_id for r in ps.near_copies(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
     assert len(want) > 500 and len(want.items() & got.items()) >= 0.999 * len(want) and got.items() <= want.items()
+
+
+def test_table_links_span_the_graph_of_wide_fingerprints():
+    rng = np.random.default_rng(8)
+    for families, rows, most in ((3, 60, 90), (1, 700, 30), (40, 700, 60), (300, 300, 0)):
+        base = rng.integers(0, 2, (families, 256), np.uint8)
+        bits = base[rng.integers(0, families, rows)]
+        for r in bits:
+            r[rng.permutation(256)[: rng.integers(0, most + 1)]] ^= 1
+        words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        near = np.bitwise_count(words[:, None] ^ words[None, :]).sum(axis=2) <= ps.WIDE_RADIUS
+        i, j = ps.table_links(words, ps.WIDE_RADIUS)
+        assert near[i, j].all()
+        spanned = np.eye(rows, dtype=bool)
+        spanned[i, j] = spanned[j, i] = True
+        assert roots(rows, near.tolist()) == roots(rows, spanned.tolist())
+
+
+def test_near_copies_are_proposed_by_fingerprints(monkeypatch, spark):
+    rows = [*revised(random.Random(6), 60, 200, 1, 3), (100, "another text of its own")]
+    assert len(copies(spark, rows)) > 50
+    monkeypatch.setattr(ps, "_meet", lambda batches, links: iter(()))  # no fingerprints meet: nothing but equal sets is linked
+    assert copies(spark, [*rows, (101, rows[-1][1])]) == {101: 100}
+
+
+def test_rows_meet_in_draws_of_coordinates(monkeypatch, spark):
+    monkeypatch.setattr(ps, "CROWD", 4)
+    assert ps.draws_for(120).shape[1] == 5 and len(ps.draws_for(120)) > 20
+    rows = revised(random.Random(7), 120, 300, 4, 7)
+    assert copies(spark, rows) == brute_copies(rows)
+    monkeypatch.setattr(ps, "MEET", 8)
+    assert copies(spark, rows[:40]) == brute_copies(rows[:40])
