@@ -2,8 +2,9 @@
 
 The stages take (spark, docs, sf_dir); every one is written as Parquet and read
 again as the next one's documents. All but the last return the columns of
-``documents``. Near copies are taken at a similarity of 0.8 over five-word
-shingles, and the copy with the least doc_id stays.
+``documents``. Near copies are proposed by SimHash fingerprints and their distance
+tables and taken at a similarity of 0.8 over five-word shingles; the copy with the
+least doc_id stays.
 """
 
 from __future__ import annotations
