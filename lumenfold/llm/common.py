@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,12 @@ def worker_table(key, make):
     return _TABLE[key]
 
 
+def release() -> None:
+    """Lets a worker's table go and gives the pages back that Arrow holds unused, where a stage needs neither."""
+    _TABLE.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def prepare(spark: SparkSession) -> None:
     """Ships the package to Python workers and bounds their batches, unless the session sets its own bound."""
     ship(spark)

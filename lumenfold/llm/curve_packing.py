@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, fan_out, stage, text_of
+from .common import drop, fan_out, release, stage, text_of
 from .tokens import encoder
 
 DIMS, BITS = 4, 12
@@ -93,6 +93,16 @@ def cut_points(begin: int, end: int, total: int, length: int) -> list[tuple[int,
     return out
 
 
+def placed_at(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition of the stream with the number of its ids before each; the encoder's table is not needed any more."""
+    release()
+    at = 0
+    for b in batches:
+        ends = at + np.cumsum(b["n"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int64)), pa.array(ends - b["n"].to_numpy()), b["doc_id"], b["n"], b["ids"]], names=["part", "at", "doc_id", "n", "ids"])
+        at = int(ends[-1]) if len(ends) else at
+
+
 def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, 16-bit little-endian)."""
     spark = docs.sparkSession
@@ -105,15 +115,12 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1,
                 part = batch.slice(k, 512)
                 ids = [x + end for x in map(tok.encode, part["text"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(curve_keys(ids, signs)), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "key", "n", "ids"])
+        pa.default_memory_pool().release_unused()  # the table stays for the worker's next task
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            ends = at + np.cumsum(b["n"].to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int64)), pa.array(ends - b["n"].to_numpy()), b["doc_id"], b["n"], b["ids"]], names=["part", "at", "doc_id", "n", "ids"])
-            at = int(ends[-1]) if len(ends) else at
+        return placed_at(batches, TaskContext.get().partitionId())
 
     encoded, first = stage(text_of(docs).mapInArrow(encode, "doc_id long, key long, n long, ids binary"), "packing-ids")
     ordered = encoded.repartitionByRange(fan_out(docs), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")

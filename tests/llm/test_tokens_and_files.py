@@ -96,3 +96,15 @@ def test_cut_points_cover_any_stream():
         assert [e for _, e, _, _ in ends][:-1] == [b for b, _, _, _ in ends][1:] and ends[-1][1] == total
         rest = [b - a for a, b, _, _ in ends if b - a != 16]
         assert all(x & (x - 1) == 0 for x in rest)
+
+
+def test_ordering_the_stream_holds_no_encoder():
+    import pyarrow as pa
+    from lumenfold.llm import common
+
+    encoder(WORD).encode("some units")
+    assert common._TABLE
+    batch = pa.RecordBatch.from_pydict({"doc_id": [4, 5], "n": [3, 2], "ids": [b"abcdef", b"abcd"]})
+    rows = [r for b in cp.placed_at(iter([batch, batch.slice(0, 0), batch]), 7) for r in b.to_pylist()]
+    assert [(r["part"], r["at"], r["doc_id"], r["n"]) for r in rows] == [(7, 0, 4, 3), (7, 3, 5, 2), (7, 5, 4, 3), (7, 8, 5, 2)]
+    assert not common._TABLE
