@@ -13,8 +13,8 @@ after it, which Spark sums, against the class bigrams of that first clustering;
 many these are grows with the training rows up to the head. Rarer words keep their
 spelling's class, so every word, seen or not, has a class that a worker knows
 without a lookup. Texts are read twice: to count words, and to write them as ranks
-in the head, which all further passes take. Counts cover all training rows. The driver and the workers hold
-only what a parameter bounds: ``CLUSTERED`` words, symbol bigrams (at most the
+in the head, which all further passes take without any table of words. Counts cover all training rows.
+The driver and the workers hold only what a parameter bounds: ``CLUSTERED`` words, symbol bigrams (at most the
 square of the symbols) and the ``HEAD`` most frequent words' counts and classes;
 counts of rarer words are joined to the documents that use them.
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, stage, text_of, worker_table
+from .common import release, remainder, stage, text_of, worker_table
 
 CLUSTERED, SPELLINGS, CLASSES, HEAD = 2000, 192, 64, 300_000
 SYMBOLS = CLUSTERED + SPELLINGS + 1  # the last is the end token
@@ -55,19 +55,6 @@ def spelling(word: bytes) -> int:
     return CLUSTERED + (word[-1] * 31 + (word[-2] if len(word) > 1 else 0) * 7 + (0 if plain else 101)) % SPELLINGS
 
 
-class Symbols(dict):
-    """Word to symbol; learned spellings are kept up to a bound."""
-
-    def __init__(self, clustered: list[bytes]):
-        super().__init__((w, k) for k, w in enumerate(clustered))
-
-    def __missing__(self, word: bytes) -> int:
-        symbol = spelling(word)
-        if len(self) < 500_000:
-            self[word] = symbol
-        return symbol
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, ends = Counter(), 0
 
@@ -155,27 +142,28 @@ def transitions(pairs: np.ndarray, of: np.ndarray) -> np.ndarray:
 WIDTH = 2 * (CLASSES + 1) + 1  # a word's contexts: the class before, the class after, the word itself after
 
 
-def _lookup(m: dict) -> tuple[dict, Symbols]:
-    """The head's words by rank and the symbols of others; a worker keeps them for all passes."""
-    return worker_table(m["key"], lambda: ({w: k for k, w in enumerate(m["head"].split(b" "))} if m["head"] else {}, Symbols(m["clustered"])))
+CONTEXT = np.dtype([("context", "u1"), ("c", "<u4")])  # as a word's contexts travel
+
+
+def _lookup(m: dict) -> dict[bytes, int]:
+    """The head's words by rank; a worker keeps them from task to task and the next pass over ranks lets them go."""
+    return worker_table(m["key"], lambda: {w: k for k, w in enumerate(m["head"].split(b" "))} if m["head"] else {})
 
 
 def _classes(words: list[bytes], m: dict) -> tuple[np.ndarray, np.ndarray]:
     """Ranks (outside the head the number of its words) and classes of words."""
-    head, symbols = _lookup(m)
-    none = len(m["head_of"])
+    head, none = _lookup(m), len(m["head_of"])
     at = np.array([head.get(w, none) for w in words], np.int64)
     of, inside = np.empty(len(words), np.int64), at < none
     of[inside] = m["head_of"][at[inside]]
-    of[~inside] = m["of"][np.array([symbols[words[k]] for k in np.flatnonzero(~inside).tolist()], np.int64)]
+    of[~inside] = m["of"][np.array([spelling(words[k]) for k in np.flatnonzero(~inside).tolist()], np.int64)]
     return at, of
 
 
 def _rank(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Of each text its words' ranks (a word outside the head: the number of the head's words and its symbol) and, of words outside, each with its symbol and times."""
     m = shared.value
-    head, symbols = _lookup(m)
-    none = len(m["symbols"])
+    head, none = _lookup(m), len(m["symbols"])
     for batch in batches:
         for begin in range(0, batch.num_rows, 2048):
             part = batch.slice(begin, 2048)
@@ -185,17 +173,19 @@ def _rank(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
                 at = np.array([head.get(w, -1) for w in words], np.int32)
                 outside = np.flatnonzero(at < 0).tolist()
                 tail = Counter(words[k] for k in outside)
+                symbols = {w: spelling(w) for w in tail}
                 at[outside] = [none + symbols[words[k]] for k in outside]
                 cols["ranks"].append(at.astype("<i4").tobytes())
                 cols["word"].append([w.decode() for w in tail])
                 cols["times"].append(list(tail.values()))
-                cols["symbol"].append([symbols[w] for w in tail])
+                cols["symbol"].append(list(symbols.values()))
             kinds = (pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], *(pa.array(v, t) for v, t in zip(cols.values(), kinds))], names=["doc_id", "held_out", *cols])
 
 
 def _lines(batches: Iterator[pa.RecordBatch], of: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ranks and what they stand for (of, by rank) of many texts in a row, with an end token (rank -1) before each and after the last."""
+    release()
     stop, held, size = np.array([-1], np.int32), [], 0
 
     def line():
@@ -228,22 +218,50 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Recor
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Of many texts in a row each word that may move, with all its contexts in one value."""
     m = shared.value
     for at, of in _lines(batches, m["by_rank"], CLASSES):
         k = np.flatnonzero((at >= CLUSTERED) & (at < m["grown"]))
         word = at[k] * WIDTH
         found, c = np.unique(np.concatenate([word + of[k - 1], word + CLASSES + 1 + of[k + 1], (word + WIDTH - 1)[at[k] == at[k + 1]]]), return_counts=True)
-        for i in range(0, len(found), 500_000):
-            yield pa.RecordBatch.from_pydict({"word": pa.array(found[i : i + 500_000] // WIDTH), "context": pa.array(found[i : i + 500_000] % WIDTH), "c": pa.array(c[i : i + 500_000])})
+        body = np.empty(len(found), CONTEXT)
+        body["context"], body["c"] = found % WIDTH, c
+        words, first = np.unique(found // WIDTH, return_index=True)
+        ends = np.r_[first, len(found)]
+        for i in range(0, len(words), 50_000):
+            cut = ends[i : i + 50_001]
+            offsets = ((cut - cut[0]) * CONTEXT.itemsize).astype(np.int32)
+            values = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body[cut[0] : cut[-1]].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000]), values], names=["word", "contexts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words and their counts by context (a row of WIDTH each); a word's rows stand together, the last one of a batch may go on in the next."""
+    last, rest = np.zeros(0, np.int64), np.zeros((0, WIDTH))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words, at = np.unique(batch["word"].to_numpy(), return_inverse=True)
+        bodies = batch["contexts"].to_pylist()
+        body = np.frombuffer(b"".join(bodies), CONTEXT)
+        at = np.repeat(at, [len(b) // CONTEXT.itemsize for b in bodies])
+        lines = np.bincount(at * WIDTH + body["context"], body["c"], len(words) * WIDTH).reshape(-1, WIDTH)
+        if len(last) and last[0] == words[0]:
+            lines[0] += rest[0]
+        elif len(last):
+            yield last, rest
+        yield words[:-1], lines[:-1]
+        last, rest = words[-1:], lines[-1:]
+    yield last, rest
 
 
 def _exchange_words(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """The best class of each word by its contexts, all else as in the first clustering."""
+    """The best class of each word by its contexts, all else as in the first clustering; rows come in order of their words."""
+    release()
     m = shared.value
-    for batch in batches:
+    for words, lines in _summed(batches):
         best = []
-        for word, contexts in zip(batch["word"].to_pylist(), batch["contexts"]):
-            line = np.bincount(contexts.values.field("context").to_numpy(), contexts.values.field("c").to_numpy(), WIDTH)
+        for word, line in zip(words.tolist(), lines):
             into, out, own, a = line[: CLASSES + 1].copy(), line[CLASSES + 1 : -1].copy(), line[-1], m["head_of"][word]
             weight, matrix, totals = into.sum(), m["matrix"].copy(), m["matrix"].sum(axis=0)
             matrix[a] -= out
@@ -255,7 +273,7 @@ def _exchange_words(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Re
             gain = gains(np.maximum(matrix, 0), np.maximum(totals, 0), out, into, own, weight)
             b = int(np.argmax(gain[:CLASSES]))
             best.append(b if gain[b] > gain[a] + 1e-9 else int(a))
-        yield pa.RecordBatch.from_pydict({"word": batch["word"], "class": pa.array(best, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"word": pa.array(words), "class": pa.array(best, pa.int64())})
 
 
 def _count_classes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -265,7 +283,20 @@ def _count_classes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_pydict({"pair": pa.array(np.arange(len(total))), "c": pa.array(total)})
 
 
+def _count_spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By spelling (and for the end token) the words and their occurrences."""
+    release()
+    kinds, tokens = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
+    for b in batches:
+        at = np.array([spelling(w.encode()) if w else END for w in b["word"].to_pylist()], np.int64)
+        kinds += np.bincount(at, minlength=SYMBOLS)
+        np.add.at(tokens, at, b["c"].to_numpy())
+    at = np.flatnonzero(kinds)
+    yield pa.RecordBatch.from_pydict({"symbol": pa.array(at), "kinds": pa.array(kinds[at]), "tokens": pa.array(tokens[at])})
+
+
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    release()
     m = shared.value
     none = len(m["base"]) - 1  # the row of the head's table for words outside
     for batch in batches:
@@ -304,8 +335,8 @@ def fit(rows: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
     head, head_counts = [w.as_py().encode() for w in frequent["word"]], frequent["c"].to_numpy().astype(np.float64)
     clustered = head[:CLUSTERED]
 
-    symbols = Symbols(clustered)
-    model = {"key": uuid.uuid4().hex, "head": b" ".join(head), "clustered": clustered, "symbols": np.array([symbols[w] for w in head], np.int64)}
+    spelled = np.array([spelling(w) for w in head], np.int64)
+    model = {"key": uuid.uuid4().hex, "head": b" ".join(head), "symbols": np.r_[np.arange(len(clustered)), spelled[len(clustered) :]]}
     looked = spark.sparkContext.broadcast(model)
     ranked, _ = stage(rows.mapInArrow(lambda b: _rank(b, looked), "doc_id long, held_out boolean, ranks binary, word array<string>, times array<long>, symbol array<long>"), "ranks")
     train = ranked.where("not held_out").select("ranks")  # from here on no text is read
@@ -323,32 +354,24 @@ def fit(rows: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
     del pairs
     first = spark.sparkContext.broadcast({**plain, "head_of": head_of, "by_rank": _by_rank(of, head_of)})
     if grown > CLUSTERED:
-        contexts = train.mapInArrow(lambda b: _count_contexts(b, first), "word long, context long, c long").groupBy("word", "context").agg(F.sum("c").alias("c"))
-        contexts = contexts.groupBy("word").agg(F.collect_list(F.struct("context", "c")).alias("contexts"))
-        moved = contexts.mapInArrow(lambda b: _exchange_words(b, first), "word long, class long").toArrow()
+        contexts = train.mapInArrow(lambda b: _count_contexts(b, first), "word long, contexts binary")
+        moved = contexts.repartition("word").sortWithinPartitions("word").mapInArrow(lambda b: _exchange_words(b, first), "word long, class long").toArrow()
         head_of = head_of.copy()
         head_of[moved["word"].to_numpy()] = moved["class"].to_numpy()
     model = {**model, "of": of, "head_of": head_of, "by_rank": _by_rank(of, head_of)}
-    second = spark.sparkContext.broadcast(model)
+    second = spark.sparkContext.broadcast({"by_rank": model["by_rank"]})
     found = train.mapInArrow(lambda b: _count_classes(b, second), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     pairs = np.zeros((CLASSES + 1) ** 2)
     pairs[found["pair"].to_numpy()] = found["c"].to_numpy()
     pairs = pairs.reshape(CLASSES + 1, CLASSES + 1)
 
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, tokens = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
-        for b in batches:
-            words = [w.encode() for w in b["word"].to_pylist()]
-            at = _classes([w or b" " for w in words], second.value)[1]
-            at[np.array([not w for w in words], bool)] = CLASSES
-            kinds += np.bincount(at, minlength=CLASSES + 1)
-            np.add.at(tokens, at, b["c"].to_numpy())
-        yield pa.RecordBatch.from_pydict({"class": pa.array(np.arange(CLASSES + 1)), "kinds": pa.array(kinds), "tokens": pa.array(tokens)})
-
-    sizes = counts.mapInArrow(by_class, "class long, kinds long, tokens long").groupBy("class").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).toArrow()
-    kinds, tokens = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    kinds[sizes["class"].to_numpy()] = sizes["kinds"].to_numpy()
-    tokens[sizes["class"].to_numpy()] = sizes["tokens"].to_numpy()
+    sizes = counts.mapInArrow(_count_spellings, "symbol long, kinds long, tokens long").groupBy("symbol").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).toArrow()
+    sums = []
+    for c, own in (("kinds", np.ones(len(head))), ("tokens", head_counts)):
+        others = -np.bincount(spelled, own, SYMBOLS)  # the head's words have classes of their own
+        others[sizes["symbol"].to_numpy()] += sizes[c].to_numpy()
+        sums.append(np.bincount(np.r_[head_of, of], np.r_[own, others], CLASSES + 1))
+    kinds, tokens = sums
     rare = np.log10(tokens + ADDED * (kinds + 1))  # what a class's emissions are divided by
     under = math.log10(total + types + 1)
     ends = float(tokens[CLASSES])
@@ -362,7 +385,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = text_of(docs, (remainder(mod) == held).alias("held_out"))
     model, counts, ranked = fit(rows)
-    scoring = {k: v for k, v in model.items() if k not in ("head", "clustered", "symbols")}
+    scoring = {k: v for k, v in model.items() if k not in ("head", "symbols")}
     shared, under = docs.sparkSession.sparkContext.broadcast(scoring), model["under"]
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, model double, word array<string>, times array<long>, rare array<double>"
     scored, _ = stage(ranked.mapInArrow(lambda b: _score(b, shared), schema).withColumn("row", F.monotonically_increasing_id()), "scores")

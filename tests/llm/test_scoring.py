@@ -223,6 +223,50 @@ def test_rare_words_are_joined(monkeypatch, docs):
     assert few == [w[:3] for w in whole]
 
 
+def test_passes_over_ranks_hold_no_table_of_words():
+    from types import SimpleNamespace as Shared
+
+    import pyarrow as pa
+
+    from lumenfold.llm import common
+
+    few = {"by_rank": np.arange(4) % class_lm.CLASSES, "grown": 0, "symbols": np.arange(4), "matrix": np.zeros((65, 65)), "head_of": np.zeros(4, np.int64)}
+    ranks, words = pa.RecordBatch.from_pydict({"ranks": [np.array([0, 3, 1], "<i4").tobytes()]}), pa.RecordBatch.from_pydict({"word": ["some", ""], "c": [2, 1]})
+    passes = [(class_lm._count_pairs, ranks, 1), (class_lm._count_contexts, ranks, 1), (class_lm._count_classes, ranks, 1), (class_lm._exchange_words, ranks.slice(0, 0), 1), (class_lm._count_spellings, words, 0), (class_lm._score, ranks.slice(0, 0), 1)]
+    for of, batch, shares in passes:
+        common.worker_table("words", lambda: {b"some": 0})
+        shared = Shared(value={**few, "base": np.zeros(5)})
+        list(of(iter([batch][: batch.num_rows]), *[shared] * shares))
+        assert not common._TABLE, of
+
+
+def test_contexts_are_a_row_a_word():
+    """Texts' contexts come a row for each word, not for each context, and add up to counts over all bigrams, however batches cut a word's rows."""
+    from types import SimpleNamespace as Shared
+
+    import pyarrow as pa
+
+    rng, least = np.random.default_rng(4), class_lm.CLUSTERED
+    by_rank = np.arange(least + 40) % class_lm.CLASSES
+    texts = [rng.integers(least - 5, least + 30, rng.integers(0, 50)).astype("<i4") for _ in range(300)]
+    shared, rows, want = Shared(value={"by_rank": by_rank, "grown": least + 25}), [], collections.Counter()
+    for k in range(0, 300, 100):
+        out = list(class_lm._count_contexts(iter([pa.RecordBatch.from_pydict({"ranks": [t.tobytes() for t in texts[k : k + 100]]})]), shared))
+        words = [w for b in out for w in b["word"].to_pylist()]
+        assert len(words) == len(set(words)) == 25
+        rows += [r for b in out for r in b.to_pylist()]
+    end = class_lm.CLASSES
+    for t in texts:
+        of = [end, *by_rank[t].tolist(), end]
+        for k, w in enumerate(t.tolist()):
+            if least <= w < least + 25:
+                want.update([(w, of[k]), (w, end + 1 + of[k + 2])] + [(w, class_lm.WIDTH - 1)] * int(k + 1 < len(t) and t[k + 1] == w))
+    table = pa.Table.from_pylist(sorted(rows, key=lambda r: r["word"]))
+    got = list(class_lm._summed(table.slice(k, 4).combine_chunks().to_batches()[0] for k in range(0, len(rows), 4)))
+    assert {(int(w), int(c)): int(line[c]) for ws, lines in got for w, line in zip(ws, lines) for c in np.flatnonzero(line)} == want
+    assert sum(len(ws) for ws, _ in got) == 25
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(2)
     kinds = np.arange(31) % 3
