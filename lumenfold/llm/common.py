@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,9 @@ BATCH_BYTES = 8 << 20
 
 _TABLE: dict = {}
 
+#: Paths of the tables staged within the innermost ``stage_alone``, if any.
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
 
 def worker_table(key, make):
     """The one large table that a Python worker keeps between tasks; making another lets it go."""
@@ -65,10 +70,25 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes df to the shared folder and reads it back: lineage ends, lost executors cost no recomputation."""
     spark = df.sparkSession
     path = scratch(spark, label)
+    if (staged := _STAGED.get()) is not None:
+        staged.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def stage_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, str]:
+    """Stages what make returns and deletes all tables that were staged on the way to it, so none outlasts its use."""
+    outer, path = _STAGED.set(staged := []), None
+    try:
+        out, path = stage(make(), label)
+    finally:
+        _STAGED.reset(outer)
+        drop(spark, *(p for p in staged if p != path))
+    if (around := _STAGED.get()) is not None:
+        around.append(path)
+    return out, path
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes staged tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stage, text_of
+from .common import row_key, stage, stage_alone, text_of
 from .fm_index import FMIndex, interval_minima
 
 WINDOW, GRAM = 13, 5
@@ -359,6 +359,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     without a text are kept as they are; without documents none come back.
     """
     given = docs.select(*(k.alias(c) for k, c in zip(row_key(), ("k1", "k2"))), F.struct(*docs.columns).alias("row"))
-    found = repeated_spans(docs, keyed=True).where("n_removed > 0").select("k1", "k2", "spans").dropDuplicates(["k1", "k2"])
-    found, _ = stage(found, "spans")
+    spans = lambda: repeated_spans(docs, keyed=True).where("n_removed > 0").select("k1", "k2", "spans").dropDuplicates(["k1", "k2"])
+    found, _ = stage_alone(docs.sparkSession, spans, "spans")
     return given.join(found, ["k1", "k2"], "left").select("spans", "row").mapInArrow(_cut, docs.schema)

@@ -1,4 +1,8 @@
+from pathlib import Path
+
 import corpus_pipeline
+import pytest
+from lumenfold.llm import common
 from lumenfold.llm.queries import oracle_sql, queries
 
 
@@ -19,6 +23,31 @@ def test_run_equals_its_stages(spark, sf):
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 0
 
 
+def test_stages_leave_only_what_their_results_read(spark, docs, sf):
+    """The next stage's disk holds no table that the stage before it staged for itself, and the results are whole."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    for step, left in ((corpus_pipeline.near_dedup, "kept"), (corpus_pipeline.substring_dedup, "spans")):
+        before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+        rows = step(spark, docs, sf)
+        assert [p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before] == [left]
+        assert rows.count() > 40
+
+
+def test_tables_of_a_failed_step_go(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+
+    def fails():
+        common.stage(spark.range(3), "half")
+        raise ValueError("half way")
+
+    with pytest.raises(ValueError, match="half way"):
+        common.stage_alone(spark, fails, "whole")
+    assert not list(folder.glob("half-*")) + list(folder.glob("whole-*"))
+    inner = lambda: common.stage_alone(spark, lambda: common.stage(spark.range(5), "half")[0], "inner")[0]
+    out, _ = common.stage_alone(spark, inner, "whole")
+    assert out.count() == 5 and not list(folder.glob("half-*")) + list(folder.glob("inner-*"))
+
+
 def test_registry():
     assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())
