@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
@@ -23,6 +24,9 @@ _TABLE: dict = {}
 #: Paths of the tables staged within the innermost ``stage_alone``, if any.
 _STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
+#: Spark's setting that deletes a query's shuffle files at its end; else they stay until the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def worker_table(key, make):
     """The one large table that a Python worker keeps between tasks; making another lets it go."""
@@ -76,11 +80,23 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within it a query's shuffle files go with its end; a query that runs again over its old plan makes them anew."""
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
+
+
 def stage_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, str]:
-    """Stages what make returns and deletes all tables that were staged on the way to it, so none outlasts its use."""
+    """Stages what make returns and deletes all tables that were staged on the way to it, and the shuffle files of each once it is written, so none outlasts its use."""
     outer, path = _STAGED.set(staged := []), None
     try:
-        out, path = stage(make(), label)
+        with shuffles_go(spark):
+            out, path = stage(make(), label)
     finally:
         _STAGED.reset(outer)
         drop(spark, *(p for p in staged if p != path))

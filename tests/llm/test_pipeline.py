@@ -1,9 +1,12 @@
+import re
+import time
 from pathlib import Path
 
 import corpus_pipeline
 import pytest
 from lumenfold.llm import common
 from lumenfold.llm.queries import oracle_sql, queries
+from pyspark.sql import functions as F
 
 
 def test_stages_in_order(spark, sf):
@@ -48,6 +51,33 @@ def test_tables_of_a_failed_step_go(spark):
     assert out.count() == 5 and not list(folder.glob("half-*")) + list(folder.glob("inner-*"))
 
 
+def test_shuffles_of_a_step_go_with_it(spark):
+    """While the next step runs, the disk holds no shuffle of the step before, though its frame is still there."""
+    files = lambda: set(re.findall(r"shuffle_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().toString()))
+    setting, seen = spark.conf.get(common.SHUFFLES_GO, None), {}
+
+    def steps():
+        before, rows = files(), spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).count()
+        out, _ = common.stage(rows, "half")
+        until = time.time() + 15
+        while (left := files() - before) and time.time() < until:  # Spark deletes them in the background
+            time.sleep(0.1)
+        seen["left"] = left
+        seen["twice"] = [sorted(map(tuple, rows.collect())) for _ in range(2)]
+        return out.groupBy("count").agg(F.count("*").alias("n"))
+
+    out, _ = common.stage_alone(spark, steps, "whole")
+    assert seen["left"] == set()
+    assert seen["twice"] == [[(k, 104 if k < 9 else 103) for k in range(97)]] * 2
+    assert sorted(map(tuple, out.collect())) == [(103, 88), (104, 9)]
+    assert spark.conf.get(common.SHUFFLES_GO, None) == setting
+    spark.conf.set(common.SHUFFLES_GO, "false")
+    with pytest.raises(ZeroDivisionError):
+        common.stage_alone(spark, lambda: 1 // 0, "whole")
+    assert spark.conf.get(common.SHUFFLES_GO) == "false"
+    spark.conf.unset(common.SHUFFLES_GO)
+
+
 def test_registry():
     assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
     assert set(oracle_sql()) <= set(queries())
