@@ -60,27 +60,37 @@ def sessionize(rows: DataFrame, keys: list[str] = (), ts: str = "ts", order: str
 def nearest_in_time(queries: DataFrame, refs: DataFrame, ts: str, order: str, carry: list[str], max_hours: int = 24) -> DataFrame:
     """Each query with the nearest reference within max_hours before it or at or after it; a tie goes to the earlier.
 
-    Time is cut into spans of max_hours; a reference stands in its own span and the
-    two beside it, where every query that may take it is. Both sides are unioned and
-    scanned once a span; references at a query's own time come after it. Columns:
-    the query's, `ref_<c>` for c in carry, `seconds`.
+    Distinct times are met, not rows: a time of references has its first and its last
+    by order, references at a query's own time come after it. Windows run per cell of
+    time, a 1440th of max_hours, and only look back, as a frame up to the end would be
+    summed anew for every row. What a cell needs of those beside it comes from a table
+    with a row a cell, in spans of max_hours; a cell with references stands in its own
+    span and the two beside it. Columns: the query's, `ref_<c>` for c in carry, `seconds`.
     """
-    micros, width = F.unix_micros(F.col(ts).cast("timestamp")), max_hours * 3_600_000_000
-    span = F.floor(micros / width)
-    kind = refs.select(F.struct(*carry)).schema[0].dataType
-    q = queries.select(F.lit(0).alias("side"), F.col(order).alias("o_"), micros.alias("t_"), span.alias("span"), F.struct(*queries.columns).alias("row"), F.lit(None).cast(kind).alias("ref"))
-    r = refs.select(F.lit(1).alias("side"), F.col(order).alias("o_"), micros.alias("t_"), F.explode(F.sequence(span - 1, span + 1)).alias("span"), F.lit(None).cast(q.schema["row"].dataType).alias("row"), F.struct(*carry).alias("ref"))
-    w = Window.partitionBy("span").orderBy("t_", "side", "o_")
-    found = F.when(F.col("side") == 1, F.struct("t_", "ref"))
-    last = F.last(found, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.first(found, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    both = q.unionByName(r).withColumns({"b_": last, "a_": first}).where("side = 0")
+    reach, cells = max_hours * 3_600_000_000, 1440
+    t = F.unix_micros(F.col(ts).cast("timestamp")).alias("t_")
+    r = refs.select(t, F.struct(order).alias("o_"), F.struct(*carry).alias("ref_")).where("t_ IS NOT NULL")
+    r = r.groupBy("t_").agg(F.min_by("ref_", "o_").alias("lo_"), F.max_by("ref_", "o_").alias("hi_"))
+    asked = queries.select(t).where("t_ IS NOT NULL").distinct()
+    times = asked.withColumn("side_", F.lit(0)).unionByName(r.withColumn("side_", F.lit(1)), allowMissingColumns=True).withColumn("cell_", F.floor(F.col("t_") / (reach // cells)))
+    is_ref = F.col("side_") == 1
+    before = lambda x, *by: F.last(x, ignorenulls=True).over(by[0].orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, -1))
+    lo, hi = (F.struct("t_", F.col(c).alias("ref")) for c in ("lo_", "hi_"))
+    own = Window.partitionBy("cell_")
+    near = times.withColumns({"b_": before(F.when(is_ref, hi), own, "t_", "side_"), "a_": before(F.when(is_ref, lo), own, F.desc("t_"), F.desc("side_"))}).where(~is_ref)
+    # the last reference of the cells before a cell, the first of those after it
+    table = times.groupBy("cell_").agg(F.min_by(lo, F.when(is_ref, F.col("t_"))).alias("first_"), F.max_by(hi, F.when(is_ref, F.col("t_"))).alias("last_")).withColumn("span_", F.floor(F.col("cell_") / cells))
+    beside = table.where("last_ IS NOT NULL").withColumn("span_", F.explode(F.array(F.col("span_") - 1, F.col("span_") + 1)))
+    span = Window.partitionBy("span_")
+    table = table.withColumn("own_", F.lit(True)).unionByName(beside.withColumn("own_", F.lit(False)))
+    table = table.withColumns({"back_": before(F.col("last_"), span, "cell_"), "ahead_": before(F.col("first_"), span, F.desc("cell_"))}).where("own_").select("cell_", "back_", "ahead_")
+    near = near.join(table, "cell_").select("t_", F.coalesce("b_", "back_").alias("b_"), F.coalesce("a_", "ahead_").alias("a_"))
     back, ahead = F.col("t_") - F.col("b_.t_"), F.col("a_.t_") - F.col("t_")
     pick = F.when(F.col("b_").isNull(), F.col("a_")).when(F.col("a_").isNull() | (back <= ahead), F.col("b_")).otherwise(F.col("a_"))
-    out = both.withColumn("pick_", pick).withColumn("seconds", F.abs(F.col("pick_.t_") - F.col("t_")) / 1e6)
-    hit = F.col("seconds") <= max_hours * 3600
+    near = near.withColumn("pick_", pick).select("t_", "pick_.ref", (F.abs(F.col("pick_.t_") - F.col("t_")) / 1e6).alias("seconds_")).where(F.col("seconds_") <= max_hours * 3600)
     # a query without a time has no nearest
-    return out.select("row.*", *(F.when(hit, F.col(f"pick_.ref.{c}")).alias(f"ref_{c}") for c in carry), F.when(hit, F.col("seconds")).alias("seconds"))
+    out = queries.select(t, F.struct(*queries.columns).alias("row")).join(near, "t_", "left")
+    return out.select("row.*", *(F.col(f"ref.{c}").alias(f"ref_{c}") for c in carry), F.col("seconds_").alias("seconds"))
 
 
 def fill_from_sequence(rows: DataFrame, keys: list[str], number: str, name: str, date: str, most: int = 50, days: int = 7) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -78,6 +79,26 @@ def test_reverse_geocode_matches_a_loop(spark):
         assert got[p] == want, p
 
 
+def looks_ahead(df):
+    """Whether a window's frame runs from near a row to its partition's end, which is summed anew for every row."""
+    return re.search(r"specifiedwindowframe\(\w+, (?!unboundedpreceding)[^,]+, unboundedfollowing", df._jdf.queryExecution().optimizedPlan().toString(), re.I) is not None
+
+
+def test_nearest_in_time_far_cells_ties_and_cost(spark):
+    rng = random.Random(11)
+    at = lambda hours: datetime(1969, 12, 20) + timedelta(hours=hours, microseconds=rng.choice([0, 0, 0, 1]))
+    refs = [(k, at(rng.choice([0, 24, 24, 30, 100.5, 300, 300, 400 + k / 60])), k % 3) for k in range(60)] + [(99, None, 1)]
+    queries = [(k, at(rng.choice([0, 12, 24, 27, 48, 54, 70, 124.5, 276, 324, 350, 390, 400 + k / 50, 700]))) for k in range(120)] + [(120, None), (120, None)]
+    out = timeline.nearest_in_time(frame(spark, queries, "id long, ts timestamp_ntz"), frame(spark, refs, "id long, ts timestamp_ntz, t_ long"), "ts", "id", ["id", "t_"])
+    want = []
+    for k, t in queries:
+        met = [(abs(t - u), u >= t, i if u >= t else -i, i, a) for i, u, a in refs if t and u and abs(t - u) <= timedelta(hours=24)]
+        gap, _, _, i, a = min(met) if met else (None,) * 5
+        want.append((k, t, i, a, gap.total_seconds() if met else None))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert not looks_ahead(out)
+
+
 def test_nearest_within_is_strict(spark):
     p = frame(spark, [(1, 0.0, 0.0), (2, 0.049, 0.0), (3, 5.0, 5.0)], "id long, lat double, lon double")
     r = frame(spark, [(9, 0.05, 0.0, "a"), (8, 0.0, 0.01, "b")], "id long, lat double, lon double, date string")
