@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 from lumenfold.operators import grouping, image, inference, models, nearest, tables, timeline
+from lumenfold.plans.queries import QUERIES
 from pyspark.sql import functions as F
 
 T0 = datetime(2020, 1, 1)
@@ -99,6 +100,10 @@ def test_nearest_in_time_far_cells_ties_and_cost(spark):
     assert not looks_ahead(out)
 
 
+def test_location_inference_never_looks_ahead(spark, sf):
+    assert not looks_ahead(QUERIES["location_inference"](spark, sf))
+
+
 def test_nearest_within_is_strict(spark):
     p = frame(spark, [(1, 0.0, 0.0), (2, 0.049, 0.0), (3, 5.0, 5.0)], "id long, lat double, lon double")
     r = frame(spark, [(9, 0.05, 0.0, "a"), (8, 0.0, 0.01, "b")], "id long, lat double, lon double, date string")
