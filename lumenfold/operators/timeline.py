@@ -105,16 +105,16 @@ def fill_from_sequence(rows: DataFrame, keys: list[str], number: str, name: str,
     w = whole.orderBy(number, name)
     rows = rows.where(n.isNotNull()).withColumn("ts_", to_ts(F.col(date))).withColumn("good_", ~low_confidence(F.col("ts_")))
     ref = F.when(F.col("good_"), F.struct(n.alias("n"), F.col(date).alias("d"), F.col("ts_").alias("t")))
-    rows = rows.withColumns({
-        "rows_": F.count("*").over(whole), "goods_": F.sum(F.col("good_").cast("int")).over(whole),
-        "b_": F.last(ref, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "a_": F.first(ref, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-    })
+    earlier = lambda over: F.last(ref, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"at_": F.row_number().over(w), "b_": earlier(w)})
+    # looked for in descending order: a frame up to the end would be summed anew for every row
+    rows = rows.withColumns({"rows_": F.count("*").over(whole), "goods_": F.sum(F.col("good_").cast("int")).over(whole), "a_": earlier(whole.orderBy(F.desc("at_")))})
     back, ahead = n - F.col("b_.n"), F.col("a_.n") - n
     agree = F.abs(floor_days(F.col("a_.t"), F.col("b_.t"))) <= days
     both = F.col("b_").isNotNull() & F.col("a_").isNotNull()
     filled = F.when(both, F.when((F.least(back, ahead) <= most) & agree, F.col("b_.d"))).when(F.col("b_").isNotNull(), F.when(back <= most, F.col("b_.d"))).otherwise(F.when(ahead <= most, F.col("a_.d")))
     usable = ~F.col("good_") & (F.col("rows_") >= 2) & (F.col("goods_") >= 2)
-    return rows.withColumn("filled", F.when(usable, filled)).drop("ts_", "good_", "rows_", "goods_", "b_", "a_")
+    return rows.withColumn("filled", F.when(usable, filled)).drop("ts_", "good_", "at_", "rows_", "goods_", "b_", "a_")
 
 
 def consensus_month(rows: DataFrame, keys: list[str], date: str, share: float = 0.7, least: int = 3) -> DataFrame:

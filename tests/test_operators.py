@@ -141,6 +141,27 @@ def test_sequence_fill_rules(spark):
     assert got["e", 1] is None  # one trustworthy row only
 
 
+def test_sequence_fill_never_looks_ahead(spark):
+    rng = random.Random(3)
+    good = lambda t: t and not t.endswith("T00:00:00")
+    rows = [("d", n, f"f{n:06d}{k}", rng.choice([None, "2019-05-01T00:00:00", f"2019-05-{1 + n % 28:02d}T10:00:00"])) for k, n in enumerate(sorted(rng.choices(range(3000), k=200)))]
+    out = timeline.fill_from_sequence(frame(spark, rows, "dir string, number long, name string, date string"), ["dir"], "number", "name", "date")
+    day = lambda t: datetime.fromisoformat(t)
+    rows.sort(key=lambda r: (r[1], r[2]))
+    want = {}
+    for i, (_, n, name, t) in enumerate(rows):
+        b, a = (next((r for r in side if good(r[3])), None) for side in (rows[:i][::-1], rows[i + 1 :]))
+        if good(t):
+            want[name] = None
+        elif a and b:
+            want[name] = b[3] if min(n - b[1], a[1] - n) <= 50 and abs((day(a[3]) - day(b[3])).total_seconds() // 86400) <= 7 else None
+        else:
+            r = b or a
+            want[name] = r[3] if abs(r[1] - n) <= 50 else None
+    assert {r.name: r.filled for r in out.collect()} == want and any(want.values())
+    assert not looks_ahead(out)
+
+
 def test_consensus(spark):
     rows = [(1, "a", "2019-05-10T10:00:00"), (2, "a", "2019-05-11T10:00:00"), (3, "a", "2019-05-12T10:00:00"), (4, "a", "1970-01-20T00:00:00"), (5, "a", None), (6, "a", "2019-06-12T10:00:00"), (7, "b", "2019-05-10T10:00:00"), (8, "b", None)]
     got = {r.id: r.filled for r in timeline.consensus_month(frame(spark, rows, "id long, dir string, date string"), ["dir"], "date").collect()}
