@@ -1,4 +1,4 @@
-"""Similarity and distance joins by cells and bands, never all pairs."""
+"""Similarity and distance joins by cells, bands and runs of characters, never all pairs."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km, planar_degrees
 
 KM_PER_DEGREE = 111.0
+PARTS = 8
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -70,25 +71,18 @@ def hamming_nearest(queries: DataFrame, refs: DataFrame, word: str, most: int =
     return queries.join(best, queries[word] == best["qword_"], "left").select(*queries.columns, "b_.ref_id", "b_.distance")
 
 
-def _grams(name: Column) -> Column:
-    """All distinct runs of one, two or three characters."""
-    runs = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.substring(name, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
-
-
-def _one_gram(name: Column) -> Column:
-    """One run of three characters, or the whole of a shorter name: any text around the name has it, too. By hash, so names spread."""
-    n = F.least(F.length(name), F.lit(3))
-    runs = F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda k: F.substring(name, k, n))
-    return F.when(F.length(name) > 0, F.array_min(F.transform(runs, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+def _runs(text: Column, lengths: Column) -> Column:
+    """All distinct runs of text of so many characters."""
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(text)), lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(text, k, n)))))
 
 
 def contained_name(queries: DataFrame, places: DataFrame, top: int = 50_000) -> DataFrame:
     """Each distinct `name` (and `cc`) of queries with a place: equal names first, else the first by `ord` of which one name contains the other.
 
     If queries and places have a country code `cc`, a query with one takes places of that country only; of
-    equal names only the most populous place counts. Containment is looked for among the ``top`` places;
-    names meet by a run of three characters of the contained one, so not all pairs are tried. An empty name has no place.
+    equal names only the most populous place counts. Either side's runs of characters that are as long as some
+    name of the other meet the other's whole names, so only names that fit are met.
+    Containment is looked for among the ``top`` places. An empty name has no place.
     """
     keys = ["name", "cc"] if "cc" in queries.columns and "cc" in places.columns else ["name"]
     q = queries.select(*keys).distinct().withColumn("low_", F.lower(F.trim("name"))).withColumn("q_", F.struct(*keys))
@@ -96,10 +90,16 @@ def contained_name(queries: DataFrame, places: DataFrame, top: int = 50_000) ->
     fits = F.col("cc").isNull() | F.coalesce(F.upper("cc") == F.upper("pcc_"), F.lit(False)) if "cc" in keys else F.lit(True)
     largest = p.groupBy("plow_").agg(F.min_by(F.struct(*[c for c in p.columns if c != "plow_"]), "ord").alias("p_")).select("plow_", "p_.*")
     exact = q.join(largest, q["low_"] == largest["plow_"]).where(fits).select("q_", F.col("place").alias("exact_"))
-    few = p.where(F.col("ord") <= top)
-    all_of = lambda df, c: df.withColumn("gram_", F.explode(_grams(F.col(c))))
-    one_of = lambda df, c: df.withColumn("gram_", _one_gram(F.col(c)))
-    inside = one_of(q, "low_").join(all_of(few, "plow_"), "gram_").where(F.contains("plow_", "low_"))
-    around = all_of(q, "low_").join(one_of(few, "plow_"), "gram_").where(F.contains("low_", "plow_"))
-    loose = inside.unionByName(around).where(fits).groupBy("q_").agg(F.min_by("place", "ord").alias("loose_"))
+    # of equal names (of a country) only the first can be the first that fits
+    country = ["pcc_"] if "cc" in keys else []
+    first = p.where(F.col("ord") <= top).groupBy("plow_", *country).agg(F.min("ord").alias("ord"))
+    lengths = lambda df, c: F.broadcast(df.select(F.length(c).alias("n_")).where("n_ > 0").agg(F.array_sort(F.collect_set("n_")).alias("lengths_")))
+    run = lambda df, c, by: df.repartition(PARTS * PARTS, c).crossJoin(by).withColumn("run_", F.explode(_runs(F.col(c), F.col("lengths_")))).drop("lengths_")
+    lows = q.select("low_").distinct()
+    parts = run(first, "plow_", lengths(lows, "low_")).groupBy("run_", *country).agg(F.min("ord").alias("ord"))
+    inside = q.join(parts, q["low_"] == parts["run_"]).where(fits).select("q_", "ord")
+    around = run(lows, "low_", lengths(first, "plow_")).join(first, F.col("run_") == F.col("plow_")).select("low_", "ord", *country)
+    around = q.join(around.groupBy("low_", *country).agg(F.min("ord").alias("ord")), "low_").where(fits).select("q_", "ord")
+    loose = inside.unionByName(around).groupBy("q_").agg(F.min("ord").alias("ord"))
+    loose = loose.join(p.groupBy("ord").agg(F.min("place").alias("loose_")), "ord").select("q_", "loose_")
     return q.select("q_").join(exact, "q_", "left").join(loose, "q_", "left").select("q_.*", F.coalesce("exact_", "loose_").alias("place"))

@@ -131,6 +131,22 @@ def test_names_contained(spark):
     assert got == {("Paris", "US"): "Paris Hill", ("Paris", "fr"): "Paris", ("Paris", None): "Paris", ("Par", "US"): "Paris Hill", ("x", None): None, ("o", "GB"): "London", ("", None): None}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_alike_names_meet_as_wholes(spark):
+    p = [(k, f"Supplier#{k:09d}") for k in range(1200)] + [(1200 + k, f"#{k:05d}") for k in range(300)] + [(1600, "é#"), (1601, "é#")]
+    q = [f"supplier#{7 * k:09d}" for k in range(300)] + [f"#00000{k}" for k in range(300)] + ["0", "r#", " Supplier#000000003x", "xé#0", "É", "", " ", None]
+    out = nearest.contained_name(frame(spark, [(x,) for x in q], "name string"), frame(spark, p, "ord long, name string"))
+    got = {r.name: r.place for r in out.collect()}
+    for x in q:
+        low = (x or "").strip().lower()
+        want = next((n for _, n in p if n.lower() == low), None) or next((n for _, n in p if n.lower() in low or low in n.lower()), None)
+        assert got[x] == (want if low else None), x
+    assert len(got) == len(q) and "contains(" not in plan_of(out)  # no pair is met that does not fit
+
+
 def test_sequence_fill_rules(spark):
     rows = [("d", 1, "2019-05-01T10:00:00"), ("d", 5, None), ("d", 9, "2019-05-03T10:00:00"), ("d", 40, None), ("d", 90, "2019-09-01T10:00:00"), ("d", 141, None), ("d", 139, None), ("e", 1, None), ("e", 2, "2019-05-01T10:00:00")]
     out = timeline.fill_from_sequence(frame(spark, [(d, n, f"f{n:04d}", t) for d, n, t in rows], "dir string, number long, name string, date string"), ["dir"], "number", "name", "date")
