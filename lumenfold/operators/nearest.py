@@ -76,13 +76,12 @@ def _runs(text: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(text)), lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(text, k, n)))))
 
 
-def contained_name(queries: DataFrame, places: DataFrame, top: int = 50_000) -> DataFrame:
+def contained_name(queries: DataFrame, places: DataFrame) -> DataFrame:
     """Each distinct `name` (and `cc`) of queries with a place: equal names first, else the first by `ord` of which one name contains the other.
 
     If queries and places have a country code `cc`, a query with one takes places of that country only; of
     equal names only the most populous place counts. Either side's runs of characters that are as long as some
-    name of the other meet the other's whole names, so only names that fit are met.
-    Containment is looked for among the ``top`` places. An empty name has no place.
+    name of the other meet the other's whole names, so only names that fit are met. An empty name has no place.
     """
     keys = ["name", "cc"] if "cc" in queries.columns and "cc" in places.columns else ["name"]
     q = queries.select(*keys).distinct().withColumn("low_", F.lower(F.trim("name"))).withColumn("q_", F.struct(*keys))
@@ -92,7 +91,7 @@ def contained_name(queries: DataFrame, places: DataFrame, top: int = 50_000) ->
     exact = q.join(largest, q["low_"] == largest["plow_"]).where(fits).select("q_", F.col("place").alias("exact_"))
     # of equal names (of a country) only the first can be the first that fits
     country = ["pcc_"] if "cc" in keys else []
-    first = p.where(F.col("ord") <= top).groupBy("plow_", *country).agg(F.min("ord").alias("ord"))
+    first = p.groupBy("plow_", *country).agg(F.min("ord").alias("ord"))
     lengths = lambda df, c: F.broadcast(df.select(F.length(c).alias("n_")).where("n_ > 0").agg(F.array_sort(F.collect_set("n_")).alias("lengths_")))
     run = lambda df, c, by: df.repartition(PARTS * PARTS, c).crossJoin(by).withColumn("run_", F.explode(_runs(F.col(c), F.col("lengths_")))).drop("lengths_")
     lows = q.select("low_").distinct()

@@ -147,6 +147,12 @@ def test_alike_names_meet_as_wholes(spark):
     assert len(got) == len(q) and "contains(" not in plan_of(out)  # no pair is met that does not fit
 
 
+def test_places_of_any_rank_contain_names(spark):
+    p = frame(spark, [(1, "London"), (50_001, "Upper Slaughter"), (3_000_000, "Wick")], "ord long, name string")
+    q = frame(spark, [("Slaughter",), ("Old Wick Road",)], "name string")
+    assert {r.name: r.place for r in nearest.contained_name(q, p).collect()} == {"Slaughter": "Upper Slaughter", "Old Wick Road": "Wick"}
+
+
 def test_sequence_fill_rules(spark):
     rows = [("d", 1, "2019-05-01T10:00:00"), ("d", 5, None), ("d", 9, "2019-05-03T10:00:00"), ("d", 40, None), ("d", 90, "2019-09-01T10:00:00"), ("d", 141, None), ("d", 139, None), ("e", 1, None), ("e", 2, "2019-05-01T10:00:00")]
     out = timeline.fill_from_sequence(frame(spark, [(d, n, f"f{n:04d}", t) for d, n, t in rows], "dir string, number long, name string, date string"), ["dir"], "number", "name", "date")
