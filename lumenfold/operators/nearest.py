@@ -1,11 +1,18 @@
-"""Similarity and distance joins by cells, bands and runs of characters, never all pairs."""
+"""Similarity and distance joins by cells and runs of characters; of bit words all pairs, a pair of parts a task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.geo import haversine_km, planar_degrees
+from ..shipping import ship
 
 KM_PER_DEGREE = 111.0
 PARTS = 8
@@ -54,23 +61,62 @@ def nearest_within(points: DataFrame, refs: DataFrame, degrees: float = 0.05, or
 
 
 def hamming_nearest(queries: DataFrame, refs: DataFrame, word: str, most: int = 12, bits: int = 64, order: str = "id") -> DataFrame:
-    """Each query with its nearest reference within ``most`` bits: `ref_id`, `distance`; ties by order.
+    """Each query with its nearest reference within ``most`` of the words' bits: `ref_id`, `distance`; ties by order.
 
-    Words within ``most`` bits agree in one of most + 1 bands of the bits, so only rows
-    that share a band are compared; equal words are one candidate.
+    At such radii words agree by chance in some of any bands, so bands meet more pairs than there are;
+    each pair of distinct words is compared once instead, by whole arrays. Both sides are dealt by hash to
+    PARTS parts; a task holds a pair of parts, of which the queries' are read in batches, and
+    gives the nearest reference of a part. Equal words are one candidate.
     """
-    n = most + 1
-    edges = [bits * k // n for k in range(n + 1)]
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    masks = [signed(((1 << (b - a)) - 1) << a) for a, b in zip(edges, edges[1:])]
-    keys = lambda c: F.posexplode(F.array(*(c.bitwiseAND(F.lit(m)) for m in masks))).alias("band_", "key_")
-    r = refs.groupBy(F.col(word).alias("rword_")).agg(F.min(order).alias("rid_")).select("rword_", "rid_", keys(F.col("rword_")))
-    words = queries.select(F.col(word).alias("qword_")).distinct()
-    met = words.select("qword_", keys(F.col("qword_"))).join(r, ["band_", "key_"]).withColumn("d_", F.bit_count(F.col("qword_").bitwiseXOR(F.col("rword_"))))
-    best = met.where(F.col("d_") <= most).groupBy("qword_").agg(F.min_by(F.struct(F.col("rid_").alias("ref_id"), F.col("d_").alias("distance")), F.struct("d_", "rid_")).alias("b_"))
+    ship(queries.sparkSession)
+    r = refs.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("word_")).agg(F.min(order).alias("rid_"))
+    words = queries.where(F.col(word).isNotNull()).select(F.col(word).alias("word_")).distinct().withColumn("rid_", F.lit(None).cast(r.schema["rid_"].dataType))
+    part = F.pmod(F.xxhash64("word_"), F.lit(PARTS))
+    dealt = lambda df, side, cell: df.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), cell)).alias("cell_"), F.lit(side).alias("side_"), "word_", "rid_")
+    both = dealt(r, 0, lambda k: part * PARTS + k).unionByName(dealt(words, 1, lambda k: part + k * PARTS))
+    both = both.repartition(PARTS * PARTS, "cell_").sortWithinPartitions("cell_", "side_")
+    kind = StructType([StructField("qword_", both.schema["word_"].dataType), StructField("rid_", both.schema["rid_"].dataType), StructField("d_", IntegerType())])
+    best = both.mapInArrow(lambda batches: _nearest_words(batches, most, bits), kind)
+    best = best.groupBy("qword_").agg(F.min_by(F.struct(F.col("rid_").alias("ref_id"), F.col("d_").alias("distance")), F.struct("d_", "rid_")).alias("b_"))
     return queries.join(best, queries[word] == best["qword_"], "left").select(*queries.columns, "b_.ref_id", "b_.distance")
 
 
+def _nearest_words(batches: Iterator[pa.RecordBatch], most: int, bits: int, chunk: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Of rows by cell, references (side 0) first: each query's first of the nearest references of its cell within most bits."""
+    cell, held, words, rids = None, [], None, None
+    for batch in batches:
+        cells = batch.column("cell_").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(cells)) + 1), len(cells)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if cells[a] != cell:
+                cell, held, words = cells[a], [], None
+            rows = batch.slice(a, b - a)
+            n = int(np.searchsorted(rows.column("side_").to_numpy(), 1))
+            if n:
+                held.append(rows.slice(0, n))
+            if n == b - a or not held:
+                continue
+            if words is None:
+                refs = pa.Table.from_batches(held)
+                refs = refs.take(pc.sort_indices(refs, sort_keys=[("rid_", "ascending")], null_placement="at_start"))
+                words, rids = refs.column("word_").to_numpy().astype(np.int64), refs.column("rid_").combine_chunks()
+            asked = rows.column("word_").slice(n)
+            q = asked.to_numpy().astype(np.int64)
+            at, far = np.zeros(len(q), np.int64), np.full(len(q), bits + 1, np.int64)
+            for i in range(0, len(q), 16):
+                w = q[i : i + 16, None]
+                for j in range(0, len(words), chunk):
+                    d = np.bitwise_count((w ^ words[None, j : j + chunk]).view(np.uint64))
+                    k = d.argmin(axis=1)
+                    least = d[np.arange(len(k)), k]
+                    nearer = least < far[i : i + 16]
+                    at[i : i + 16][nearer], far[i : i + 16][nearer] = k[nearer] + j, least[nearer]
+            hit = np.flatnonzero(far <= most)
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(hit)), rids.take(pa.array(at[hit])), pa.array(far[hit].astype(np.int32))], names=["qword_", "rid_", "d_"])
+
+
 def _runs(text: Column, lengths: Column) -> Column:
     """All distinct runs of text of so many characters."""
     return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(text)), lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(text, k, n)))))

@@ -153,6 +153,21 @@ def test_places_of_any_rank_contain_names(spark):
     assert {r.name: r.place for r in nearest.contained_name(q, p).collect()} == {"Slaughter": "Upper Slaughter", "Old Wick Road": "Wick"}
 
 
+def test_hamming_nearest_compares_arrays(spark):
+    rng = random.Random(8)
+    word = lambda: rng.getrandbits(64) - 2**63
+    refs = [(f"r{k:05d}", word()) for k in range(3000)]
+    refs += [(f"q{k}", w) for k, (_, w) in enumerate(refs[:5])] + [("none", None)]
+    queries = [(k, w ^ (1 << rng.randrange(63)) if k % 2 else word()) for k, (_, w) in enumerate(refs[:300])] + [(300, None), (301, refs[0][1]), (302, refs[0][1])]
+    out = nearest.hamming_nearest(frame(spark, queries, "id long, word long"), frame(spark, refs, "id string, word long"), "word", most=20)
+    got = {r.id: (r.ref_id, r.distance) for r in out.collect()}
+    for k, w in queries:
+        d, i = min((((w ^ v) % 2**64).bit_count(), i) for i, v in refs if v is not None) if w is not None else (99, None)
+        assert got[k] == ((i, d) if d <= 20 else (None, None))
+    assert len(got) == len(queries) and "bit_count" not in plan_of(out)  # pairs are no rows
+    assert nearest.hamming_nearest(frame(spark, queries, "id long, word long"), frame(spark, [], "id string, word long"), "word").where("ref_id IS NOT NULL").collect() == []
+
+
 def test_sequence_fill_rules(spark):
     rows = [("d", 1, "2019-05-01T10:00:00"), ("d", 5, None), ("d", 9, "2019-05-03T10:00:00"), ("d", 40, None), ("d", 90, "2019-09-01T10:00:00"), ("d", 141, None), ("d", 139, None), ("e", 1, None), ("e", 2, "2019-05-01T10:00:00")]
     out = timeline.fill_from_sequence(frame(spark, [(d, n, f"f{n:04d}", t) for d, n, t in rows], "dir string, number long, name string, date string"), ["dir"], "number", "name", "date")
