@@ -594,7 +594,9 @@ def image_metrics(spark, d):
     from ..shipping import ship
 
     ship(spark)
-    p = table(spark, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: (i * (F.col("p_partkey") + 1)).cast("int") % 256).alias("gray"))
+    # a small file is one task, whatever its pictures cost
+    p = table(spark, d, "part").select("p_partkey").repartition(64, "p_partkey")
+    p = p.select("p_partkey", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: (i * (F.col("p_partkey") + 1) % 256).cast("int")).alias("gray"))
     return p.select("p_partkey", technical_udf()("gray", F.lit(16)).alias("m")).select("p_partkey", "m.*")
 
 

@@ -168,6 +168,19 @@ def test_hamming_nearest_compares_arrays(spark):
     assert nearest.hamming_nearest(frame(spark, queries, "id long, word long"), frame(spark, [], "id string, word long"), "word").where("ref_id IS NOT NULL").collect() == []
 
 
+def test_pictures_of_one_shape_are_computed_together(spark):
+    rng = np.random.default_rng(6)
+    stacks = [rng.integers(0, 256, shape) for shape in ((40, 16, 16), (7, 33, 47), (3, 2, 5), (2, 1, 1))] + [np.stack([(np.arange(256) * k % 256).reshape(16, 16) for k in range(256)])]
+    one = lambda g: (image.sharpness(g), *image.exposure(g), image.perceptual_hash(g))
+    for stack in stacks:
+        assert list(zip(*(x.tolist() for x in image.technical(stack)))) == [one(g.astype(np.float64)) for g in stack]
+    pictures = [g for stack in stacks[:4] for g in stack]
+    rows = [(k, g.ravel().tolist(), g.shape[1]) for k, g in enumerate(pictures)] + [(90, None, 16), (91, [1, 2], None)]
+    out = frame(spark, rows, "id long, gray array<int>, width int").repartition(1).orderBy(F.rand(1)).select("id", image.technical_udf(pixels=1000)("gray", "width").alias("m")).collect()
+    assert {r.id: r.m and tuple(r.m) for r in out if r.id < 90} == {k: one(g.astype(np.float64)) for k, g in enumerate(pictures)}
+    assert all(r.m is None or tuple(r.m) == (None,) * 4 for r in out if r.id >= 90)
+
+
 def test_sequence_fill_rules(spark):
     rows = [("d", 1, "2019-05-01T10:00:00"), ("d", 5, None), ("d", 9, "2019-05-03T10:00:00"), ("d", 40, None), ("d", 90, "2019-09-01T10:00:00"), ("d", 141, None), ("d", 139, None), ("e", 1, None), ("e", 2, "2019-05-01T10:00:00")]
     out = timeline.fill_from_sequence(frame(spark, [(d, n, f"f{n:04d}", t) for d, n, t in rows], "dir string, number long, name string, date string"), ["dir"], "number", "name", "date")
