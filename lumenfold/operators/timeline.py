@@ -138,21 +138,31 @@ def neighbour_median(rows: DataFrame, keys: list[str], number: str, date: str, k
 
     A self-join within a directory would hold all pairs of a large one. Good rows are
     ranked instead: the k nearest by number are among the k ranked before a bad row
-    and the k after it, which lie in at most three cells of k ranks, joined by cell.
+    and the k after it, which lie in its cell of k ranks and the two beside it. A cell is
+    one row, an array of its good rows, with the bad ones in parts, so each row is dealt
+    once, by directory, and a bad row's candidates are written nowhere.
     """
+    most = 1024
     good = ~is_default(F.col(date))
-    w = Window.partitionBy(*keys).orderBy(number, order)
-    ref = F.when(good, F.struct(F.col(number).alias("n"), F.col(order).alias("o"), F.col(date).alias("d")))
-    rank = F.count(ref).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumns({"good_": good, "rank_": rank, "ref_": ref})
-    # positions among good rows: candidates of a bad row are the good ones ranked rank - k + 1 .. rank + k
-    goods = marked.where("good_").select(*keys, F.col("rank_").alias("r_"), "ref_")
-    cell = lambda c: F.floor(c / k)
-    bad = marked.where("not good_").drop("ref_").withColumn("c_", F.explode(F.sequence(cell(F.col("rank_") - k + 1), cell(F.col("rank_") + k))))
-    met = bad.join(goods.withColumn("c_", cell(F.col("r_"))), [*keys, "c_"]).where(F.col("r_").between(F.col("rank_") - k + 1, F.col("rank_") + k))
-    near = met.groupBy(*rows.columns).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.abs(F.col("ref_.n") - F.col(number)).alias("gap"), F.col("ref_.o").alias("o"), F.col("ref_.d").alias("d")))), 1, k).alias("near_"))
-    dates = F.array_sort(F.transform("near_", lambda x: x["d"]))
-    return near.withColumn("filled", F.get(dates, F.floor(F.size(dates) / 2).cast("int"))).drop("near_")
+    w = Window.partitionBy(*keys).orderBy(number, order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
+    marked = rows.withColumn("good_", good).withColumn("rank_", F.count(F.when(F.col("good_"), 1)).over(w)).withColumn("nth_", F.row_number().over(w) - F.col("rank_"))
+    ref = F.struct(F.col("rank_").alias("r"), F.col(number).alias("n"), F.col(order).alias("o"), F.col(date).alias("d"))
+    bad = F.struct(F.col("rank_").alias("r"), F.struct(*(F.col(c) for c in rows.columns if c not in keys)).alias("row"))
+    part = F.when(F.col("good_"), 0).otherwise(F.floor(F.col("nth_") / most))
+    cells = marked.withColumns({"cell_": F.floor(F.col("rank_") / k), "part_": part}).groupBy(*keys, "cell_", "part_")
+    cells = cells.agg(F.collect_list(F.when(F.col("good_"), ref)).alias("refs_"), F.collect_list(F.when(~F.col("good_"), bad)).alias("bads_"))
+    beside = Window.partitionBy(*keys).orderBy("cell_").rangeBetween(-1, 1)
+    cells = cells.withColumn("refs_", F.sort_array(F.flatten(F.collect_list("refs_").over(beside)))).where("size(bads_) > 0 AND size(refs_) > 0")
+    out = cells.select(*keys, "refs_", F.explode("bads_").alias("b_"))
+    # candidates of a bad row are the good ones ranked rank - k + 1 .. rank + k, of which there is one where any row is good
+    first, r = F.get("refs_", 0)["r"], F.col("b_.r")
+    start = F.greatest(r - k + 1, first)
+    met = F.slice("refs_", (start - first + 1).cast("int"), (r + k - start + 1).cast("int"))
+    gaps = F.transform(met, lambda g: F.struct(F.abs(g["n"] - F.col(f"b_.row.{number}")).alias("gap"), g["o"].alias("o"), g["d"].alias("d")))
+    dates = F.sort_array(F.transform(F.slice(F.sort_array(gaps), 1, k), lambda x: x["d"]))
+    out = out.select(*(F.col(c) if c in keys else F.col(f"b_.row.{c}").alias(c) for c in rows.columns), dates.alias("dates_"))
+    return out.select(*rows.columns, F.get("dates_", F.floor(F.size("dates_") / 2).cast("int")).alias("filled"))
 
 
 def control_break(rows: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:

@@ -212,6 +212,21 @@ def test_sequence_fill_never_looks_ahead(spark):
     assert not looks_ahead(out)
 
 
+def test_neighbour_median_deals_a_row_once(spark):
+    rng = random.Random(9)
+    rows = [("d", n, k, None if n < 40 or 400 < n < 700 or k % 3 else f"2019-{1 + k % 12:02d}-05T10:00:00") for k, n in enumerate(rng.choices(range(1000), k=600))]
+    rows += [("d", 500, 1000 + k, None) for k in range(2100)] + [("e", k, k, None) for k in range(5)] + [(None, k, k, "2019-05-05T10:00:00" if k else None) for k in range(3)]
+    out = timeline.neighbour_median(frame(spark, rows, "dir string, number long, id long, date string"), ["dir"], "number", "date")
+    goods = [r for r in rows if r[0] == "d" and r[3]]
+    want = {}
+    for _, n, i, t in rows[:2700]:
+        if not t:
+            near = sorted(x[3] for x in sorted(goods, key=lambda g: (abs(g[1] - n), g[2]))[:20])
+            want[i] = near[len(near) // 2]
+    assert {r.id: r.filled for r in out.collect()} == want
+    assert "join" not in plan_of(out)  # a bad row's candidates are not shuffled
+
+
 def test_consensus(spark):
     rows = [(1, "a", "2019-05-10T10:00:00"), (2, "a", "2019-05-11T10:00:00"), (3, "a", "2019-05-12T10:00:00"), (4, "a", "1970-01-20T00:00:00"), (5, "a", None), (6, "a", "2019-06-12T10:00:00"), (7, "b", "2019-05-10T10:00:00"), (8, "b", None)]
     got = {r.id: r.filled for r in timeline.consensus_month(frame(spark, rows, "id long, dir string, date string"), ["dir"], "date").collect()}
